@@ -6,9 +6,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Argument order matters: the ratio is not symmetric. Two empty sequences give 1.0."""
     return pd.Series(
@@ -16,7 +17,7 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def symbol_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """The same over arrays of symbols."""
     return pd.Series(
@@ -25,7 +26,7 @@ def symbol_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decompose(words: pd.Series) -> pd.Series:
     """Canonical decomposition; meant for distinct words, not for running text."""
     return words.str.normalize("NFD")

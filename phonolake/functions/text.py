@@ -89,7 +89,7 @@ def text_hash(text: Column) -> Column:
 
 def split_delimited(cell: Column) -> Column:
     """Split at ``;``, strip the parts, then split at ``|`` - inner parts keep their spaces."""
-    parts = F.transform(F.split(cell, ";"), F.trim)
+    parts = F.transform(F.split(cell, ";"), lambda part: F.trim(part))
     return F.flatten(F.transform(parts, lambda part: F.split(part, r"\|")))
 
 
