@@ -29,7 +29,7 @@ def topk_positions(logits: Column, k: int) -> Column:
 
 def target_rank(logits: Column, target: Column) -> Column:
     """1-based rank of one id among the scores, ties broken by the lower id."""
-    own = F.element_at(logits, target + 1)
+    own = F.element_at(logits, (target + 1).cast("int"))
     ahead = F.filter(
         F.transform(logits, lambda x, i: (x > own) | ((x == own) & (i < target))),
         lambda flag: flag,
@@ -42,8 +42,19 @@ def label_to_name(label: Column, names: Sequence[str]) -> Column:
 
 
 def clamp_regression(score: Column, low: float = 0.0, high: float = 5.0) -> Column:
-    """Clamp into the score range and print three decimals."""
-    return F.format_string("%.3f", F.greatest(F.least(score, F.lit(high)), F.lit(low)))
+    """Clamp into the score range (0 to 5) and print three decimals.
+
+    Rounds the stored binary value as Python's ``%.3f`` does; ``format_string`` would round its
+    decimal text instead. The comparison with the half step is exact: the value times 2**60 is a
+    whole number.
+    """
+    x = F.greatest(F.least(score, F.lit(high)), F.lit(low))
+    below = F.floor(x * 1000).cast("bigint")
+    twice = (x * F.lit(float(1 << 60))).cast("bigint").cast("decimal(20,0)") * F.lit(2000).cast("decimal(4,0)")
+    half = (2 * below + 1).cast("decimal(10,0)") * F.lit(1 << 60).cast("decimal(20,0)")
+    up = F.when((twice > half) | ((twice == half) & (below % 2 == 1)), 1).otherwise(0)
+    steps = below + up
+    return F.format_string("%d.%03d", F.floor(steps / 1000), steps % 1000)
 
 
 def model_short_name(path: Column) -> Column:

@@ -15,8 +15,8 @@ from phonolake.session import ensure_checkpoint_dir
 
 def grouped_index(df: DataFrame, groups: list[str], id_col: str, out: str = "pos", total: str | None = None) -> DataFrame:
     """Position by integer id inside each group, safe for groups of any size."""
-    levels = ["_l32", "_l16"]
-    keyed = df.withColumn("_l32", F.shiftright(id_col, 32)).withColumn("_l16", F.shiftright(id_col, 16))
+    levels = ["_id40", "_id20"]
+    keyed = df.withColumn("_id40", F.shiftright(id_col, 40)).withColumn("_id20", F.shiftright(id_col, 20))
     return running_total(keyed, levels, [F.col(id_col)], groups=groups, out=out, total=total).drop(*levels)
 
 

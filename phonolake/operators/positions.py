@@ -75,14 +75,13 @@ def running_total(
 def dense_index(df: DataFrame, id_col: str, out: str = "pos") -> DataFrame:
     """Zero-based position by a unique integer id.
 
-    Ids are unique, so no bucket of 65 536 consecutive ids and no window over bucket counts
-    ever holds more than 65 536 rows.
+    Ids are unique, so a bucket of 2**20 consecutive ids never holds more rows than that, and
+    the bucket counts of 2**40 consecutive ids fit one window of the same size.
     """
-    widths = (48, 32, 16)
-    levels = [f"_id{w}" for w in widths]
-    keyed = df
-    for name, width in zip(levels, widths):
-        keyed = keyed.withColumn(name, F.shiftright(F.col(id_col).cast("bigint"), width))
+    levels = ["_id40", "_id20"]
+    keyed = df.withColumn("_id40", F.shiftright(F.col(id_col).cast("bigint"), 40)).withColumn(
+        "_id20", F.shiftright(F.col(id_col).cast("bigint"), 20)
+    )
     return running_total(keyed, levels, [F.col(id_col)], out=out).drop(*levels)
 
 

@@ -13,28 +13,35 @@ from phonolake.operators import lexicon as G
 from phonolake.operators import pairs as R
 from phonolake.operators import sampling as S
 from phonolake.operators.positions import dense_index
+from phonolake.session import ensure_checkpoint_dir
 
 
-def build_rhyme_pairs(verses: DataFrame, lexicon: DataFrame, seed: int | str = 42) -> DataFrame:
-    """``verses`` (verse_no, text) to ``id, sentence1, sentence2, label, split``.
+def rhyme_pair_rows(verses: DataFrame, lexicon: DataFrame, seed: int | str = 42) -> DataFrame:
+    """``verses`` (verse_no, text) to ``id, sentence1, sentence2, label``.
 
     Anchors are the rows at even positions; each gives one rhyming pair (possibly with itself)
-    and one pair from a different ending.
+    and one pair from a different ending. The keys of the verses feed five joins, so they are
+    checkpointed once; texts join at the end.
     """
-    placed = dense_index(G.with_ending(verses.select("verse_no", "text"), lexicon), "verse_no", "pos")
-    keys = placed.select("pos", "ending")
+    ensure_checkpoint_dir(verses.sparkSession)
+    ended = G.with_ending(verses.select("verse_no", "text"), lexicon).select("verse_no", "ending")
+    keys = dense_index(ended, "verse_no", "pos").checkpoint()
     anchors = keys.filter(F.col("pos") % 2 == 0)
     both = (
         R.rhyme_positive_pairs(keys, anchors, "pos").withColumn("label", F.lit(1))
         .unionByName(R.rhyme_negative_pairs(keys, anchors, "pos", seed).withColumn("label", F.lit(0)))
     )
     numbered = R.pair_row_ids(both.withColumn("_no", F.expr("anchor div 2")), "_no")
-    texts = placed.select("pos", "text")
+    texts = keys.join(verses.select("verse_no", "text"), "verse_no").select("pos", "text")
     full = numbered.join(
         texts.select(F.col("pos").alias("anchor"), F.col("text").alias("sentence1")), "anchor"
     ).join(texts.select(F.col("pos").alias("partner"), F.col("text").alias("sentence2")), "partner")
-    pairs = full.select("id", "sentence1", "sentence2", "label")
-    return S.train_val_test_split(pairs, ["id"], 0.2, 0.1, seed)
+    return full.select("id", "sentence1", "sentence2", "label")
+
+
+def build_rhyme_pairs(verses: DataFrame, lexicon: DataFrame, seed: int | str = 42) -> DataFrame:
+    """Rhyme pairs with a split column."""
+    return S.train_val_test_split(rhyme_pair_rows(verses, lexicon, seed), ["id"], 0.2, 0.1, seed)
 
 
 def build_last_word_task(
@@ -48,13 +55,6 @@ def build_last_word_task(
     return S.train_val_test_split(task, [id_col], 0.1, 0.1, seed)
 
 
-def homophone_groups(lexicon: DataFrame) -> DataFrame:
-    """``(sound, word, pos, n)`` for transcriptions shared by several words, in word order."""
-    sounded = lexicon.select("word", F.array_join("phonemes", "").alias("sound")).filter("sound != ''")
-    shared = sounded.groupBy("sound").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return sounded.join(shared, "sound")
-
-
 def build_homophone_task(
     words: DataFrame, groups: DataFrame, lexicon: DataFrame, seed: int | str = 42
 ) -> DataFrame:
