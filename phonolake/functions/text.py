@@ -14,6 +14,8 @@ WORDS_AND_MARKS = rf"[{WORD_CHARS}]+|[^{SPACE_CHARS}{WORD_CHARS}]"
 WORDS_AND_GAPS = rf"[{WORD_CHARS}]+|[^{WORD_CHARS}]+"
 NON_SPACE = rf"[^{SPACE_CHARS}]+"
 KEPT_CHARS = r"""[^a-zA-Z0-9,.!?;:'" ]+"""
+# The same set for text whose whitespace is collapsed; two plain ranges match several times faster.
+DROPPED_CHARS = r"[^ -~]+|[#$%&()*+/<=>@\[\\\]^_`{|}~\-]+"
 MASK_WORD = "[MASK]"
 
 
@@ -29,7 +31,7 @@ def clean_text(text: Column, lowercase: bool = True) -> Column:
     out = F.lower(text) if lowercase else text
     out = F.regexp_replace(out, rf"[{SPACE_CHARS}]+", " ")
     out = F.regexp_replace(out, r"http[^ ]+", "")
-    out = F.regexp_replace(out, KEPT_CHARS, "")
+    out = F.regexp_replace(out, DROPPED_CHARS, "")
     return F.trim(out)
 
 

@@ -94,6 +94,11 @@ def _deletions(word, length, k: int):
     return F.array_distinct(variants)
 
 
+def _both_words():
+    names = {"a.word_id": "id1", "b.word_id": "id2", "a.word": "word1", "b.word": "word2"}
+    return [F.col(source).alias(name) for source, name in names.items()]
+
+
 def near_spelling_candidates(words: DataFrame) -> DataFrame:
     """Superset of the word pairs of equal length whose ratio exceeds 0.8, each pair once.
 
@@ -104,23 +109,24 @@ def near_spelling_candidates(words: DataFrame) -> DataFrame:
     most k; the shared-character count then thins the candidates before the similarity call.
     Pairs are ordered by ``word_id``, the position in the word list.
     """
-    sized = words.select("word_id", "word", "sound", F.length("word").alias("n")).withColumn(
-        "k", (F.ceil(F.round(F.col("n") * 0.2, 6)) - 1).cast("int")
+    ensure_checkpoint_dir(words.sparkSession)
+    sized = (
+        words.select("word_id", "word", "sound", F.length("word").alias("n"))
+        .withColumn("k", (F.ceil(F.round(F.col("n") * 0.2, 6)) - 1).cast("int"))
+        .filter("k >= 1")
+        .checkpoint()
     )
-    keys = None
-    for k in (1, 2, 3):
-        part = sized.filter(F.col("k") == k).select(
-            "word_id", "word", "sound", "n", F.explode(_deletions(F.col("word"), F.col("n"), k)).alias("key")
-        )
-        keys = part if keys is None else keys.unionByName(part)
-    left, right = keys.alias("a"), keys.alias("b")
-    short = left.join(
-        right,
+    variants = F.when(F.col("k") == 1, _deletions(F.col("word"), F.col("n"), 1))
+    for k in (2, 3):
+        variants = variants.when(F.col("k") == k, _deletions(F.col("word"), F.col("n"), k))
+    keys = sized.filter("k <= 3").select("word_id", "word", "sound", "n", F.explode(variants).alias("key"))
+    short = keys.alias("a").join(
+        keys.alias("b"),
         (F.col("a.n") == F.col("b.n"))
         & (F.col("a.key") == F.col("b.key"))
         & (F.col("a.word_id") < F.col("b.word_id"))
         & (F.col("a.sound") != F.col("b.sound")),
-    ).select(F.col("a.word_id").alias("id1"), F.col("b.word_id").alias("id2"), F.col("a.word").alias("word1"), F.col("b.word").alias("word2"))
+    ).select(*_both_words())
 
     long = sized.filter(F.col("k") >= 4)
     pieces = F.col("k") * 2 + 1
@@ -155,7 +161,7 @@ def near_spelling_candidates(words: DataFrame) -> DataFrame:
         & (F.col("a.word_id") < F.col("b.word_id"))
         & (F.col("a.sound") != F.col("b.sound"))
         & (bag_gap <= F.col("b.k")),
-    ).select(F.col("a.word_id").alias("id1"), F.col("b.word_id").alias("id2"), F.col("a.word").alias("word1"), F.col("b.word").alias("word2"))
+    ).select(*_both_words())
     return short.unionByName(found).distinct()
 
 
@@ -185,10 +191,11 @@ def sample_unrelated_pairs(edges: DataFrame, seed: int | str = 42) -> DataFrame:
     r + count(i: c_i - i <= r), which is an ordinary partial aggregate. Terms with fewer than
     two unrelated terms get what there is.
     """
-    related = adjacency_pairs(edges)
+    ensure_checkpoint_dir(edges.sparkSession)
+    related = adjacency_pairs(edges).checkpoint()
     numbered = shuffled_index(
         related.select("term").distinct(), f"{seed}:terms", ["term"], out="term_no", total="terms"
-    )
+    ).checkpoint()
     names = numbered.select(F.col("term_no").alias("_no"), F.col("term").alias("unrelated_term"))
     taken = related.join(numbered.select(F.col("term").alias("related_term"), F.col("term_no").alias("_c")), "related_term")
     steps = grouped_index(taken.select("term", "_c"), ["term"], "_c", out="_i").select(
@@ -218,7 +225,10 @@ def sample_unrelated_pairs(edges: DataFrame, seed: int | str = 42) -> DataFrame:
 
 def mispair_negatives(pairs: DataFrame, seed: int | str = 42) -> DataFrame:
     """As many (first of pair i, second of pair j) as pairs, with i and j drawn and i != j."""
-    numbered = shuffled_index(pairs, f"{seed}:pairs", ["word1", "word2"], out="no", total="n")
+    ensure_checkpoint_dir(pairs.sparkSession)
+    numbered = shuffled_index(
+        pairs.select("word1", "word2"), f"{seed}:pairs", ["word1", "word2"], out="no", total="n"
+    ).checkpoint()
     i = hash_below(F.col("n"), f"{seed}:i", F.col("no"))
     j = hash_below(F.col("n") - 1, f"{seed}:j", F.col("no"))
     drawn = numbered.filter("n > 1").select("no", i.alias("i"), (j + F.when(j >= i, 1).otherwise(0)).alias("j"))

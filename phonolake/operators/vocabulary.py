@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phonolake.functions import text as X
 from phonolake.functions.similarity import decompose
 from phonolake.session import ensure_checkpoint_dir
+from phonolake.sources.corpora import spread_small_input
 
 # Special tokens in id order, for the general and the phoneme-level vocabulary.
 SPECIALS = ("[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
@@ -146,12 +147,8 @@ def train_merges(
         letters = [c for m, c in alphabet if m == mark]
         return F.translate(column, "".join(letters), "".join(_code(ids[mark + c]) for c in letters))
 
-    types = words.select(
-        "n",
-        F.concat(
-            coded(F.substring("word", 1, 1), ""), coded(F.substr("word", F.lit(2)), prefix)
-        ).alias("seg"),
-    )
+    first, rest = coded(F.substring("word", 1, 1), ""), coded(F.substr("word", F.lit(2)), prefix)
+    types = spread_small_input(words).select("n", F.concat(first, rest).alias("seg")).checkpoint()
     merges: list[tuple[str, str]] = []
     since = 0
     while len(ids) < vocab_size:

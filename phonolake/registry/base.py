@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.session import ensure_checkpoint_dir
+from phonolake.sources.corpora import spread_small_input
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,8 +27,13 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One of the given tables; small text tables are dealt out to all cores."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_small_input(rows) if name in TEXT_TABLES else rows
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phonolake.functions import phonetic as P
 from phonolake.functions import text as X
 from phonolake.functions.scores import argmax_class
 from phonolake.operators import cleaning as C
@@ -353,10 +354,8 @@ def word_list(spark, d):
 
 @query("near_spelling_pairs")
 def near_spelling_pairs(spark, d):
-    words = word_list(spark, d)
-    lexicon = G.build_lexicon(words)
-    sounds = G.lexicon_lookup(words, lexicon).select("word_id", "word", F.array_join("phonemes", "").alias("sound"))
-    return R.near_spelling_pairs(sounds)
+    sound = F.array_join(P.apply_grapheme_rules(F.col("word")), "")
+    return R.near_spelling_pairs(word_list(spark, d).select("word_id", "word", sound.alias("sound")))
 
 
 @query(

@@ -27,6 +27,17 @@ def task_dir(root: str, task: str, phonetic: bool = False) -> str:
     return f"{root}/glue_data/{'phonetic' if phonetic else 'original'}/{task}"
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Deal a small input out to all cores before CPU-heavy text work.
+
+    A table that comes in fewer splits than the session has cores (for instance one file with one
+    row group) would run in one task. Larger inputs have enough splits and stay as they are, so
+    no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_corpus(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Open a corpus written by :func:`write_corpus`; a missing folder is a ValueError."""
     reader = spark.read if schema is None else spark.read.schema(schema)
