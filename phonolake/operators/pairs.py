@@ -81,16 +81,20 @@ def pair_row_ids(pairs: DataFrame, anchor_no: str, label: str = "label", out: st
     return pairs.withColumn(out, 2 * F.col(anchor_no) + (1 - F.col(label)))
 
 
+def _without_one(word, length):
+    """All strings with one character of ``word`` left out."""
+    return F.transform(
+        F.sequence(F.lit(1), length),
+        lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)),
+    )
+
+
 def _deletions(word, length, k: int):
     """All subsequences of ``word`` with ``k`` characters left out."""
-    def without(w, n):
-        return F.transform(
-            F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1))
-        )
-
-    variants = without(word, length)
+    variants = _without_one(word, length)
     for gone in range(1, k):
-        variants = F.array_distinct(F.flatten(F.transform(variants, lambda w, g=gone: without(w, length - g))))
+        left = length - gone
+        variants = F.array_distinct(F.flatten(F.transform(variants, lambda w: _without_one(w, left))))  # noqa: B023
     return F.array_distinct(variants)
 
 
