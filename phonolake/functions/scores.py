@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,13 +46,16 @@ def clamp_regression(score: Column, low: float = 0.0, high: float = 5.0) -> Colu
     """Clamp into the score range (0 to 5) and print three decimals.
 
     Rounds the stored binary value as Python's ``%.3f`` does; ``format_string`` would round its
-    decimal text instead. The comparison with the half step is exact: the value times 2**60 is a
-    whole number.
+    decimal text instead. The comparison with the half step is exact, because the value times the
+    chosen power of two is a whole number.
     """
     x = F.greatest(F.least(score, F.lit(high)), F.lit(low))
+    small = x < 0.5
+    power = F.when(small, F.lit(2.0**63)).otherwise(F.lit(2.0**60))
+    unit = F.when(small, F.lit(Decimal(1 << 63))).otherwise(F.lit(Decimal(1 << 60))).cast("decimal(20,0)")
     below = F.floor(x * 1000).cast("bigint")
-    twice = (x * F.lit(float(1 << 60))).cast("bigint").cast("decimal(20,0)") * F.lit(2000).cast("decimal(4,0)")
-    half = (2 * below + 1).cast("decimal(10,0)") * F.lit(1 << 60).cast("decimal(20,0)")
+    twice = (x * power).cast("bigint").cast("decimal(20,0)") * F.lit(2000).cast("decimal(4,0)")
+    half = (2 * below + 1).cast("decimal(10,0)") * unit
     up = F.when((twice > half) | ((twice == half) & (below % 2 == 1)), 1).otherwise(0)
     steps = below + up
     return F.format_string("%d.%03d", F.floor(steps / 1000), steps % 1000)
