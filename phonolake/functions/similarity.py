@@ -30,3 +30,7 @@ def symbol_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 def decompose(words: pd.Series) -> pd.Series:
     """Canonical decomposition; meant for distinct words, not for running text."""
     return words.str.normalize("NFD")
+
+
+# Filters on the result must not move below the word count, where they would call it per token.
+decompose = decompose.asNondeterministic()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonolake.functions import text as X
@@ -130,5 +130,10 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "lef
     return df.join(table, list(keys), how)
 
 
-def count_matching(condition: Column) -> Column:
-    return F.count_if(condition)
+def bounded(table: DataFrame, most: int = 200_000) -> DataFrame:
+    """Join side for a stored artifact such as a vocabulary.
+
+    Its rows are counted first, at most ``most`` + 1 of them. Up to ``most`` it is broadcast; beyond
+    that a sort-merge join is asked for, so the large side is never broadcast by mistake.
+    """
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")

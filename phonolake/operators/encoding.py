@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phonolake.functions import text as X
-from phonolake.operators.cleaning import lookup
+from phonolake.operators.cleaning import bounded, lookup
 
 IGNORED = -100
 INTS = "array<int>"
@@ -26,7 +26,8 @@ def encode_words(words: DataFrame, vocab: DataFrame, unknown: int, prefix: str =
     """``(word, ids)`` by greedy longest match; a word with an unmatched rest is one unknown token.
 
     Every substring of each distinct word up to the longest token length meets the vocabulary in
-    one join, the longest match per start survives, and a fold walks from start to start.
+    one join, the longest match per start survives, and a fold walks from start to start. ``vocab``
+    should be a stored table, since its size is checked first.
     """
     distinct = words.select("word").filter(F.col("word") != "").distinct()
     n = F.length("word")
@@ -40,14 +41,20 @@ def encode_words(words: DataFrame, vocab: DataFrame, unknown: int, prefix: str =
     )
     piece = F.substr("word", F.col("start"), F.col("len"))
     tokens = spans.withColumn("token", F.when(F.col("start") == 1, piece).otherwise(F.concat(F.lit(prefix), piece)))
+    # Length and id in one number: the longest match is a plain maximum in a hash aggregate.
+    packed = (F.shiftleft(F.col("len").cast("bigint"), 32) + F.col("id")).alias("packed")
     longest_match = (
-        tokens.join(vocab.select("token", "id"), "token")
+        tokens.join(bounded(vocab.select("token", "id")), "token")
+        .select("word", "start", packed)
         .groupBy("word", "start")
-        .agg(F.max(F.struct("len", "id")).alias("best"))
+        .agg(F.max("packed").alias("packed"))
     )
-    matches = longest_match.groupBy("word").agg(
-        F.array_sort(F.collect_list(F.struct("start", "best.len", "best.id"))).alias("steps")
+    step = F.struct(
+        "start",
+        F.shiftright("packed", 32).cast("int").alias("len"),
+        (F.col("packed") % (1 << 32)).cast("int").alias("id"),
     )
+    matches = longest_match.groupBy("word").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     begin = F.struct(F.lit(1).alias("at"), _no_ids().alias("ids"))
 
     def walk(state: Column, step: Column) -> Column:

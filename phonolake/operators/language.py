@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phonolake.functions import text as X
 from phonolake.operators.cleaning import lookup
+from phonolake.session import ensure_checkpoint_dir
 
 
 def _tokens(df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -17,12 +18,17 @@ def _tokens(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def profile_table(df: DataFrame, languages: Sequence[str], lang: str = "lang") -> DataFrame:
-    """One row per token with an add-one log weight per language (columns ``w_<language>``)."""
+    """One row per token with an add-one log weight per language (columns ``w_<language>``).
+
+    The token counts are checkpointed: the totals and every later use read them, not the texts.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     labelled = df.filter(F.col(lang).isin(list(languages)))
     counts = (
         _tokens(labelled, [lang])
         .groupBy("token")
         .agg(*[F.count_if(F.col(lang) == name).alias(f"n_{name}") for name in languages])
+        .checkpoint()
     )
     totals = counts.agg(
         F.struct(
@@ -57,9 +63,10 @@ def detect_language(df: DataFrame, profile: DataFrame, languages: Sequence[str],
     Scores are summed map-side, so only one row per document and map task is shuffled.
     """
     scored = (
-        lookup(_tokens(df, [id_col]), profile, ["token"], "inner")
+        lookup(_tokens(df, [id_col]), profile, ["token"])
         .groupBy(id_col)
         .agg(*[F.sum(f"w_{name}").alias(f"s_{name}") for name in languages])
+        .filter(F.col(f"s_{languages[0]}").isNotNull())
     )
     best = F.lit(None).cast("string")
     for name in languages:

@@ -110,18 +110,14 @@ def average_ranks(df: DataFrame, score: str, by: Sequence[str] = (), weights: Se
     """Average rank of each distinct score; ``df`` has one row per (by, score).
 
     ``weights`` name count columns whose sum is the number of rows with that score. The bucket
-    grows with the score: sign and power of two first, then the leading part of the mantissa.
+    grows with the score: sign, power of two, and the first ten bits of the mantissa, so there are
+    at most about four million bucket counts.
     """
     size = sum((F.col(w) for w in weights[1:]), F.col(weights[0]))
     x = F.col(score).cast("double")
     power = F.when(x == 0, F.lit(-1100)).otherwise(F.floor(F.log2(F.abs(x)))).cast("bigint")
     scaled = F.when(x == 0, F.lit(0.0)).otherwise(F.abs(x) / F.pow(F.lit(2.0), power) - 1)
-    magnitude = (power + 1100) * F.lit(1 << 20) + F.floor(scaled * F.lit(1 << 20)).cast("bigint")
-    key = F.when(x < 0, -magnitude).otherwise(magnitude)
-    keyed = df.withColumn("_fine", key).withColumn("_coarse", F.shiftright("_fine", 14))
-    ranked = running_total(
-        keyed, ["_coarse", "_fine"], [F.col(score)], value=size, groups=by, out="_before"
-    )
-    return ranked.withColumn("avg_rank", F.col("_before") + (size + 1) / 2).drop(
-        "_before", "_fine", "_coarse"
-    )
+    magnitude = (power + 1100) * F.lit(1024) + F.floor(scaled * F.lit(1024)).cast("bigint")
+    keyed = df.withColumn("_bucket", F.when(x < 0, -magnitude).otherwise(magnitude))
+    ranked = running_total(keyed, ["_bucket"], [F.col(score)], value=size, groups=by, out="_before")
+    return ranked.withColumn("avg_rank", F.col("_before") + (size + 1) / 2).drop("_before", "_bucket")

@@ -47,14 +47,15 @@ def word_frequencies(df: DataFrame, columns: Sequence[str] = ("text",), splitter
 def vocab_wordlevel(counts: DataFrame, size: int = VOCAB_SIZE, specials: Sequence[str] = SPECIALS) -> DataFrame:
     """``(token, id)``: specials first, then the most frequent words, ties by word.
 
-    The top-n keeps ``size`` rows at most, which bounds the window that numbers them.
+    The top-n keeps about ``size`` rows, which bounds the window that numbers them. Specials and the
+    empty word can only take their own number of places, so they are dropped after the top-n.
     """
-    head = counts.filter(~F.col("word").isin(list(specials)) & (F.col("word") != ""))
     order = [F.col("n").desc(), F.col("word")]
-    top = head.orderBy(*order).limit(size - len(specials))
-    numbered = top.select(
+    top = counts.orderBy(*order).limit(size + 1)
+    usable = top.filter(~F.col("word").isin(list(specials)) & (F.col("word") != ""))
+    numbered = usable.select(
         F.col("word").alias("token"), (F.row_number().over(W.orderBy(*order)) - 1 + len(specials)).alias("id")
-    )
+    ).filter(F.col("id") < size)
     fixed = counts.sparkSession.createDataFrame(list(special_ids(specials).items()), "token string, id int")
     return fixed.unionByName(numbered)
 

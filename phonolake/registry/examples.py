@@ -6,7 +6,6 @@ sequences, so that words have several tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phonolake.functions import text as X
@@ -17,6 +16,7 @@ from phonolake.plans import examples as PE
 from phonolake.registry import sql as Q
 from phonolake.registry.base import big, ints_text, query, r6, table
 from phonolake.registry.texts import CONV_TURNS_SQL, docs, sentence_pairs
+from phonolake.session import ensure_checkpoint_dir
 
 SPECIAL = V.special_ids()
 SIZE = 2000
@@ -29,7 +29,9 @@ def counts(spark, d):
 
 
 def vocab(spark, d):
-    return V.vocab_wordlevel(counts(spark, d), SIZE)
+    """A vocabulary is a stored artifact of at most its size, so it is checkpointed."""
+    ensure_checkpoint_dir(spark)
+    return V.vocab_wordlevel(counts(spark, d), SIZE).checkpoint()
 
 
 SPECIALS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS token, {i} AS id" for t, i in SPECIAL.items())
@@ -228,7 +230,8 @@ def piece_vocab(spark, d):
     )
     piece = F.substr("word", F.col("at"), F.col("len"))
     marked = spans.select("n", F.when(F.col("at") == 1, piece).otherwise(F.concat(F.lit("##"), piece)).alias("word"))
-    return V.vocab_wordlevel(marked.groupBy("word").agg(F.sum("n").alias("n")), PIECES)
+    ensure_checkpoint_dir(spark)
+    return V.vocab_wordlevel(marked.groupBy("word").agg(F.sum("n").alias("n")), PIECES).checkpoint()
 
 
 PIECE_SQL = f"""freq AS (SELECT word, count(*) AS n FROM (SELECT unnest({Q.marks('text')}) AS word FROM documents) GROUP BY word),
