@@ -123,7 +123,7 @@ def macro_micro_accuracy(df: DataFrame, by: Sequence[str] = (), pred: str = "pre
 
 
 def row_hits(
-    df: DataFrame, k: int, id_col: str = "id", logits: str = "logits", target: str = "target",
+    df: DataFrame, k: int, keys: Sequence[str] = ("id",), logits: str = "logits", target: str = "target",
     single_target_top1: bool = False,
 ) -> DataFrame:
     """Per row: are all masked targets among the k best? ``target`` null marks a row without any.
@@ -136,15 +136,13 @@ def row_hits(
     if single_target_top1:
         limit = F.when(F.count(target) == 1, F.lit(1)).otherwise(F.lit(k))
     worst = F.coalesce(F.max(F.when(F.col(target).isNotNull(), F.col("_rank"))), F.lit(0))
-    return ranked.groupBy(id_col).agg((worst <= limit).alias("hit"))
+    return ranked.groupBy(*keys).agg((worst <= limit).alias("hit"))
 
 
 def hit_at_k(df: DataFrame, k: int, batch: str | None = None, id_col: str = "id", **options) -> DataFrame:
     """Share of rows hit at k; with ``batch`` the mean of the per-batch shares."""
     keyed = df.withColumn("_batch", F.col(batch) if batch else F.lit(0))
-    hits = row_hits(keyed.drop("_batch"), k, id_col, **options).join(
-        keyed.select(id_col, "_batch").distinct(), id_col
-    )
+    hits = row_hits(keyed, k, [id_col, "_batch"], **options)
     rates = hits.groupBy("_batch").agg(F.avg(F.col("hit").cast("double")).alias("_rate"))
     return rates.agg(F.avg("_rate").alias("hit_at_k"))
 

@@ -27,7 +27,8 @@ def prepare_wikitext(
 ) -> DataFrame:
     """Chunk, clean, deduplicate, keep English, drop empty texts, optionally transcribe.
 
-    ``chunk_id`` numbers the chunks by document and place, which defines "first" for duplicates.
+    ``chunk_id`` numbers the chunks by document and place, which defines "first" for duplicates;
+    a text has room for 2**20 chunks.
     """
     chunked = C.chunk_words(docs.select("doc_id", "text"), chunk_size, index="chunk_no")
     keyed = chunked.select(
