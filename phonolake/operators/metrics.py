@@ -55,14 +55,14 @@ def matthews(df: DataFrame, by: Sequence[str] = (), pred: str = "pred", label: s
 
 
 def pearson(df: DataFrame, by: Sequence[str] = (), left: str = "pred", right: str = "label") -> DataFrame:
-    """Null for a constant column, where the correlation is undefined."""
+    """NaN for a constant column, where the correlation is undefined."""
     x, y = F.col(left).cast("double"), F.col(right).cast("double")
-    value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    value = F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(float("nan")))
     return _grouped(df, by, value.alias("pearson"))
 
 
 def spearman(df: DataFrame, by: Sequence[str] = (), left: str = "pred", right: str = "label") -> DataFrame:
-    """Rank correlation with average ranks for ties; null for a constant column.
+    """Rank correlation with average ranks for ties; NaN for a constant column.
 
     Rows collapse to distinct (left, right) pairs before anything is ranked, so repeated scores
     cost one row, and ranks come from bucketed running totals instead of one global window.
@@ -88,7 +88,8 @@ def spearman(df: DataFrame, by: Sequence[str] = (), left: str = "pred", right: s
     # Average ranks always sum to n(n+1)/2, whatever the ties.
     square = F.col("_n") * F.pow((F.col("_n") + 1) / 2, F.lit(2.0))
     bottom = F.sqrt(F.col("_xx") - square) * F.sqrt(F.col("_yy") - square)
-    return totals.select(*by, F.try_divide(F.col("_xy") - square, bottom).alias("spearman"))
+    value = F.coalesce(F.try_divide(F.col("_xy") - square, bottom), F.lit(float("nan")))
+    return totals.select(*by, value.alias("spearman"))
 
 
 def roc_auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:

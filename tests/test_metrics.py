@@ -35,7 +35,7 @@ def test_binary_metrics(spark):
 
 def test_constant_predictions(spark):
     df = preds(spark, [(1, 0), (1, 1)])
-    assert one(M.matthews(df))[0] == 0.0 and one(M.spearman(df))[0] is None and one(M.pearson(df))[0] is None
+    assert one(M.matthews(df))[0] == 0.0 and math.isnan(one(M.spearman(df))[0]) and math.isnan(one(M.pearson(df))[0])
     assert one(M.f1(preds(spark, [(0, 0)])))[0] == 0.0
     flags = one(M.prediction_degeneracy(df))
     assert flags["all_one"] and flags["any_one"]
