@@ -59,3 +59,17 @@ def per_row(fn: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str = "tex
             yield fn(batch)
 
     return run
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key_id``, ``key_hash`` and ``text`` of each row; rows with the same id and the same text share a key.
+
+    A null id counts as the smallest long, a null text as empty.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(*key_columns(id_col, text_col), text.alias("text"))
+
+
+def key_columns(id_col: str, text_col: str) -> list:
+    lowest = F.lit(-(2**63))
+    return [F.coalesce(F.col(id_col).cast("long"), lowest).alias("key_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key_hash")]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from phonolake.llm import bpe, quality
+from phonolake.llm import bpe, line_dedup, quality
 from phonolake.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,11 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_quality")
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = line_dedup.remove_repeated_chunks(docs)
+    kept = F.coalesce("text", F.lit(""))
+    return done.select("doc_id", "n_lines", "n_lines_removed", "n_chunks_removed", F.length(kept).cast("long").alias("n_chars_kept"), F.sha2(kept, 256).alias("kept_sha256"))
