@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import bpe, line_dedup, quality
+from phonolake.llm import bpe, dart_minhash, line_dedup, quality
 from phonolake.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,8 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = line_dedup.remove_repeated_chunks(docs)
     kept = F.coalesce("text", F.lit(""))
     return done.select("doc_id", "n_lines", "n_lines_removed", "n_chunks_removed", F.length(kept).cast("long").alias("n_chars_kept"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query("op10_dart_minhash")
+def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, folder, "documents"))
