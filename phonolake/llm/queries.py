@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import bpe, dart_minhash, line_dedup, quality
+from phonolake.llm import bpe, dart_minhash, latent, line_dedup, quality
 from phonolake.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_dart_minhash")
 def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return latent.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
