@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["a", "b", "similarity"])
 
     left, right = bodies.toDF("a", "left_text"), bodies.toDF("b", "right_text")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "left_text", "right_text")
+    both = pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "left_text", "right_text")
     # a text may stand in several rows of the same id
     return both.mapInArrow(batch_rows, "a binary, b binary, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
@@ -200,9 +200,9 @@ def classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands
     nodes = stored(signed.groupBy("digest").agg(first, F.first("buckets").alias("buckets")).select(F.concat(number, "digest").alias("node"), "digest", "first", "buckets"), "nodes")
     spread = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = stored(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = stored(spread.join(shared, "bucket"), "members")
+    members = stored(spread.join(shared.hint("merge"), "bucket"), "members")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("first.key_id").alias("key_id"), F.col("first.key_hash").alias("key_hash"))
-    bodies = stored(source.join(wanted, ["key_id", "key_hash"]).select("node", "text"), "bodies")
+    bodies = stored(source.join(wanted.hint("merge"), ["key_id", "key_hash"]).select("node", "text"), "bodies")
     central = stored(members.groupBy("node").agg(F.sum("n").alias("weight")), "central")
     members = stored(members.select("bucket", "node").join(central, "node"), "weighed")
 
@@ -238,7 +238,7 @@ def classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands
     named = stored(named.select("digest", root.alias("class_key")), "named")
     unsigned = F.conv(F.hex(F.substring("class_key", 1, 8)), 16, 10).cast("decimal(20,0)")
     class_id = (unsigned - F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
-    out = signed.select("key_id", "key_hash", "digest").join(named, "digest").withColumn("class_id", class_id)
+    out = signed.select("key_id", "key_hash", "digest").join(named.hint("merge"), "digest").withColumn("class_id", class_id)
     # the class key ends with the digest of its first text
     return out.select("key_id", "key_hash", "class_id", "class_key", ((F.col("key_id") == F.col("class_id")) & (F.substring("class_key", 9, 16) == F.col("digest"))).alias("is_first"))
 
@@ -256,5 +256,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stored(found.where(~F.col("is_first")).select(F.col("key_id").alias("_gone_id"), F.col("key_hash").alias("_gone_hash")).distinct(), "gone")
     key_id, key_hash = key_columns(id_col, text_col)
     rows = docs.withColumns({"_key_id": key_id, "_key_hash": key_hash})
-    rows = rows.join(gone, (F.col("_key_id") == F.col("_gone_id")) & (F.col("_key_hash") == F.col("_gone_hash")), "left_anti")
+    rows = rows.join(gone.hint("merge"), (F.col("_key_id") == F.col("_gone_id")) & (F.col("_key_hash") == F.col("_gone_hash")), "left_anti")
     return rows.dropDuplicates(["_key_id", "_key_hash"]).select(*docs.columns)
