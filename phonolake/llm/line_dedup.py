@@ -98,14 +98,14 @@ def remove_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3, l
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32()), pa.array(bodies, pa.binary())], ["key_id", "key_hash", "place", "body"])
 
     key = ["key_id", "key_hash"]
-    with_bytes = source.join(suspects, key).select(*key, "text", "places").mapInArrow(per_row(bytes_of), "key_id long, key_hash long, place int, body binary")
+    with_bytes = source.join(suspects.hint("merge"), key).select(*key, "text", "places").mapInArrow(per_row(bytes_of), "key_id long, key_hash long, place int, body binary")
     at = F.struct("key_id", "key_hash", "place")
     firsts = with_bytes.groupBy("body").agg(F.min(at).alias("first")).groupBy("first.key_id", "first.key_hash").agg(F.collect_set("first.place").alias("firsts"))
     removals = suspects.join(firsts, key, "left").select(*key, F.array_except("places", F.coalesce("firsts", F.array().cast("array<int>"))).alias("gone")).where(F.size("gone") > 0)
     removals = stored(removals, "removals").select(F.col("key_id").alias("_gone_id"), F.col("key_hash").alias("_gone_hash"), F.col("gone").alias("_gone"))
 
     key_id, key_hash = key_columns(id_col, text_col)
-    joined = docs.withColumns({"_key_id": key_id, "_key_hash": key_hash}).join(removals, (F.col("_key_id") == F.col("_gone_id")) & (F.col("_key_hash") == F.col("_gone_hash")), "left")
+    joined = docs.withColumns({"_key_id": key_id, "_key_hash": key_hash}).join(removals.hint("merge"), (F.col("_key_id") == F.col("_gone_id")) & (F.col("_key_hash") == F.col("_gone_hash")), "left")
     joined = joined.select(*docs.columns, "_gone")
     text_at = docs.columns.index(text_col)
     schema = StructType(list(docs.schema.fields)).add("n_lines", "long").add("n_lines_removed", "long").add("n_chunks_removed", "long")
