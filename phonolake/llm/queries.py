@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.llm import bpe, dart_minhash, latent, line_dedup, quality
 from phonolake.llm.common import table
+from phonolake.llm.paths import vocabulary
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -24,13 +26,6 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def vocabulary(name: str) -> str:
-    """Path of a public vocabulary file; the package that names it is installed on every worker."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
@@ -57,3 +52,8 @@ def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_decontamination")
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return latent.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
