@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import bpe, dart_minhash, latent, line_dedup, quality
+from phonolake.llm import bpe, dart_minhash, latent, licenses, line_dedup, quality
 from phonolake.llm.common import table
 from phonolake.llm.paths import vocabulary
 
@@ -54,6 +54,36 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return latent.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def license_sql() -> str:
+    """The phrases by word lists, the templates by plain containment of every block with every template."""
+    lowered = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
+    sets = licenses.template_sets(licenses.TEMPLATES)
+    templates = ", ".join(f"({int(len(w) >= licenses.LONG)}, '{label}', {w}, {licenses.needed(w, 0.8)})" for label, w in sets)
+    return f"""
+WITH phrases(words, label) AS (VALUES {phrases}), templates(kind, label, words, need) AS (VALUES {templates}),
+d AS (SELECT doc_id, {lowered} AS text, regexp_extract_all({lowered}, {word}) AS words FROM documents),
+places AS (SELECT doc_id, label, i FROM (SELECT doc_id, words, unnest(range(len(words))) AS i FROM d) AS spots, phrases
+  WHERE spots.words[i + 1] = phrases.words[1] AND spots.words[i + 1 : i + len(phrases.words)] = phrases.words),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, 0 AS kind, unnest(string_split(text, chr(10))) AS body FROM d
+  UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(text, '\n\s*\n')) FROM d),
+sets AS (SELECT doc_id, kind, list_distinct(regexp_extract_all(body, {word})) AS own FROM blocks),
+shared AS (SELECT doc_id, label, len(list_intersect(own, words)) AS n, need, len(words) AS size FROM sets JOIN templates USING (kind)),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n / size) AS most FROM shared WHERE n >= need GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(most, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+@query("op6_licenses", license_sql())
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
