@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import bpe, dart_minhash, latent, licenses, line_dedup, quality
+from phonolake.llm import bpe, dart_minhash, latent, licenses, line_dedup, quality, spotsigs
 from phonolake.llm.common import table
 from phonolake.llm.paths import vocabulary
 
@@ -84,6 +84,11 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents"))
 
 
+@query("op8_spotsigs")
+def op8_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
