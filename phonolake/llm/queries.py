@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import bpe, dart_minhash, latent, licenses, line_dedup, quality, spotsigs, token_files
+from phonolake.llm import bpe, dart_minhash, latent, licenses, line_dedup, page_text, quality, spotsigs, token_files
 from phonolake.llm.common import table
 from phonolake.llm.paths import vocabulary
 
@@ -94,6 +94,11 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.write_and_read(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query("op3_page_text")
+def op3_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.main_text(table(spark, folder, "pages"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
