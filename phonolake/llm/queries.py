@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import bpe, dart_minhash, latent, licenses, line_dedup, page_text, quality, spotsigs, token_files
+from phonolake.llm import bpe, dart_minhash, latent, licenses, line_dedup, page_text, quality, spotsigs, suffix_dedup, token_files
 from phonolake.llm.common import table
 from phonolake.llm.paths import vocabulary
 
@@ -76,7 +76,7 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
   CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(most, 0)::DOUBLE END AS score
-FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
+  UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) FROM d),
 
 
 @query("op6_licenses", license_sql())
@@ -99,6 +99,11 @@ def op3_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return page_text.main_text(table(spark, folder, "pages"))
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
