@@ -161,9 +161,10 @@ def iteration_summary(df: DataFrame, keys: Sequence[str] = ("model", "task", "me
 
 
 def best_trial(trials: DataFrame, params: str = "params", value: str = "value", by: Sequence[str] = ()) -> DataFrame:
-    """Parameters of the best trial; null and NaN values never win."""
+    """Parameters of the best trial; null and NaN values never win, of equal values the smallest parameters do."""
     valid = trials.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    return _grouped(valid, by, F.max_by(params, value).alias(params), F.max(value).alias(value))
+    best = F.min_by(F.struct(params, value), F.struct((-F.col(value)).alias("_rank"), params))
+    return _grouped(valid, by, best.alias("_best")).select(*by, f"_best.{params}", f"_best.{value}")
 
 
 def prediction_degeneracy(df: DataFrame, by: Sequence[str] = (), pred: str = "pred") -> DataFrame:

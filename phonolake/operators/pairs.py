@@ -255,12 +255,13 @@ def positional_word_align(df: DataFrame, left, right, id_col: str = "doc_id") ->
     return words.select(id_col, F.posexplode(zipped).alias("pos", "w")).select(id_col, "pos", "w.*")
 
 
-def greedy_disjoint_sets(rows: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_disjoint_sets(rows: DataFrame) -> DataFrame:
     """Rows kept by the sequential rule: skip a row whose lemma an earlier kept row mentions.
 
     ``rows`` has row_id, lemma (may be null: never skipped) and members. A row is decided as soon
-    as every earlier row mentioning its lemma is decided; rounds repeat until all are. State is
-    checkpointed per round so that a lost executor costs one round at most.
+    as every earlier row mentioning its lemma is decided; each round decides the first open row at
+    least, and rounds repeat until none is open. State is checkpointed per round so that a lost
+    executor costs one round at most. Runs jobs while it is called.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     started = rows.select("row_id", "lemma").filter(F.col("lemma").isNull() | ~is_capitalized(F.col("lemma")))
@@ -274,7 +275,7 @@ def greedy_disjoint_sets(rows: DataFrame, max_rounds: int = 200) -> DataFrame:
     state = started.withColumn(
         "state", F.when(F.col("lemma").isNull(), F.lit("kept")).otherwise(F.lit("open"))
     ).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         seen = (
             mentions.join(state.filter("state != 'dropped'").select("row_id", "state"), "row_id")
             .groupBy(F.col("word").alias("lemma"))
@@ -300,6 +301,4 @@ def greedy_disjoint_sets(rows: DataFrame, max_rounds: int = 200) -> DataFrame:
         )
         if state.filter("state = 'open'").isEmpty():
             break
-    else:
-        raise RuntimeError(f"undecided rows remain after {max_rounds} rounds")
     return rows.join(state.filter("state = 'kept'").select("row_id"), "row_id", "left_semi")

@@ -137,3 +137,17 @@ def assign_batches(df: DataFrame, id_col: str, size: int, out: str = "batch") ->
         .withColumn(out, F.floor(F.col("_pos") / size).cast("bigint"))
         .drop("_pos")
     )
+
+
+def first_k_per_class(df: DataFrame, label: str, order: str, k: int) -> DataFrame:
+    """The first ``k`` rows of each class by ``order``; Spark keeps ``k`` rows a class before it shuffles."""
+    place = F.row_number().over(W.partitionBy(label).orderBy(order))
+    return df.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+
+
+def group_to_set(df: DataFrame, key: str, member: str) -> DataFrame:
+    """``listed``, all members of a key with their repeats, and ``members``, the distinct ones; both sorted.
+
+    The result of a key is one row, so keys must have lists that fit a row; null members are left out.
+    """
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("listed"), F.sort_array(F.collect_set(member)).alias("members"))

@@ -1,6 +1,6 @@
 """Prediction tables and metrics.
 
-``embeddings`` stands in for model output: the first dimensions are the logits of a model and
+``embeddings`` stands in for model output: its values, folded into classes, are the logits of a model and
 ``label`` is the truth. ``labels`` gives binary truth and predictions.
 """
 
@@ -20,12 +20,21 @@ from phonolake.sources import files as FI
 from phonolake.sources.catalog import METERS, TASK_LABELS
 
 K = 10
-LOGITS_SQL = f"embedding[1:{K}]"
+
+
+def folded_sql(n: int) -> str:
+    return "[" + ", ".join(f"list_max(embedding[{k + 1}:len(embedding):{n}])" for k in range(n)) + "]"
+
+
+LOGITS_SQL = folded_sql(K)
 ARGMAX_SQL = f"(list_position({LOGITS_SQL}, list_max({LOGITS_SQL})) - 1)"
 
 
 def logits(n: int = K):
-    return F.slice("embedding", 1, n)
+    """All values folded into n classes: class k has the largest of the values k, k + n, k + 2n, ..."""
+    last = F.size("embedding") - 1
+    own = [F.transform(F.sequence(F.lit(k), last, F.lit(n)), lambda i: F.element_at("embedding", i + 1)) for k in range(n)]
+    return F.array(*[F.array_max(x) for x in own])
 
 
 def guesses(spark, d):
@@ -75,10 +84,10 @@ def topk_positions(spark, d):
 
 @query(
     "label_to_name",
-    f"SELECT vec_id, [{', '.join(Q.quote(n) for n in METERS)}][label + 1] AS name FROM embeddings",
+    f"SELECT vec_id, [{', '.join(Q.quote(n) for n in METERS)}][label % {len(METERS)} + 1] AS name FROM embeddings",
 )
 def label_to_name(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", SC.label_to_name(F.col("label"), METERS).alias("name"))
+    return table(spark, d, "embeddings").select("vec_id", SC.label_to_name(F.col("label") % len(METERS), METERS).alias("name"))
 
 
 @query(
@@ -298,7 +307,7 @@ def random_baseline(spark, d):
 @query(
     "best_trial",
     """WITH t AS (SELECT user_id, event_type, avg(value) AS value FROM events GROUP BY ALL)
-    SELECT event_type, arg_max(user_id, value) AS params, round(max(value), 6) AS value FROM t GROUP BY event_type""",
+    SELECT event_type, user_id AS params, round(value, 6) AS value FROM t QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, user_id) = 1""",
 )
 def best_trial(spark, d):
     trials = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("value"))
@@ -311,7 +320,7 @@ SCORER = [round(((i * 7) % 11 - 5) / 10, 1) for i in range(K)]
 
 @query(
     "batch_score",
-    f"SELECT vec_id, round(0.5::DOUBLE + {' + '.join(f'embedding[{i + 1}]::DOUBLE * {w}::DOUBLE' for i, w in enumerate(SCORER))}, 6) AS logit FROM embeddings",
+    f"SELECT vec_id, round(0.5::DOUBLE + {' + '.join(f'{LOGITS_SQL}[{i + 1}]::DOUBLE * {w}::DOUBLE' for i, w in enumerate(SCORER))}, 6) AS logit FROM embeddings",
 )
 def batch_score(spark, d):
     """A linear scorer as the caller's model, applied in bounded batches."""
@@ -327,7 +336,7 @@ def batch_score(spark, d):
 
 @query(
     "linear_score",
-    f"SELECT vec_id, round(0.5::DOUBLE + {' + '.join(f'embedding[{i + 1}]::DOUBLE * {w}::DOUBLE' for i, w in enumerate(SCORER))}, 6) AS logit FROM embeddings",
+    f"SELECT vec_id, round(0.5::DOUBLE + {' + '.join(f'{LOGITS_SQL}[{i + 1}]::DOUBLE * {w}::DOUBLE' for i, w in enumerate(SCORER))}, 6) AS logit FROM embeddings",
 )
 def linear_score(spark, d):
     """The same scorer as a native expression."""
@@ -337,7 +346,7 @@ def linear_score(spark, d):
 @query(
     "score_predictions",
     f"""WITH p AS (SELECT 'm' || (vec_id % 2) AS model, 'verses' AS task, vec_id % 5 AS iteration, label % 2 AS label,
-      (list_position(embedding[1:2], list_max(embedding[1:2])) - 1) AS pred FROM embeddings),
+      (list_position({folded_sql(2)}, list_max({folded_sql(2)})) - 1) AS pred FROM embeddings),
     g AS (SELECT model, task, iteration, avg((pred = label)::INT) AS accuracy, count(*) FILTER (pred = 1 AND label = 1)::DOUBLE AS tp,
       count(*) FILTER (pred = 1 AND label = 0)::DOUBLE AS fp, count(*) FILTER (pred = 0 AND label = 1)::DOUBLE AS fn, count(*) FILTER (pred = 0 AND label = 0)::DOUBLE AS tn FROM p GROUP BY ALL),
     v AS (SELECT model, task, 'accuracy' AS metric, accuracy::DOUBLE AS value FROM g UNION ALL SELECT model, task, 'f1', 2 * tp / (2 * tp + fp + fn) FROM g
@@ -349,7 +358,7 @@ def score_predictions(spark, d):
     rows = table(spark, d, "embeddings")
     predictions = rows.select(
         F.col("vec_id").alias("id"), F.concat(F.lit("m"), F.col("vec_id") % 2).alias("model"), F.lit("verses").alias("task"),
-        (F.col("vec_id") % 5).alias("iteration"), F.slice("embedding", 1, 2).alias("logits"),
+        (F.col("vec_id") % 5).alias("iteration"), logits(2).alias("logits"),
     )
     labels = rows.select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("label"))
     out = PS.score_predictions(predictions, labels)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phonolake.functions import phonetic as P
 from phonolake.functions import text as X
-from phonolake.functions.scores import argmax_class
 from phonolake.operators import cleaning as C
 from phonolake.operators import lexicon as G
 from phonolake.operators import pairs as R
@@ -15,7 +13,8 @@ from phonolake.operators import sampling as S
 from phonolake.operators.positions import dense_index, shuffled_index
 from phonolake.plans import tasks as PT
 from phonolake.registry import sql as Q
-from phonolake.registry.base import big, query, r6, table
+from phonolake.registry.base import big, query, r6, table, words_text
+from phonolake.registry.scores import ARGMAX_SQL, guesses
 from phonolake.registry.texts import LINES_SQL, docs, lines, sentence_pairs
 from phonolake.session import ensure_checkpoint_dir
 from phonolake.sources import html as HT
@@ -47,11 +46,12 @@ def edges(spark, d):
 
 @query(
     "group_to_set",
-    "SELECT user_id, event_type, count(*)::BIGINT AS listed FROM events GROUP BY ALL",
+    """SELECT user_id, array_to_string(list_sort(list(event_type)), '|') AS listed, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS members
+    FROM events GROUP BY user_id""",
 )
 def group_to_set(spark, d):
-    """List and set of each key in keyed form: distinct members with their multiplicity."""
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("listed"))
+    """List and set of the members of each key."""
+    return S.group_to_set(table(spark, d, "events"), "user_id", "event_type").select("user_id", words_text("listed").alias("listed"), words_text("members").alias("members"))
 
 
 @query(
@@ -130,12 +130,11 @@ def index_bounds(spark, d):
 
 @query(
     "alternate_rows",
-    """WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents WHERE lang = 'en')
+    """WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
     SELECT doc_id, pos::BIGINT AS pos FROM p WHERE pos % 2 = 0""",
 )
 def alternate_rows(spark, d):
-    english = table(spark, d, "documents").filter("lang = 'en'").select("doc_id")
-    return S.alternate_rows(english, "doc_id").select("doc_id", big("pos").alias("pos"))
+    return S.alternate_rows(table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", big("pos").alias("pos"))
 
 
 @query(
@@ -159,18 +158,13 @@ def pair_row_ids(spark, d):
 
 @query(
     "first_k_per_class",
-    """SELECT label::BIGINT AS label, vec_id FROM embeddings
-    WHERE list_position(embedding[1:10], list_max(embedding[1:10])) - 1 <= label
+    f"""SELECT label::BIGINT AS label, vec_id FROM embeddings WHERE {ARGMAX_SQL} = label
     QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5""",
 )
 def first_k_per_class(spark, d):
-    """First five rows per class whose predicted class does not exceed the label."""
-    rows = table(spark, d, "embeddings").select(
-        "vec_id", "label", argmax_class(F.slice("embedding", 1, 10)).alias("pred")
-    )
-    by_id = W.partitionBy("label").orderBy("vec_id")
-    chosen = rows.filter("pred <= label").withColumn("_rank", F.row_number().over(by_id)).filter("_rank <= 5")
-    return chosen.select(big("label").alias("label"), "vec_id")
+    """First five correctly predicted rows per class."""
+    rows = S.first_k_per_class(guesses(spark, d).filter("pred = label"), "label", "vec_id", 5)
+    return rows.select(big("label").alias("label"), "vec_id")
 
 
 # --- sorts, samples, splits ------------------------------------------------------------------

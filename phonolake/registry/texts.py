@@ -327,12 +327,12 @@ def read_word_list(spark, d):
     return FI.read_word_list(spark, path)
 
 
-@query("read_ragged_lists", "SELECT len(string_split(p_name, ' '))::BIGINT AS width, string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[-1] AS last FROM part")
+@query("read_ragged_lists", "SELECT len(string_split(p_name, ' '))::BIGINT AS width, replace(p_name, ' ', '|') AS words FROM part")
 def read_ragged_lists(spark, d):
     path = scratch(spark, "lists")
     table(spark, d, "part").select(F.regexp_replace("p_name", " ", ",").alias("value")).write.text(path)
     lists = FI.read_ragged_lists(spark, path)
-    return lists.select(big(F.size("words")).alias("width"), F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last"))
+    return lists.select(big(F.size("words")).alias("width"), words_text("words").alias("words"))
 
 
 @query(
@@ -373,11 +373,13 @@ def extract_html_groups(spark, d):
 
 @query(
     "extract_page_count",
-    """SELECT page_id, coalesce(try_cast(trim(string_split(regexp_replace(
-    regexp_extract(html, '(?s)<head(?:\\s[^>]*)?>.*?<script(?:\\s[^>]*)?>(.*?)</script>', 1), '<[^>]*>', '', 'g'), '/')[-1]) AS INTEGER), 0)::BIGINT AS pages FROM pages""",
+    """WITH h AS (SELECT page_id, '<div class="col-sm-9"><h5>Page <b>1</b> / ' || (page_id % 97) || '</h5></div>' || html AS html FROM pages)
+    SELECT page_id, regexp_extract(html, '/ ([0-9]+)</h5>', 1)::BIGINT AS pages FROM h""",
 )
 def extract_page_count(spark, d):
-    counted = HT.extract_page_count(table(spark, d, "pages"), "head", None, "script")
+    """The pages, each below a heading that counts result pages."""
+    heading = F.concat(F.lit('<div class="col-sm-9"><h5>Page <b>1</b> / '), (F.col("page_id") % 97).cast("string"), F.lit("</h5></div>"))
+    counted = HT.extract_page_count(table(spark, d, "pages").withColumn("html", F.concat(heading, "html")))
     return counted.select("page_id", big("pages").alias("pages"))
 
 
