@@ -50,9 +50,9 @@ def drop_blank_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def dedup_exact(
-    df: DataFrame, column: str = "text", order: str = "doc_id", scope_cols: Sequence[str] = ()
+    df: DataFrame, column: str = "text", order: str | Sequence[str] = "doc_id", scope_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """Keep the first row per text hash, over the whole table by default.
+    """Keep the first row per text hash by one or several order columns, over the whole table by default.
 
     ``scope_cols`` limits the comparison to rows of the same scope, for instance a batch number.
     Copies collapse in the map-side aggregate, so a text that fills a third of the table sends
@@ -60,7 +60,8 @@ def dedup_exact(
     """
     rows = F.struct(*[F.col(c) for c in df.columns])
     kept = df.groupBy(F.md5(F.col(column)).alias("_hash"), *[F.col(c).alias(f"_s_{c}") for c in scope_cols])
-    return kept.agg(F.min_by(rows, F.col(order)).alias("_row")).select("_row.*")
+    first = F.col(order) if isinstance(order, str) else F.struct(*order)
+    return kept.agg(F.min_by(rows, first).alias("_row")).select("_row.*")
 
 
 def drop_duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -57,14 +57,17 @@ def train_language_profile(df: DataFrame, languages: Sequence[str], lang: str =
     return profile_table(df, languages, lang).select("token", F.inline(entries))
 
 
-def detect_language(df: DataFrame, profile: DataFrame, languages: Sequence[str], id_col: str = "doc_id") -> DataFrame:
-    """``(id, detected)``; rows without any known word get no row, ties go to nobody.
+def detect_language(
+    df: DataFrame, profile: DataFrame, languages: Sequence[str], id_col: str | Sequence[str] = "doc_id"
+) -> DataFrame:
+    """``(id, detected)``; an id may have several columns. Rows without any known word get no row, ties go to nobody.
 
     Scores are summed map-side, so only one row per document and map task is shuffled.
     """
+    keys = [id_col] if isinstance(id_col, str) else list(id_col)
     scored = (
-        lookup(_tokens(df, [id_col]), profile, ["token"])
-        .groupBy(id_col)
+        lookup(_tokens(df, keys), profile, ["token"])
+        .groupBy(*keys)
         .agg(*[F.sum(f"w_{name}").alias(f"s_{name}") for name in languages])
         .filter(F.col(f"s_{languages[0]}").isNotNull())
     )
@@ -75,7 +78,7 @@ def detect_language(df: DataFrame, profile: DataFrame, languages: Sequence[str],
             if other != name:
                 wins = wins & (F.col(f"s_{name}") > F.col(f"s_{other}"))
         best = F.when(wins, F.lit(name)).otherwise(best)
-    return scored.select(id_col, best.alias("detected"))
+    return scored.select(*keys, best.alias("detected"))
 
 
 def filter_language(
@@ -83,8 +86,9 @@ def filter_language(
     profile: DataFrame,
     keep: str = "en",
     languages: Sequence[str] = ("en", "fr"),
-    id_col: str = "doc_id",
+    id_col: str | Sequence[str] = "doc_id",
 ) -> DataFrame:
     """Rows detected as ``keep`` among ``languages``."""
+    keys = [id_col] if isinstance(id_col, str) else list(id_col)
     accepted = detect_language(df, profile, languages, id_col).filter(F.col("detected") == keep)
-    return df.join(accepted.select(id_col), id_col, "left_semi")
+    return df.join(accepted.select(*keys), keys, "left_semi")

@@ -61,7 +61,7 @@ def transcribe(
     df: DataFrame,
     lexicon: DataFrame,
     fields: Sequence[str] = ("text",),
-    id_col: str = "doc_id",
+    id_col: str | Sequence[str] = "doc_id",
     splitter=X.split_words,
     render=joined,
     glue: str = " ",
@@ -71,26 +71,27 @@ def transcribe(
     The rows are shuffled once by id, before the words are exploded: with a broadcastable
     lexicon the words then meet again without a further shuffle.
     """
-    base = df.repartition(id_col)
+    keys = [id_col] if isinstance(id_col, str) else list(id_col)
+    base = df.repartition(*keys)
     stacked = base.select(
-        id_col,
+        *keys,
         F.posexplode(F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields])).alias("_field", "_text"),
     )
     words = stacked.select(
-        id_col, "_field", F.posexplode(splitter(F.col("_text"))).alias("_pos", "word")
+        *keys, "_field", F.posexplode(splitter(F.col("_text"))).alias("_pos", "word")
     )
     sound = render(F.coalesce("phonemes", P.apply_grapheme_rules(F.col("word"))))
     if glue == "":  # alternating words and gaps: gaps stay as they are
         sound = F.when(F.col("word").rlike(rf"^[{X.WORD_CHARS}]"), sound).otherwise(F.col("word"))
-    sounded = lexicon_lookup(words, lexicon).select(id_col, "_field", "_pos", sound.alias("_sound"))
+    sounded = lexicon_lookup(words, lexicon).select(*keys, "_field", "_pos", sound.alias("_sound"))
     ordered = F.array_sort(F.collect_list(F.struct("_pos", "_sound")))
     texts = (
-        sounded.groupBy(id_col, "_field")
+        sounded.groupBy(*keys, "_field")
         .agg(F.array_join(F.transform(ordered, lambda s: s["_sound"]), glue).alias("_text"))
-        .groupBy(id_col)
+        .groupBy(*keys)
         .agg(*[F.max(F.when(F.col("_field") == i, F.col("_text"))).alias(f"_t{i}") for i, _ in enumerate(fields)])
     )
-    back = base.join(texts, id_col, "left")
+    back = base.join(texts, keys, "left")
     for i, name in enumerate(fields):
         back = back.withColumn(name, F.coalesce(F.col(f"_t{i}"), F.lit("")))
     return back.select(*df.columns)
@@ -115,7 +116,7 @@ def transliterate_ipa(df, lexicon, **options):
     return transcribe(df, lexicon, splitter=X.split_words_and_gaps, render=ipa, glue="", **options)
 
 
-def translate_corpus(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def translate_corpus(df: DataFrame, lexicon: DataFrame, id_col: str | Sequence[str] = "doc_id") -> DataFrame:
     """``text`` becomes the transcription, ``original_text`` keeps the source."""
     return transliterate_ipa(df.withColumn("original_text", F.col("text")), lexicon, id_col=id_col)
 

@@ -27,19 +27,16 @@ def prepare_wikitext(
 ) -> DataFrame:
     """Chunk, clean, deduplicate, keep English, drop empty texts, optionally transcribe.
 
-    ``chunk_id`` numbers the chunks by document and place, which defines "first" for duplicates;
-    a text has room for 2**20 chunks.
+    ``doc_id`` and ``chunk_no`` name a chunk and define "first" for duplicates.
     """
-    chunked = C.chunk_words(docs.select("doc_id", "text"), chunk_size, index="chunk_no")
-    keyed = chunked.select(
-        (F.col("doc_id") * F.lit(1 << 20) + F.col("chunk_no")).alias("chunk_id"), "text"
-    )
-    out = C.dedup_exact(C.map_text(keyed, X.clean_text), order="chunk_id")
+    key = ["doc_id", "chunk_no"]
+    chunked = C.chunk_words(docs.select("doc_id", "text"), chunk_size, index="chunk_no").select(*key, "text")
+    out = C.dedup_exact(C.map_text(chunked, X.clean_text), order=key)
     if profile is not None:
-        out = L.filter_language(out, profile, "en", languages, id_col="chunk_id")
+        out = L.filter_language(out, profile, "en", languages, id_col=key)
     out = C.filter_nonempty(out)
     if lexicon is not None:
-        out = C.filter_nonempty(G.translate_corpus(out, lexicon, id_col="chunk_id"))
+        out = C.filter_nonempty(G.translate_corpus(out, lexicon, id_col=key))
     return out
 
 
@@ -62,8 +59,7 @@ def prepare_bookcorpus(
     chunked = C.filter_nonempty(C.chunk_words(split, chunk_size, index="chunk_no"))
     cleaned = C.map_text(chunked, X.clean_text)
     if lexicon is not None:
-        keyed = cleaned.withColumn("_row", F.concat_ws(":", "doc_id", "chunk_no"))
-        cleaned = G.translate_corpus(keyed, lexicon, id_col="_row").drop("_row")
+        cleaned = G.translate_corpus(cleaned, lexicon, id_col=["doc_id", "chunk_no"])
     return S.seeded_shuffle(cleaned, ["doc_id", "chunk_no"], seed)
 
 

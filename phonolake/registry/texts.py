@@ -387,18 +387,18 @@ def extract_page_count(spark, d):
 
 WIKI_SQL = f"""w AS (SELECT doc_id, {Q.words('text')} AS ws FROM documents),
  s AS (SELECT doc_id, ws, unnest(range(0, len(ws), 100)) AS k FROM w),
- c AS (SELECT doc_id * 1048576 + k // 100 AS chunk_id, {Q.clean("array_to_string(ws[k + 1:k + 100], ' ')")} AS text FROM s),
- u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY chunk_id) = 1),
+ c AS (SELECT doc_id, k // 100 AS chunk_no, {Q.clean("array_to_string(ws[k + 1:k + 100], ' ')")} AS text FROM s),
+ u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id, chunk_no) = 1),
  {PROFILE_SQL},
- ct AS (SELECT chunk_id, unnest({Q.words('lower(text)')}) AS token FROM u),
- sc AS (SELECT chunk_id, sum(w_en) AS s_en, sum(w_fr) AS s_fr FROM ct JOIN prof USING (token) GROUP BY chunk_id),
- wiki AS (SELECT chunk_id::BIGINT AS chunk_id, text FROM u JOIN sc USING (chunk_id) WHERE s_en > s_fr AND length(text) > 0)"""
+ ct AS (SELECT doc_id, chunk_no, unnest({Q.words('lower(text)')}) AS token FROM u),
+ sc AS (SELECT doc_id, chunk_no, sum(w_en) AS s_en, sum(w_fr) AS s_fr FROM ct JOIN prof USING (token) GROUP BY doc_id, chunk_no),
+ wiki AS (SELECT doc_id, chunk_no::BIGINT AS chunk_no, text FROM u JOIN sc USING (doc_id, chunk_no) WHERE s_en > s_fr AND length(text) > 0)"""
 
 
-@query("prepare_wikitext", f"WITH {WIKI_SQL} SELECT chunk_id, text FROM wiki")
+@query("prepare_wikitext", f"WITH {WIKI_SQL} SELECT doc_id, chunk_no, text FROM wiki")
 def prepare_wikitext(spark, d):
     profile = L.profile_table(table(spark, d, "documents"), ["en", "fr"])
-    return PC.prepare_wikitext(docs(spark, d), profile)
+    return PC.prepare_wikitext(docs(spark, d), profile).withColumn("chunk_no", big("chunk_no"))
 
 
 @query(

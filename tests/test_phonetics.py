@@ -107,4 +107,4 @@ def test_prepare_stages_differ(spark):
     # Chunking puts a space after "http", so the URL rule has nothing to remove any more.
     chunk = " ".join(re.findall(r"\w+|[^\s\w]+", rows[0][1])).lower()
     assert re.sub(r"http\S+", "", chunk) == chunk == "hello the http :// x . y day"
-    assert [r["text"] for r in wiki.orderBy("chunk_id").collect()] == ["hello the http : x . y day", "hello the http : x . z day"]
+    assert [r["text"] for r in wiki.orderBy("doc_id", "chunk_no").collect()] == ["hello the http : x . y day", "hello the http : x . z day"]

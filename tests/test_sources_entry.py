@@ -77,7 +77,7 @@ def test_catalog():
 
 def test_entry_runs(spark):
     df = entry.entry(spark)
-    assert df.columns == ["chunk_id", "text"] and df.count() > 0
+    assert df.columns == ["doc_id", "chunk_no", "text"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
