@@ -24,7 +24,7 @@ SHARED = 100
 #: Starts per piece of a block.
 PIECE = 32
 #: Longest stretch of a text that is hashed at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 #: A perfect difference set: every number below PERIOD is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -65,7 +65,7 @@ def blocks_of(data: np.ndarray, length: int) -> np.ndarray:
     """Blocks of a text: rows of first start, number of starts, anchor, hash of the anchor's text, hash of the block."""
     out = []
     reach = length - SHARED + 1  # places of the anchor
-    for begin in range(0, len(data) - length + 1, STRETCH - length):
+    for begin in range(0, len(data) - length + 1, STRETCH - length + 1):
         stretch = data[begin : begin + STRETCH]
         n = len(stretch) - length + 1
         if n <= 0:

@@ -65,6 +65,13 @@ def test_edges(spark):
     assert suffix_dedup.remove_repeats(docs.limit(1), keep_bytes=True).first().kept is not None
 
 
+def test_blocks_cover_each_start_once():
+    data = np.random.default_rng(1).integers(97, 100, 3 * suffix_dedup.STRETCH).astype(np.uint8)
+    found = suffix_dedup.blocks_of(data, 400)
+    assert found[0, 0] == 0 and (np.diff(found[:, 0]) == found[:-1, 1]).all() and found[:, 1].sum() == len(data) - 399
+    assert (found[:, 2] >= found[:, 0] + found[:, 1] - 1).all() and (found[:, 2] - found[:, 0] <= 300).all()
+
+
 def test_sorting_of_one_bucket():
     draw = random.Random(3)
     texts = ["".join(draw.choice("ab") for _ in range(60)) for _ in range(30)] + ["ab" * 40, "ba" * 40, "a" * 80]
