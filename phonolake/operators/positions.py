@@ -109,15 +109,20 @@ def shuffled_index(
 def average_ranks(df: DataFrame, score: str, by: Sequence[str] = (), weights: Sequence[str] = ("n",)) -> DataFrame:
     """Average rank of each distinct score; ``df`` has one row per (by, score).
 
-    ``weights`` name count columns whose sum is the number of rows with that score. The bucket
-    grows with the score: sign, power of two, and the first ten bits of the mantissa, so there are
-    at most about four million bucket counts.
+    ``weights`` name count columns whose sum is the number of rows with that score. Buckets grow with
+    the score: sign, power of two and ten bits of the mantissa, then the next sixteen bits, so scores
+    that crowd in one part in 10^7 still spread. Infinite scores come first and last, NaN after all.
     """
     size = sum((F.col(w) for w in weights[1:]), F.col(weights[0]))
     x = F.col(score).cast("double")
-    power = F.when(x == 0, F.lit(-1100)).otherwise(F.floor(F.log2(F.abs(x)))).cast("bigint")
-    scaled = F.when(x == 0, F.lit(0.0)).otherwise(F.abs(x) / F.pow(F.lit(2.0), power) - 1)
-    magnitude = (power + 1100) * F.lit(1024) + F.floor(scaled * F.lit(1024)).cast("bigint")
-    keyed = df.withColumn("_bucket", F.when(x < 0, -magnitude).otherwise(magnitude))
-    ranked = running_total(keyed, ["_bucket"], [F.col(score)], value=size, groups=by, out="_before")
-    return ranked.withColumn("avg_rank", F.col("_before") + (size + 1) / 2).drop("_before", "_bucket")
+    plain = (x != 0) & (F.abs(x) < float("inf"))
+    power = F.when(plain, F.floor(F.log2(F.abs(x)))).otherwise(F.when(x == 0, -1100).otherwise(1100)).cast("bigint")
+    # the logarithm may round up to the next whole number
+    scaled = F.when(plain, F.greatest(F.abs(x) / F.pow(F.lit(2.0), power) - 1, F.lit(0.0))).otherwise(0.0) * F.lit(1024)
+    part = F.floor(scaled).cast("bigint")
+    fine = F.floor((scaled - part) * F.lit(65536)).cast("bigint")
+    magnitude = (power + 1100) * F.lit(1024) + part
+    coarse = F.when(F.isnan(x), F.lit(2**40)).when(x < 0, -magnitude).otherwise(magnitude)
+    keyed = df.withColumn("_bucket", coarse).withColumn("_fine", F.when(x < 0, -fine).otherwise(fine))
+    ranked = running_total(keyed, ["_bucket", "_fine"], [F.col(score)], value=size, groups=by, out="_before")
+    return ranked.withColumn("avg_rank", F.col("_before") + (size + 1) / 2).drop("_before", "_bucket", "_fine")

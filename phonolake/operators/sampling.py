@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phonolake.functions.hashing import hash_below, hash_unit
+from phonolake.operators.cleaning import bounded
 from phonolake.operators.positions import dense_index, shuffled_index
 
 
@@ -82,9 +83,12 @@ def balanced_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def inverse_frequency_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Weight 1/n_c on each row, by a lookup in the aggregated class table."""
-    weights = class_counts(df, label).select(label, (F.lit(1.0) / F.col("n")).alias("weight"))
-    return df.join(weights, label)
+    """Weight 1/n_c on each row, by a lookup in the aggregated class table; null is a class too.
+
+    Counts the classes when it is called, and broadcasts their table only while it is small.
+    """
+    weights = class_counts(df, label).select(F.col(label).alias("_class"), (F.lit(1.0) / F.col("n")).alias("weight"))
+    return df.join(bounded(weights), F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def oversample_classes(df: DataFrame, label: str = "label", base: int = 0) -> DataFrame:

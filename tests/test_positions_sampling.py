@@ -112,3 +112,15 @@ def test_batches_and_alternate_rows(spark):
     got = {r["id"]: r["batch"] for r in S.assign_batches(df, "id", 4).collect()}
     assert got == {i * 1000: i // 4 for i in range(11)}
     assert sorted(r["id"] for r in S.alternate_rows(df, "id").collect()) == [i * 1000 for i in range(0, 11, 2)]
+
+
+def test_average_ranks_of_crowded_and_infinite_scores(spark):
+    scores = [0.5 + i * 1e-9 for i in range(300)] + [float("inf"), float("-inf"), 0.0, -0.5, -0.5 - 1e-9]
+    df = spark.createDataFrame([(s, 1) for s in scores], "score double, n long")
+    got = {r["score"]: r["avg_rank"] for r in O.average_ranks(df, "score").collect()}
+    assert got == {s: i + 1.0 for i, s in enumerate(sorted(scores))}
+
+
+def test_inverse_weights_keep_the_null_class(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "id long, label string")
+    assert {(r["id"], r["weight"]) for r in S.inverse_frequency_weights(df).collect()} == {(1, 1.0), (2, 0.5), (3, 0.5)}
