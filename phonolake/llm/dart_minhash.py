@@ -6,8 +6,8 @@ below the shingle's weight there, and each coordinate of the signature keeps its
 agree in a coordinate with the probability of their weighted Jaccard similarity. Darts are thrown only up to a time
 that fills all coordinates, so a long document costs little more than one look at each shingle.
 
-Bands of coordinates give buckets. Members of a bucket are compared with a hub, and what hubs leave apart is compared
-exactly; comparing means the weighted Jaccard similarity of the whole texts.
+Bands of coordinates give buckets. Members of a bucket are compared with a hub; what hubs leave apart is joined exactly
+by prefix filtering. Comparing means the weighted Jaccard similarity of the whole texts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from phonolake.llm.common import key_columns, keyed, per_row, stored
 from phonolake.llm.components import components
@@ -179,7 +180,50 @@ def verified(pairs: DataFrame, bodies: DataFrame, words: int) -> DataFrame:
     return both.mapInArrow(batch_rows, "a binary, b binary, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, hub_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefix_pairs(open_: DataFrame, bodies: DataFrame, words: int, similar: float) -> DataFrame:
+    """Pairs of texts with different labels that may reach the similarity, by exact prefix filtering.
+
+    A shingle that occurs n times counts as n elements, so the weighted similarity is that of sets. Elements are
+    ordered by how many of the texts have them, rarest first; texts that reach the similarity share an element among
+    the first size - ceil(similar * size) + 1 of both. The places of a shared element bound the overlap: many texts
+    around one passage differ in words of their own, which come first.
+    """
+
+    def elements(batch):
+        import pyarrow as pa
+
+        doc, value, counts = shingles(batch.column(1).to_pylist(), words)
+        size = np.bincount(doc, counts, batch.num_rows).astype(np.int64)
+        at = np.repeat(np.arange(len(doc)), counts)
+        again = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        element = mixed(value[at] + again.astype(np.uint64) * PRIME).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at])), pa.array(element), pa.array(size[doc[at]])], ["node", "element", "size"])
+
+    texts_of = bodies.join(open_.select("node").hint("merge"), "node").select("node", "text")
+    rows = stored(texts_of.mapInArrow(per_row(elements), "node binary, element long, size long").distinct(), "elements")
+    # elements of one text only cannot be shared, but they take their places in the prefix
+    counts = stored(rows.groupBy("element").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    ranked = rows.join(counts.hint("merge"), "element", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    order = Window.partitionBy("node").orderBy("n", "element")
+    # how many elements that some other text has come before
+    before = F.coalesce(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefix = ranked.withColumns({"place": F.row_number().over(order), "before": before, "previous": F.lag("element").over(order)}).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1).where("n > 1")
+    prefix = prefix.join(open_.hint("merge"), "node").select("node", "label", "element", "size", "place", "before", "previous")
+    prefix = stored(prefix, "prefix")
+    mixed_ = stored(prefix.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element"), "mixed")
+    left = stored(prefix.join(mixed_.hint("merge"), "element"), "meeting")
+    left = left.select("element", F.col("node").alias("a"), "label", "size", "place", "before", "previous")
+    right = left.toDF("element", "b", "label_b", "size_b", "place_b", "before_b", "previous_b")
+    # the overlap that the similarity needs, and what can still be shared before, at and after this element
+    needed = F.ceil((F.col("size") + F.col("size_b")) * (similar / (1 + similar)) - 1e-9)
+    possible = F.least("before", "before_b") + 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    differ = (F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b"))
+    # two texts that also share the element before meet there already
+    starts = ~F.coalesce(F.col("previous") == F.col("previous_b"), F.lit(False))
+    return left.join(right.hint("merge"), "element").where(differ & (possible >= needed) & starts).select("a", "b").distinct()
+
+
+def classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: key_id, key_hash, class_id, class_key, is_first.
 
     Two texts are linked when the weighted Jaccard similarity of their shingle counts is ``similar`` or more and
@@ -188,8 +232,8 @@ def classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands
     ``is_first`` marks the row of that id, on every row that repeats it with the same text. Texts without
     words, null ones too, are equal to each other only if they are the same text.
 
-    Each bucket first compares all members with its most central one, then with another. Members of different
-    classes that have then not been compared are all compared, so hubs lose no link. Runs jobs and writes to the
+    Each bucket first compares all members with its most central one, and then with others if ``hub_rounds`` says
+    so. Members of buckets that then still hold two classes go through :func:`prefix_pairs`, so hubs lose no link. Runs jobs and writes to the
     checkpoint folder.
     """
     source = keyed(docs, id_col, text_col)
@@ -216,9 +260,9 @@ def classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands
             pairs = now.join(hubs, "bucket").where("label <> hub_label").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"), "hub")
             pairs = pairs.select(F.col("hub").alias("a"), F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
         else:
-            open_ = stored(now.join(hubs.select("bucket"), "bucket").select("bucket", "node", "label"), "open")
-            other = open_.toDF("bucket", "b", "other_label")
-            pairs = open_.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and label <> other_label").select("a", "b").distinct()
+            # members of buckets that still hold two classes
+            open_ = stored(now.join(hubs.select("bucket"), "bucket").select("node", "label").distinct(), "open")
+            pairs = prefix_pairs(open_, bodies, words, similar)
         if compared is not None:
             done = compared.select("a", "b").union(compared.select("b", "a"))
             pairs = pairs.join(done, ["a", "b"], "left_anti")

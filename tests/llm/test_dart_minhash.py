@@ -77,6 +77,19 @@ def test_star_around_a_base_and_chain(spark):
     assert got == {i: c for (i, _), c in brute(rows).items()}
 
 
+def test_texts_around_one_passage(spark):
+    draw = random.Random(9)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(80):
+        own = [f"o{draw.randrange(10**7)}" for _ in range(draw.randrange(1, 45))]
+        cut = draw.randrange(len(own) + 1)
+        rows.append((i, " ".join(own[:cut] + passage + own[cut:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(docs, hub_rounds=1).collect()}
+    assert got == {i: c for (i, _), c in brute(rows).items()}
+
+
 def test_edges(spark):
     long = " ".join(f"t{i % 9000}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, "a b"), (4, "a b"), (4, "a b"), (None, "x y z u v w"), (7, "x y z u v w"), (8, long), (9, long + " end"), (10, " \n ")]
