@@ -5,7 +5,7 @@ checkpoint folder and reads it again as the next stage's documents. All stages b
 ``documents``.
 
 1. quality: documents that the classifier rejects go.
-2. line_dedup: repeated multi-line chunks go from the texts but for their first occurrence; ``n_chars`` follows.
+2. line_dedup: repeated passages of two or more lines go from the texts but for their first occurrence; ``n_chars`` follows.
 3. near_dedup: one document of each near-duplicate class stays, that of the smallest id.
 4. decontamination: documents that hold a benchmark item go.
 5. encoding: ids and decoded texts of what is left.
@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.remove_repeated_chunks(docs).select(*docs.columns)
+    done = line_dedup.remove_repeated_passages(docs).select(*docs.columns)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done

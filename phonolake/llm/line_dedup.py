@@ -1,8 +1,10 @@
-"""Removal of repeated passages of several lines, by content-defined chunks of lines.
+"""Removal of repeated passages of several lines, by rolling hashes of lines.
 
-A rolling hash over the hashes of the last lines decides where a chunk ends, so the same passage is cut the same
-way wherever it stands. Only hashes of chunks are counted over the corpus; the bytes of those that repeat are
-then grouped, so a chunk goes only where its bytes equal those of an earlier one.
+``remove_repeated_passages`` takes the rolling hash of every two successive lines as a seed. A passage of two or more
+lines repeats exactly where all its pairs of successive lines do, so repeated pairs, joined where they touch, are all
+repeated passages, whatever their length. ``remove_repeated_chunks`` lets the rolling hash decide where a chunk ends
+and finds only passages that fill a chunk. Both count only hashes over the corpus; the bytes of those that repeat are
+then grouped, so lines go only where their bytes equal those of an earlier place.
 """
 
 from __future__ import annotations
@@ -137,3 +139,122 @@ def remove_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 3, l
 
     docs_columns, schema_names = docs.columns, schema.names
     return joined.mapInArrow(per_row(rewritten, text_col), schema)
+
+
+def line_pairs(text: str) -> tuple[list[str], list[int]]:
+    """The lines of a text and the places of those that are not blank; pair p is what lies from the p-th of these to the next."""
+    lines = text.split("\n")
+    return lines, [i for i, line in enumerate(lines) if line and not line.isspace()]
+
+
+def pair_body(lines: list[str], solid: list[int], pair: int) -> str:
+    """Two successive lines that are not blank, with the blank ones between them."""
+    return "\n".join(lines[solid[pair] : solid[pair + 1] + 1])
+
+
+def pair_seeds(text: str):
+    """A rolling hash of every pair of a text, as 64-bit numbers; equal pairs have equal seeds."""
+    import numpy as np
+    import xxhash
+
+    lines, solid = line_pairs(text)
+    if len(solid) < 2:
+        return np.zeros(0, np.int64)
+    hashed = xxhash.xxh3_64_intdigest
+    second = [hashed(lines[i].encode("utf-8", "surrogatepass")) for i in solid]
+    first = [h if b == a + 1 else hashed("\n".join(lines[a:b]).encode("utf-8", "surrogatepass")) for h, a, b in zip(second, solid, solid[1:], strict=False)]
+    return (np.array(first, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array(second[1:], np.uint64)).view(np.int64)
+
+
+def without_pairs(text: str, gone: list[int]) -> tuple[str, int, int]:
+    """The text without the lines of the pairs ``gone``, how many lines went, and in how many passages."""
+    lines, solid = line_pairs(text)
+    kept: list[str] = []
+    at = passages = 0
+    for pair in sorted(gone):
+        first, last = solid[pair], solid[pair + 1]
+        if first >= at:
+            passages += 1
+            kept += lines[at:first]
+        at = last + 1
+    kept += lines[at:]
+    return "\n".join(kept), len(lines) - len(kept), passages
+
+
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every passage of two or more lines that occurred before taken out of the text.
+
+    Blank lines do not count as lines of a passage, but those inside it must be the same. What occurs before is what
+    has a smaller id, then a smaller place in the text; a null id comes first. Passages are equal when their bytes
+    are, and the first occurrence of a line always stays. Where a line is repeated without a break, the first two stay
+    and a third alone is no passage. Rows with the same id and text are one document here. All columns stay, with
+    ``n_lines``, ``n_lines_removed`` and ``n_chunks_removed`` (passages) added; a null text stays null.
+
+    Runs jobs: seeds, repeated seeds and the pairs to remove are written to the checkpoint folder.
+    """
+
+    def seeded(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        seeds = [pair_seeds(text) for text in batch.column(2).to_pylist()]
+        sizes = [len(s) for s in seeds]
+        places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32)
+        keys = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in range(2)]
+        joined = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(places, pa.int32()), pa.array(joined, pa.int64())], ["key_id", "key_hash", "place", "seed"])
+
+    source = keyed(docs, id_col, text_col)
+    pairs = stored(source.mapInArrow(per_row(seeded), "key_id long, key_hash long, place int, seed long"), "pairs")
+    repeated = stored(pairs.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "repeated")
+    # both sides are read from tables, so Spark can split a seed that a large share of the pairs has
+    suspects = pairs.join(repeated, "seed", "left_semi").groupBy("key_id", "key_hash").agg(F.collect_set("place").alias("places"))
+    suspects = stored(suspects, "suspects")
+
+    def bytes_of(batch):
+        import pyarrow as pa
+
+        ids, marks, places, again, bodies = [], [], [], [], []
+        for key_id, key_hash, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            lines, solid = line_pairs(text)
+            for place in wanted:
+                body = pair_body(lines, solid, place)
+                ids.append(key_id)
+                marks.append(key_hash)
+                places.append(place)
+                again.append(place + 2 < len(solid) and pair_body(lines, solid, place + 1) == body)
+                bodies.append(body.encode("utf-8", "surrogatepass"))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32()), pa.array(again, pa.bool_()), pa.array(bodies, pa.binary())], ["key_id", "key_hash", "place", "again", "body"])
+
+    key = ["key_id", "key_hash"]
+    with_bytes = source.join(suspects.hint("merge"), key).select(*key, "text", "places").mapInArrow(per_row(bytes_of), "key_id long, key_hash long, place int, again boolean, body binary")
+    firsts = with_bytes.groupBy("body").agg(F.min(F.struct("key_id", "key_hash", "place", "again")).alias("first"))
+    # a pair that shares a line with its own first occurrence is no second one
+    stay = F.when(F.col("first.again"), F.array(F.col("first.place"), F.col("first.place") + 1)).otherwise(F.array("first.place"))
+    firsts = firsts.groupBy("first.key_id", "first.key_hash").agg(F.flatten(F.collect_list(stay)).alias("firsts"))
+    removals = suspects.join(firsts, key, "left").select(*key, F.array_except("places", F.coalesce("firsts", F.array().cast("array<int>"))).alias("gone")).where(F.size("gone") > 0)
+    removals = stored(removals, "removals").select(F.col("key_id").alias("_gone_id"), F.col("key_hash").alias("_gone_hash"), F.col("gone").alias("_gone"))
+
+    key_id, key_hash = key_columns(id_col, text_col)
+    joined = docs.withColumns({"_key_id": key_id, "_key_hash": key_hash}).join(removals.hint("merge"), (F.col("_key_id") == F.col("_gone_id")) & (F.col("_key_hash") == F.col("_gone_hash")), "left")
+    joined = joined.select(*docs.columns, "_gone")
+    text_at, n_columns = docs.columns.index(text_col), len(docs.columns)
+    schema = StructType(list(docs.schema.fields)).add("n_lines", "long").add("n_lines_removed", "long").add("n_chunks_removed", "long")
+    schema_names = schema.names
+
+    def rewritten(batch):
+        import pyarrow as pa
+
+        new, n_lines, gone_lines, passages = [], [], [], []
+        for text, gone in zip(batch.column(text_at).to_pylist(), batch.column(n_columns).to_pylist(), strict=True):
+            n_lines.append(0 if text is None else text.count("\n") + 1)
+            text, dropped, parts = without_pairs(text, gone) if gone else (text, 0, 0)
+            new.append(text)
+            gone_lines.append(dropped)
+            passages.append(parts)
+        arrays = [batch.column(i) for i in range(n_columns)]
+        arrays[text_at] = pa.array(new, pa.string())
+        arrays += [pa.array(x, pa.int64()) for x in (n_lines, gone_lines, passages)]
+        return pa.RecordBatch.from_arrays(arrays, schema_names)
+
+    return joined.mapInArrow(per_row(rewritten, text_col), schema)

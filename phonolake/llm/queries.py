@@ -39,7 +39,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_line_dedup")
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    done = line_dedup.remove_repeated_chunks(docs)
+    done = line_dedup.remove_repeated_passages(docs)
     kept = F.coalesce("text", F.lit(""))
     return done.select("doc_id", "n_lines", "n_lines_removed", "n_chunks_removed", F.length(kept).cast("long").alias("n_chars_kept"), F.sha2(kept, 256).alias("kept_sha256"))
 

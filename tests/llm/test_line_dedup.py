@@ -1,3 +1,5 @@
+import random
+
 from phonolake.llm import line_dedup
 from phonolake.llm.queries import LLM_QUERIES
 
@@ -54,3 +56,59 @@ def test_edges(spark):
     assert {r.text for r in got if r.doc_id == 5} in ({""}, {"c"})
     assert {r.key_id for r in got} == {"s"}
     assert line_dedup.remove_repeated_chunks(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def passages_brute(rows):
+    """Walk over the documents in order of their ids; a line goes with a pair of successive lines that was there before."""
+    out, seen = {}, {}
+    for key, text in sorted(rows):
+        lines = text.split("\n")
+        solid = [i for i, line in enumerate(lines) if line.strip()]
+        gone = set()
+        for p, (a, b) in enumerate(zip(solid, solid[1:], strict=False)):
+            body = tuple(lines[a : b + 1])
+            if seen.setdefault(body, (key, p)) not in ((key, p), (key, p - 1)):
+                gone |= set(range(a, b + 1))
+        out[key] = "\n".join(line for i, line in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_planted_passages_of_any_length_go(spark):
+    draw, fresh = random.Random(4), iter(range(10**6))
+    line = lambda: f"line {next(fresh)} of its own {draw.random()}"
+    rows, left = [], {}
+    for n in range(2, 11):
+        for gap in ("\n", "\n\n", "\n \n\n"):
+            for _ in range(5):
+                passage = gap.join(line() for _ in range(n))
+                before, after = "\n".join(line() for _ in range(draw.randrange(1, 8))), "\n".join(line() for _ in range(draw.randrange(1, 8)))
+                rows += [(len(rows), f"{line()}\n{passage}\n{line()}"), (len(rows) + 1, f"{before}\n{passage}\n{after}")]
+                left[rows[-1][0]] = f"{before}\n{after}"
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.text for i, r in got.items()} == dict(rows) | left
+    assert {r.n_chunks_removed for i, r in got.items() if i in left} == {1}
+
+
+def test_passages_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.where("text is not null").collect()]
+    got = {r.doc_id: r for r in LLM_QUERIES["op2_line_dedup"](spark, SF).collect()}
+    done = {r.doc_id: r.text for r in line_dedup.remove_repeated_passages(docs).where("text is not null").collect()}
+    want = passages_brute(rows)
+    assert done == want and {i: len(t) for i, t in want.items()} == {i: got[i].n_chars_kept for i in want}
+    draw = random.Random(6)
+    rows = [(i, "\n".join(draw.choice(["a", "b", "c", "d", "", " "]) for _ in range(draw.randrange(12)))) for i in range(60)]
+    rows += [(100, "z\nz\nz"), (101, "y\ny\ny\ny"), (102, "z\nz\nz"), (103, "z\nq")]
+    done = {r.doc_id: r.text for r in line_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert done == passages_brute(rows)
+    assert (done[100], done[101], done[102], done[103]) == ("z\nz\nz", "y\ny", "", "z\nq")
+
+
+def test_passages_edges(spark):
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "\n\n"), (None, "a\nb\nc"), (5, "a\nb\nc"), (5, "a\nb\nc"), (8, "one"), (9, "one")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, key_id string")
+    got = line_dedup.remove_repeated_passages(docs).collect()
+    assert sorted((str(r.doc_id), r.text, r.n_lines_removed, r.key_id) for r in got if r.text is not None) == sorted(
+        [("2", "", 0, "s"), ("3", "\n\n", 0, "s"), ("4", "\n\n", 0, "s"), ("None", "a\nb\nc", 0, "s"), ("5", "", 3, "s"), ("5", "", 3, "s"), ("8", "one", 0, "s"), ("9", "one", 0, "s")]
+    )
+    assert len(got) == len(rows) and line_dedup.remove_repeated_passages(docs.limit(0)).count() == 0
