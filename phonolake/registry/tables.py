@@ -425,11 +425,12 @@ def positional_word_align(spark, d):
 
 
 def synonym_rows(spark, d):
-    """One row per line: first word as lemma, the next three as its delimited synonyms."""
+    """One row per line: first word as lemma, all others as its synonyms, delimited by ``;`` and ``|`` in turn."""
     words = X.whitespace_words(F.lower("line"))
-    at = lambda i: F.try_element_at(F.col("w"), F.lit(i))
+    mark = lambda w, i: F.concat(F.when(i == 0, "").when(i % 2 == 1, "; ").otherwise("|"), w)
     rows = lines(spark, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("row_id"), words.alias("w"))
-    return rows.select("row_id", at(1).alias("lemma"), F.concat(at(2), F.lit("; "), at(3), F.lit("|"), at(4)).alias("synonyms"))
+    others = F.when(F.size("w") > 1, F.array_join(F.transform(F.slice("w", 2, F.size("w")), mark), ""))
+    return rows.select("row_id", F.try_element_at("w", F.lit(1)).alias("lemma"), others.alias("synonyms"))
 
 
 @query("greedy_disjoint_sets")

@@ -157,3 +157,15 @@ def test_positional_alignment_stops_at_the_shorter_text(spark):
     df = spark.createDataFrame([(1, "a b c", "x y"), (2, "", "x")], "doc_id long, a string, b string")
     got = R.positional_word_align(df, X.split_words(F.col("a")), X.split_words(F.col("b")))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "a", "x"), (1, 1, "b", "y")]
+
+
+def test_synonym_rows_take_all_words(spark, tmp_path):
+    from phonolake.registry import tables
+
+    line = " ".join(f"w{i}" for i in range(50))
+    spark.createDataFrame([(1, f"one\na b c\n{line}\np q r s\n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = tables.synonym_rows(spark, str(tmp_path)).select("lemma", "synonyms", X.split_delimited(F.col("synonyms")).alias("members"))
+    got = {r.lemma: (r.synonyms, r.members) for r in rows.collect()}
+    assert got["one"] == (None, None) and got[None] == (None, None)
+    assert got["a"] == ("b; c", ["b", "c"]) and got["p"][0] == "q; r|s"
+    assert got["w0"][1] == line.split()[1:]
