@@ -428,7 +428,7 @@ def synonym_rows(spark, d):
     """One row per line: first word as lemma, all others as its synonyms, delimited by ``;`` and ``|`` in turn."""
     words = X.whitespace_words(F.lower("line"))
     mark = lambda w, i: F.concat(F.when(i == 0, "").when(i % 2 == 1, "; ").otherwise("|"), w)
-    rows = lines(spark, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("row_id"), words.alias("w"))
+    rows = lines(spark, d).select(F.struct("doc_id", "line_no").alias("row_id"), words.alias("w"))
     others = F.when(F.size("w") > 1, F.array_join(F.transform(F.slice("w", 2, F.size("w")), mark), ""))
     return rows.select("row_id", F.try_element_at("w", F.lit(1)).alias("lemma"), others.alias("synonyms"))
 
@@ -438,7 +438,7 @@ def greedy_disjoint_sets(spark, d):
     rows = synonym_rows(spark, d)
     members = F.array_distinct(X.split_delimited(F.coalesce("synonyms", F.lit(""))))
     kept = R.greedy_disjoint_sets(rows.select("row_id", "lemma", members.alias("members")))
-    return kept.select("row_id", "lemma", F.array_join("members", "|").alias("members"))
+    return kept.select("row_id.doc_id", big("row_id.line_no").alias("line_no"), "lemma", F.array_join("members", "|").alias("members"))
 
 
 @query("build_synonym_task")
@@ -452,7 +452,7 @@ def build_homophone_task(spark, d):
     lexicon = G.build_lexicon(words)
     # Word lists come from result pages, as in the extraction query.
     pages = HT.extract_html_groups(table(spark, d, "pages"), "ul", None, "a", None)
-    groups = pages.select((F.col("page_id") * 1000 + F.col("group_no")).alias("group_id"), "words")
+    groups = pages.select(F.struct("page_id", "group_no").alias("group_id"), "words")
     return PT.build_homophone_task(words, groups, lexicon).withColumn("label", big("label"))
 
 

@@ -169,3 +169,12 @@ def test_synonym_rows_take_all_words(spark, tmp_path):
     assert got["one"] == (None, None) and got[None] == (None, None)
     assert got["a"] == ("b; c", ["b", "c"]) and got["p"][0] == "q; r|s"
     assert got["w0"][1] == line.split()[1:]
+
+
+def test_lines_of_long_texts_keep_apart(spark, tmp_path):
+    from phonolake.registry import tables
+
+    rows = [(1, "\n" * 100_000 + "apple b"), (2, "apple c\npear d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = tables.greedy_disjoint_sets(spark, str(tmp_path)).where("lemma is not null").collect()
+    assert sorted((r.doc_id, r.line_no, r.lemma) for r in got) == [(1, 100_000, "apple"), (2, 1, "pear")]
