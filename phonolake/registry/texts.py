@@ -314,8 +314,7 @@ def read_csv_table(spark, d):
 
 @query("write_csv_splits", f"SELECT doc_id, text, {SPLIT_SQL} AS split FROM documents WHERE NOT contains(text, chr(13))")
 def write_csv_splits(spark, d):
-    rows = split_docs(spark, d).filter(~F.col("text").contains("\r"))
-    path = FI.write_csv_splits(rows, scratch(spark, "csv-splits"))
+    path = FI.write_csv_splits(split_docs(spark, d), scratch(spark, "csv-splits"))
     return FI.read_csv_table(spark, path, D.CORPUS, multiline=True)
 
 
@@ -350,10 +349,10 @@ def write_text_shards(spark, d):
 @query("append_lines", f"WITH {LINES_SQL} SELECT line, (2 * count(*))::BIGINT AS n FROM lines WHERE NOT contains(line, chr(13)) GROUP BY line")
 def append_lines(spark, d):
     path = scratch(spark, "lines")
-    rows = lines(spark, d).filter(~F.col("line").contains("\r"))
+    rows = lines(spark, d)
     FI.append_lines(rows, path, "line")
     FI.append_lines(rows, path, "line")
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- HTML ------------------------------------------------------------------------------------

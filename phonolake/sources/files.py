@@ -41,8 +41,9 @@ def lists_from_lines(lines: DataFrame) -> DataFrame:
 
 
 def write_csv_splits(df: DataFrame, path: str) -> str:
-    """Header CSV, one folder per split, no index column."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("split").csv(path)
+    """Header CSV, one folder per split, no index column; white space and carriage returns at the ends of cells stay."""
+    whole = df.write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    whole.option("header", True).option("escape", '"').partitionBy("split").csv(path)
     return path
 
 

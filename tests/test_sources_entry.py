@@ -113,3 +113,15 @@ def test_queries_match_their_sql(spark, name):
     want = sorted(map(repr, cursor.fetchall()))
     got = sorted(repr(tuple(r)) for r in entry.queries()[name](spark, DATA).select(*[F.col(f"`{c}`") for c in columns]).collect())
     assert got == want
+
+
+def test_carriage_returns_are_written_and_read_back(spark, tmp_path):
+    from phonolake.registry import texts
+
+    rows = [(1, "a\rb"), (2, "a\r\nb\r"), (3, "\r"), (4, ' "q"\r, x '), (5, "plain\nline")]
+    spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = texts.write_csv_splits(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows
+    lines = {r.line: r.n for r in texts.append_lines(spark, str(tmp_path)).collect()}
+    want = [line for _, t in rows for line in t.split("\n")]
+    assert lines == {line: 2 * want.count(line) for line in want}
