@@ -33,6 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small_batches(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of at most ``most_bytes`` of text, or a single row."""
     import numpy as np
+    import pyarrow.compute as pc
 
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text_col))
@@ -40,7 +41,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes:
             if batch.num_rows:
                 yield batch
             continue
-        sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
@@ -53,8 +54,6 @@ def per_row(fn: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str = "tex
     """A ``mapInArrow`` function from a function of one batch."""
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
-
         for batch in small_batches(batches, text_col):
             yield fn(batch)
 
