@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import alignment, bpe, dart_minhash, filter_audit, latent, licenses, line_dedup, page_text, quality, spotsigs, suffix_dedup, token_files
+from phonolake.llm import alignment, bpe, dart_minhash, filter_audit, latent, licenses, line_dedup, page_text, quality, secret_scan, spotsigs, suffix_dedup, token_files
 from phonolake.llm.common import table
 from phonolake.llm.paths import vocabulary
 
@@ -104,6 +104,11 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+@query("op11_secrets")
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_counts(table(spark, folder, "documents"))
+
+
 @query("op12_filter_audit", filter_audit.audit_sql())
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
