@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +21,9 @@ PHONEME_SPECIALS = ("[PAD]", "[CLS]", "[SEP]", "[MASK]", "[UNK]")
 VOCAB_SIZE = 30522
 PHONEME_VOCAB_SIZE = 1000
 
+#: Distinct runs of symbols that merge learning takes to the driver at once.
+MOST_RUNS = 100_000
+
 
 def special_ids(specials: Sequence[str] = SPECIALS) -> dict[str, int]:
     return {token: i for i, token in enumerate(specials)}
@@ -84,31 +89,116 @@ def _pair_counts(types: DataFrame) -> DataFrame:
     )
 
 
-def _safe_merges(top: list, room: int, complete: bool) -> list[str]:
-    """The longest run of best pairs that one-at-a-time merging would take in the same order.
+def _runs(active: set[str]):
+    """A ``mapInArrow`` function: the runs of symbols that only active pairs join, with summed counts."""
+
+    def cut(batches):
+        import pyarrow as pa
+
+        counts: dict[str, int] = {}
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["run", "n"])
+            counts.clear()
+            return out
+
+        for rows in batches:
+            for n, seg in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                start = 0
+                for at in range(1, len(seg) + 1):
+                    if at == len(seg) or seg[at - 1 : at + 1] not in active:
+                        if at - start > 1:
+                            run = seg[start:at]
+                            counts[run] = counts.get(run, 0) + n
+                        start = at
+            if len(counts) > MOST_RUNS:
+                yield batch()
+        yield batch()
+
+    return cut
+
+
+def _merged(codes: list[tuple[str, str]]):
+    """A ``mapInArrow`` function: apply merges, given as pair and new symbol, in their order."""
+    ranks = {pair: rank for rank, (pair, _) in enumerate(codes)}
+
+    def apply(batches):
+        import pyarrow as pa
+
+        for rows in batches:
+            done = []
+            for seg in rows.column(1).to_pylist():
+                while True:
+                    best = min((ranks[p] for p in map(str.__add__, seg, seg[1:]) if p in ranks), default=None)
+                    if best is None:
+                        break
+                    seg = seg.replace(*codes[best])
+                done.append(seg)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(done, pa.string())], ["n", "seg"])
+
+    return apply
+
+
+class _Phase:
+    """One-at-a-time merging of runs while its choice is the one that all words would give.
 
-    A later pair must share no symbol with an earlier one, else its count may have changed. A pair
-    created by an earlier merge is at most as frequent as an existing pair that touches one of
-    the merged symbols. Such a pair would stand before a less frequent candidate, and a tie with
-    one ends the run. Doubled symbols overlap with themselves, so they end it too.
+    Outside the runs stand pairs of at most ``floor`` occurrences. As long as merges make new symbols, each symbol
+    ends and begins in one symbol of the start, so a pair of two symbols comes from one pair of the start: it is in
+    the runs everywhere, and counted whole, or nowhere, and then at most as frequent as ``floor``.
     """
-    taken: list[str] = []
-    touched: set[str] = set()
-    for at, row in enumerate(top):
-        left, right = row["pair"]
-        if len(taken) == room or left in touched or right in touched:
-            break
-        if taken:
-            ties = [r["pair"] for r in top[at + 1 :] if r["n"] == row["n"]]
-            if any(touched & set(pair) for pair in ties):
-                break
-            if not complete and row["n"] == top[-1]["n"]:
-                break
-        taken.append(row["pair"])
-        touched |= {left, right}
-        if left == right:
-            break
-    return taken
+
+    def __init__(self, runs: list[tuple[list[int], int]], floor: int):
+        self.runs = runs
+        self.floor = floor
+        self.counts: dict[tuple[int, int], int] = {}
+        self.places: dict[tuple[int, int], set[int]] = {}
+        for at in range(len(runs)):
+            self.count(at, 1)
+        self.heap = [(-n, pair) for pair, n in self.counts.items()]
+        heapq.heapify(self.heap)
+
+    def count(self, at: int, sign: int) -> list[tuple[int, int]]:
+        symbols, n = self.runs[at]
+        pairs = list(pairwise(symbols))
+        for pair in pairs:
+            self.counts[pair] = self.counts.get(pair, 0) + sign * n
+            if sign > 0:
+                self.places.setdefault(pair, set()).add(at)
+        return pairs
+
+    def best(self, first: bool) -> tuple[int, int] | None:
+        """The next pair, or none where words outside the runs may hold a better one; the first is always right."""
+        while self.heap:
+            n, pair = self.heap[0]
+            now = self.counts.get(pair, 0)
+            if now == -n:
+                return pair if now > 0 and (first or now > self.floor) else None
+            heapq.heappop(self.heap)
+            if now > 0:
+                heapq.heappush(self.heap, (-now, pair))
+        return None
+
+    def merge(self, pair: tuple[int, int], made: int) -> None:
+        left, right = pair
+        changed = set()
+        for at in self.places.pop(pair, ()):
+            symbols, n = self.runs[at]
+            if not any(p == pair for p in pairwise(symbols)):
+                continue
+            changed.update(self.count(at, -1))
+            out, k = [], 0
+            while k < len(symbols):
+                if k + 1 < len(symbols) and symbols[k] == left and symbols[k + 1] == right:
+                    out.append(made)
+                    k += 2
+                else:
+                    out.append(symbols[k])
+                    k += 1
+            self.runs[at] = (out, n)
+            changed.update(self.count(at, 1))
+        for p in changed:
+            if self.counts[p] > 0:
+                heapq.heappush(self.heap, (-self.counts[p], p))
 
 
 def train_merges(
@@ -117,15 +207,19 @@ def train_merges(
     specials: Sequence[str] = SPECIALS,
     prefix: str = "",
     extra_tokens: Sequence[str] = (),
-    checkpoint_every: int = 20,
-    window: int = 200,
+    most_pairs: int = 20_000,
+    most_runs: int = MOST_RUNS,
 ) -> tuple[DataFrame, DataFrame]:
     """Learn merges from word counts; gives ``vocab(token, id)`` and ``merges(rank, left, right)``.
 
-    The state is one row per distinct word, its symbols coded as one character each. Every round
-    counts adjacent pairs on the cluster, takes the ``window`` best to the driver and applies as
-    many as sequential merging would apply in that order (see ``_safe_merges``). Ties go to the
-    pair with the lower token ids. ``prefix`` ("##") gives continuation pieces.
+    The state is one row per distinct word, its symbols coded as one character each. A phase counts adjacent pairs
+    on the cluster and takes the most frequent ones; the rest, none above some floor, cut the words into runs. Equal
+    runs are added up, and no merge above the floor can cross a cut, so merging the distinct runs one at a time
+    gives the merges that all words would give (see ``_Phase``); one that makes a known token ends the phase. These are applied to the words before the next phase.
+
+    The driver gets at most ``most_pairs`` pairs and ``most_runs`` distinct runs; where there are more, fewer pairs
+    are taken, down to the single best one. Phases, not merges, cost a pass over the words. Ties go to the pair
+    with the lower token ids. ``prefix`` ("##") gives continuation pieces.
     """
     spark = counts.sparkSession
     ensure_checkpoint_dir(spark)
@@ -142,34 +236,64 @@ def train_merges(
     ids: dict[str, int] = {}
     for token in [*specials, *extra_tokens, *(mark + c for mark, c in alphabet)]:
         ids.setdefault(token, len(ids))
-    token_of = {_code(i): token for token, i in ids.items()}
+    tokens = list(ids)
+    id_of = {_code(i): i for i in range(len(tokens))}
 
     def coded(column: Column, mark: str) -> Column:
         letters = [c for m, c in alphabet if m == mark]
         return F.translate(column, "".join(letters), "".join(_code(ids[mark + c]) for c in letters))
 
     first, rest = coded(F.substring("word", 1, 1), ""), coded(F.substr("word", F.lit(2)), prefix)
-    types = spread_small_input(words).select("n", F.concat(first, rest).alias("seg")).checkpoint()
+    types = spread_small_input(words).select(F.col("n").cast("long").alias("n"), F.concat(first, rest).alias("seg")).checkpoint()
     merges: list[tuple[str, str]] = []
-    since = 0
+    take = 512
     while len(ids) < vocab_size:
-        best = _pair_counts(types).orderBy(F.col("n").desc(), "pair").limit(window).collect()
-        if not best:
+        top = _pair_counts(types).orderBy(F.col("n").desc(), "pair").limit(most_pairs + 1).collect()
+        if not top:
             break
-        batch = _safe_merges(best, vocab_size - len(ids), complete=len(best) < window)
-        seg = F.col("seg")
-        for pair in batch:
-            left, right = (token_of[symbol] for symbol in pair)
+        while True:
+            # pairs that are more frequent than the first one left out, or the best one alone
+            floor = top[take]["n"] if take < len(top) else 0
+            active = {r["pair"] for r in top if r["n"] > floor}
+            if not active:
+                later = next((k for k, r in enumerate(top) if r["n"] < top[0]["n"]), None)
+                if later is not None and later > take:
+                    take = later
+                    continue
+                if later is None and len(top) <= most_pairs:
+                    active = {r["pair"] for r in top}
+                    floor = 0
+                else:
+                    active, floor = {top[0]["pair"]}, top[0]["n"]
+            found = types.mapInArrow(_runs(active), "run string, n long").groupBy("run").agg(F.sum("n").alias("n")).limit(most_runs + 1).toArrow()
+            if found.num_rows <= most_runs:
+                break
+            ties = sum(r["n"] == top[0]["n"] for r in top)
+            if take > ties:
+                take = max(ties, take // 4)
+            else:
+                top, take = top[:1], 1
+                active, floor = {top[0]["pair"]}, top[0]["n"]
+                found = types.mapInArrow(_runs(active), "run string, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
+                break
+        runs = [([id_of[c] for c in run], n) for run, n in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
+        phase, learned = _Phase(runs, floor), []
+        while len(ids) < vocab_size and (pair := phase.best(not learned)):
+            left, right = (tokens[k] for k in pair)
             whole = left + (right[len(prefix) :] if prefix else right)
+            existed = whole in ids
+            made = ids.setdefault(whole, len(ids))
+            if not existed:
+                tokens.append(whole)
+                id_of[_code(made)] = made
             merges.append((left, right))
-            code = _code(ids.setdefault(whole, len(ids)))
-            token_of[code] = whole
-            seg = F.replace(seg, F.lit(pair), F.lit(code))
-        types = types.withColumn("seg", seg)
-        since += len(batch)
-        if since >= checkpoint_every:
-            types = types.checkpoint()
-            since = 0
+            learned.append((_code(pair[0]) + _code(pair[1]), _code(made)))
+            if existed:  # a symbol made in two ways has pairs on both sides of a cut: count anew
+                break
+            phase.merge(pair, made)
+        types = types.mapInArrow(_merged(learned), "n long, seg string").checkpoint()
+        if found.num_rows * 4 <= most_runs:
+            take = min(most_pairs, take * 4)
     vocab = spark.createDataFrame(list(ids.items()), "token string, id int")
     table = spark.createDataFrame(
         [(i, left, right) for i, (left, right) in enumerate(merges)], "rank int, left string, right string"

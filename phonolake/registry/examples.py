@@ -366,5 +366,5 @@ def build_bilingual_mlm(spark, d):
 def replay_merges(spark, d):
     """Words of the conversations under merges learned on them."""
     words = V.word_frequencies(table(spark, d, "conversations"))
-    learned, merges = V.train_merges(words, vocab_size=150)
+    learned, merges = V.train_merges(words)
     return E.replay_merges(words, learned, merges, UNK).select("word", ints_text("ids").alias("ids"))

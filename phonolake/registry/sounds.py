@@ -219,7 +219,7 @@ def vocab_wordlevel(spark, d):
 
 @query("vocab_bpe")
 def vocab_bpe(spark, d):
-    vocab, _ = V.train_merges(V.word_frequencies(both_texts(spark, d)), vocab_size=200)
+    vocab, _ = V.train_merges(V.word_frequencies(both_texts(spark, d)))
     return vocab.select("token", big("id").alias("id"))
 
 
@@ -227,7 +227,7 @@ def vocab_bpe(spark, d):
 def vocab_wordpiece(spark, d):
     """Continuation pieces, seeded with the phoneme inventory."""
     counts = V.word_frequencies(both_texts(spark, d))
-    vocab, _ = V.train_merges(counts, vocab_size=400, prefix="##", extra_tokens=list(dict.fromkeys(P.XSAMPA_INVENTORY)))
+    vocab, _ = V.train_merges(counts, prefix="##", extra_tokens=list(dict.fromkeys(P.XSAMPA_INVENTORY)))
     return vocab.select("token", big("id").alias("id"))
 
 
@@ -235,7 +235,7 @@ def vocab_wordpiece(spark, d):
 def train_vocabulary(spark, d):
     """Merge vocabulary over transcription and original text."""
     corpus = G.translate_corpus(docs(spark, d), G.one_pronunciation(pronunciations(spark, d)))
-    vocab, _ = PC.train_vocabulary(corpus, "BPE", size=260)
+    vocab, _ = PC.train_vocabulary(corpus, "BPE")
     return vocab.select("token", big("id").alias("id"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE, WordPiece
-from tokenizers.pre_tokenizers import Whitespace
+from tokenizers.pre_tokenizers import Split, Whitespace
 from tokenizers.trainers import BpeTrainer
 
 from phonolake.operators import encoding as E
@@ -41,9 +41,31 @@ def test_merges_equal_a_sequential_trainer(spark, seed):
 
 def test_small_candidate_window_gives_the_same_merges(spark):
     words = counted(spark, corpus(3))
-    a = V.train_merges(words, vocab_size=60)[1].orderBy("rank").collect()
-    b = V.train_merges(words, vocab_size=60, window=2)[1].orderBy("rank").collect()
-    assert a == b
+    a = V.train_merges(words, vocab_size=30)[1].orderBy("rank").collect()
+    for bounds in ({"most_pairs": 2}, {"most_runs": 3}):
+        assert V.train_merges(words, vocab_size=30, **bounds)[1].orderBy("rank").collect() == a, bounds
+
+
+def test_merges_that_make_known_tokens(spark):
+    """Extra tokens are made again by merges, which ends a phase; the order must stay."""
+    words = counted(spark, corpus(5))
+    extra = ["ing", "er", "soub"]
+    plain = V.train_merges(words, vocab_size=45)[1].orderBy("rank").collect()
+    seeded = V.train_merges(words, vocab_size=48, extra_tokens=extra)[1].orderBy("rank").collect()
+    short = V.train_merges(words, vocab_size=48, extra_tokens=extra, most_runs=40)[1].orderBy("rank").collect()
+    assert seeded == short and len(seeded) >= len(plain)
+
+
+def test_whole_size_equals_a_sequential_trainer(spark):
+    """The library's own size on the given texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = V.word_frequencies(docs)
+    vocab, _ = V.train_merges(counts, most_runs=20_000)
+    model = Tokenizer(BPE(unk_token="[UNK]"))
+    model.pre_tokenizer = Split("\x01", "removed")
+    lines = ["\x01".join([r["word"]] * r["n"]) for r in counts.where("word <> ''").collect()]
+    model.train_from_iterator(lines, BpeTrainer(vocab_size=V.VOCAB_SIZE, special_tokens=list(V.SPECIALS), show_progress=False))
+    assert dict(vocab.collect()) == model.get_vocab()
 
 
 def test_continuation_prefix(spark):
