@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +23,38 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Folders written inside the scopes that are open, the innermost last.
+SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("SCOPES", default=())
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Tables that ``stored`` writes inside are deleted at the end, but for those written with ``keep``.
+
+    What is kept belongs to the scope around, if there is one. Use it where everything that reads the other
+    tables has itself been written.
+    """
+    own: list[str] = []
+    outer = SCOPES.get()
+    token = SCOPES.set((*outer, own))
+    try:
+        yield
+    finally:
+        SCOPES.reset(token)
+        context = spark.sparkContext
+        for folder in own:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write to the folder of ``spark.checkpoint.dir`` and read back: shared, compressed, and free of lineage."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    scopes = SCOPES.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

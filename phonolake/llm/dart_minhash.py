@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from phonolake.llm.common import key_columns, keyed, per_row, stored
+from phonolake.llm.common import key_columns, keyed, per_row, scratch_tables, stored
 from phonolake.llm.components import components
 
 WORDS = 5
@@ -236,50 +236,51 @@ def classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands
     so. Members of buckets that then still hold two classes go through :func:`prefix_pairs`, so hubs lose no link. Runs jobs and writes to the
     checkpoint folder.
     """
-    source = keyed(docs, id_col, text_col)
-    signed = stored(with_signatures(source, words, bands, rows), "signed")
-    first = F.min(F.struct("key_id", "key_hash")).alias("first")
-    # the node orders by id; equal texts are one node
-    number = F.unhex(F.lpad(F.hex(F.col("first.key_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
-    nodes = stored(signed.groupBy("digest").agg(first, F.first("buckets").alias("buckets")).select(F.concat(number, "digest").alias("node"), "digest", "first", "buckets"), "nodes")
-    spread = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = stored(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = stored(spread.join(shared.hint("merge"), "bucket"), "members")
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("first.key_id").alias("key_id"), F.col("first.key_hash").alias("key_hash"))
-    bodies = stored(source.join(wanted.hint("merge"), ["key_id", "key_hash"]).select("node", "text"), "bodies")
-    central = stored(members.groupBy("node").agg(F.sum("n").alias("weight")), "central")
-    members = stored(members.select("bucket", "node").join(central, "node"), "weighed")
-
-    labels = links = compared = None
-    for turn in range(hub_rounds + 1):
-        now = members.withColumn("label", F.col("node")) if labels is None else stored(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "now")
-        weight = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        hubs = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct(weight.alias("w"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))).alias("top"))
-        hubs = stored(hubs.where("low <> high").select("bucket", "top.hub", "top.hub_label"), "hubs")
-        if turn < hub_rounds:
-            pairs = now.join(hubs, "bucket").where("label <> hub_label").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"), "hub")
-            pairs = pairs.select(F.col("hub").alias("a"), F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
-        else:
-            # members of buckets that still hold two classes
-            open_ = stored(now.join(hubs.select("bucket"), "bucket").select("node", "label").distinct(), "open")
-            pairs = prefix_pairs(open_, bodies, words, similar)
-        if compared is not None:
-            done = compared.select("a", "b").union(compared.select("b", "a"))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if not pairs.take(1):
-            if turn == 0 or turn == hub_rounds:
-                break
-            continue
-        fresh = stored(verified(pairs, bodies, words), "fresh")
-        compared = fresh if compared is None else compared.union(fresh)
-        new = fresh.where(F.col("similarity") >= similar)
-        links = new if links is None else links.union(new)
-        labels = components(links)
-
-    root = F.col("node") if labels is None else F.coalesce("label", "node")
-    named = nodes.select("digest", "node") if labels is None else nodes.select("digest", "node").join(labels, "node", "left")
-    named = stored(named.select("digest", root.alias("class_key")), "named")
+    with scratch_tables(docs.sparkSession):
+        source = keyed(docs, id_col, text_col)
+        signed = stored(with_signatures(source, words, bands, rows), "signed", keep=True)
+        first = F.min(F.struct("key_id", "key_hash")).alias("first")
+        # the node orders by id; equal texts are one node
+        number = F.unhex(F.lpad(F.hex(F.col("first.key_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+        nodes = stored(signed.groupBy("digest").agg(first, F.first("buckets").alias("buckets")).select(F.concat(number, "digest").alias("node"), "digest", "first", "buckets"), "nodes")
+        spread = nodes.select("node", F.explode("buckets").alias("bucket"))
+        shared = stored(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        members = stored(spread.join(shared.hint("merge"), "bucket"), "members")
+        wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("first.key_id").alias("key_id"), F.col("first.key_hash").alias("key_hash"))
+        bodies = stored(source.join(wanted.hint("merge"), ["key_id", "key_hash"]).select("node", "text"), "bodies")
+        central = stored(members.groupBy("node").agg(F.sum("n").alias("weight")), "central")
+        members = stored(members.select("bucket", "node").join(central, "node"), "weighed")
+
+        labels = links = compared = None
+        for turn in range(hub_rounds + 1):
+            now = members.withColumn("label", F.col("node")) if labels is None else stored(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "now")
+            weight = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            hubs = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct(weight.alias("w"), F.col("node").alias("hub"), F.col("label").alias("hub_label"))).alias("top"))
+            hubs = stored(hubs.where("low <> high").select("bucket", "top.hub", "top.hub_label"), "hubs")
+            if turn < hub_rounds:
+                pairs = now.join(hubs, "bucket").where("label <> hub_label").select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y"), "hub")
+                pairs = pairs.select(F.col("hub").alias("a"), F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+            else:
+                # members of buckets that still hold two classes
+                open_ = stored(now.join(hubs.select("bucket"), "bucket").select("node", "label").distinct(), "open")
+                pairs = prefix_pairs(open_, bodies, words, similar)
+            if compared is not None:
+                done = compared.select("a", "b").union(compared.select("b", "a"))
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = stored(pairs, "pairs")
+            if not pairs.take(1):
+                if turn == 0 or turn == hub_rounds:
+                    break
+                continue
+            fresh = stored(verified(pairs, bodies, words), "fresh")
+            compared = fresh if compared is None else compared.union(fresh)
+            new = fresh.where(F.col("similarity") >= similar)
+            links = new if links is None else links.union(new)
+            labels = components(links)
+
+        root = F.col("node") if labels is None else F.coalesce("label", "node")
+        named = nodes.select("digest", "node") if labels is None else nodes.select("digest", "node").join(labels, "node", "left")
+        named = stored(named.select("digest", root.alias("class_key")), "named", keep=True)
     unsigned = F.conv(F.hex(F.substring("class_key", 1, 8)), 16, 10).cast("decimal(20,0)")
     class_id = (unsigned - F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
     out = signed.select("key_id", "key_hash", "digest").join(named.hint("merge"), "digest").withColumn("class_id", class_id)
@@ -296,8 +297,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; all columns unchanged."""
-    found = classes(docs, id_col=id_col, text_col=text_col, **options)
-    gone = stored(found.where(~F.col("is_first")).select(F.col("key_id").alias("_gone_id"), F.col("key_hash").alias("_gone_hash")).distinct(), "gone")
+    with scratch_tables(docs.sparkSession):
+        found = classes(docs, id_col=id_col, text_col=text_col, **options)
+        gone = stored(found.where(~F.col("is_first")).select(F.col("key_id").alias("_gone_id"), F.col("key_hash").alias("_gone_hash")).distinct(), "gone", keep=True)
     key_id, key_hash = key_columns(id_col, text_col)
     rows = docs.withColumns({"_key_id": key_id, "_key_hash": key_hash})
     rows = rows.join(gone.hint("merge"), (F.col("_key_id") == F.col("_gone_id")) & (F.col("_key_hash") == F.col("_gone_hash")), "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from phonolake.llm.common import key_columns, keyed, per_row, stored
+from phonolake.llm.common import key_columns, keyed, per_row, scratch_tables, stored
 
 MASK = (1 << 64) - 1
 
@@ -204,36 +204,37 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
         joined = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(places, pa.int32()), pa.array(joined, pa.int64())], ["key_id", "key_hash", "place", "seed"])
 
-    source = keyed(docs, id_col, text_col)
-    pairs = stored(source.mapInArrow(per_row(seeded), "key_id long, key_hash long, place int, seed long"), "pairs")
-    repeated = stored(pairs.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "repeated")
-    # both sides are read from tables, so Spark can split a seed that a large share of the pairs has
-    suspects = pairs.join(repeated, "seed", "left_semi").groupBy("key_id", "key_hash").agg(F.collect_set("place").alias("places"))
-    suspects = stored(suspects, "suspects")
-
-    def bytes_of(batch):
-        import pyarrow as pa
-
-        ids, marks, places, again, bodies = [], [], [], [], []
-        for key_id, key_hash, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            lines, solid = line_pairs(text)
-            for place in wanted:
-                body = pair_body(lines, solid, place)
-                ids.append(key_id)
-                marks.append(key_hash)
-                places.append(place)
-                again.append(place + 2 < len(solid) and pair_body(lines, solid, place + 1) == body)
-                bodies.append(body.encode("utf-8", "surrogatepass"))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32()), pa.array(again, pa.bool_()), pa.array(bodies, pa.binary())], ["key_id", "key_hash", "place", "again", "body"])
-
-    key = ["key_id", "key_hash"]
-    with_bytes = source.join(suspects.hint("merge"), key).select(*key, "text", "places").mapInArrow(per_row(bytes_of), "key_id long, key_hash long, place int, again boolean, body binary")
-    firsts = with_bytes.groupBy("body").agg(F.min(F.struct("key_id", "key_hash", "place", "again")).alias("first"))
-    # a pair that shares a line with its own first occurrence is no second one
-    stay = F.when(F.col("first.again"), F.array(F.col("first.place"), F.col("first.place") + 1)).otherwise(F.array("first.place"))
-    firsts = firsts.groupBy("first.key_id", "first.key_hash").agg(F.flatten(F.collect_list(stay)).alias("firsts"))
-    removals = suspects.join(firsts, key, "left").select(*key, F.array_except("places", F.coalesce("firsts", F.array().cast("array<int>"))).alias("gone")).where(F.size("gone") > 0)
-    removals = stored(removals, "removals").select(F.col("key_id").alias("_gone_id"), F.col("key_hash").alias("_gone_hash"), F.col("gone").alias("_gone"))
+    with scratch_tables(docs.sparkSession):
+        source = keyed(docs, id_col, text_col)
+        pairs = stored(source.mapInArrow(per_row(seeded), "key_id long, key_hash long, place int, seed long"), "pairs")
+        repeated = stored(pairs.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "repeated")
+        # both sides are read from tables, so Spark can split a seed that a large share of the pairs has
+        suspects = pairs.join(repeated, "seed", "left_semi").groupBy("key_id", "key_hash").agg(F.collect_set("place").alias("places"))
+        suspects = stored(suspects, "suspects")
+
+        def bytes_of(batch):
+            import pyarrow as pa
+
+            ids, marks, places, again, bodies = [], [], [], [], []
+            for key_id, key_hash, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                lines, solid = line_pairs(text)
+                for place in wanted:
+                    body = pair_body(lines, solid, place)
+                    ids.append(key_id)
+                    marks.append(key_hash)
+                    places.append(place)
+                    again.append(place + 2 < len(solid) and pair_body(lines, solid, place + 1) == body)
+                    bodies.append(body.encode("utf-8", "surrogatepass"))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32()), pa.array(again, pa.bool_()), pa.array(bodies, pa.binary())], ["key_id", "key_hash", "place", "again", "body"])
+
+        key = ["key_id", "key_hash"]
+        with_bytes = source.join(suspects.hint("merge"), key).select(*key, "text", "places").mapInArrow(per_row(bytes_of), "key_id long, key_hash long, place int, again boolean, body binary")
+        firsts = with_bytes.groupBy("body").agg(F.min(F.struct("key_id", "key_hash", "place", "again")).alias("first"))
+        # a pair that shares a line with its own first occurrence is no second one
+        stay = F.when(F.col("first.again"), F.array(F.col("first.place"), F.col("first.place") + 1)).otherwise(F.array("first.place"))
+        firsts = firsts.groupBy("first.key_id", "first.key_hash").agg(F.flatten(F.collect_list(stay)).alias("firsts"))
+        removals = suspects.join(firsts, key, "left").select(*key, F.array_except("places", F.coalesce("firsts", F.array().cast("array<int>"))).alias("gone")).where(F.size("gone") > 0)
+        removals = stored(removals, "removals", keep=True).select(F.col("key_id").alias("_gone_id"), F.col("key_hash").alias("_gone_hash"), F.col("gone").alias("_gone"))
 
     key_id, key_hash = key_columns(id_col, text_col)
     joined = docs.withColumns({"_key_id": key_id, "_key_hash": key_hash}).join(removals.hint("merge"), (F.col("_key_id") == F.col("_gone_id")) & (F.col("_key_hash") == F.col("_gone_hash")), "left")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import per_row, stored, texts
+from phonolake.llm.common import per_row, scratch_tables, small_batches, stored, texts
 
 STATISTICS = [
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "stops", "commas", "marks", "symbols", "bars",
@@ -221,15 +221,15 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_
 
     The texts are read a second time instead of being shuffled to meet their scores.
     """
-    model = fit(stored(with_statistics(texts(docs, id_col, text_col)), "stats"), labels, **options)
+    with scratch_tables(docs.sparkSession):
+        model = fit(stored(with_statistics(texts(docs, id_col, text_col)), "stats"), labels, **options)
 
     def keep(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if batch.num_rows:
-                text = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                good = model.score(np.stack([statistics(t or "") for t in text])) >= threshold
-                yield batch.filter(pa.array(good))
+        for batch in small_batches(batches, text_col):
+            text = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            good = model.score(np.stack([statistics(t or "") for t in text])) >= threshold
+            yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)
