@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.llm import bpe, dart_minhash, latent, line_dedup, quality
-from phonolake.llm.common import stored, table
+from phonolake.llm.common import scratch_tables, stored, table
 from phonolake.llm.paths import vocabulary
 
 
@@ -61,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch_tables(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return docs
