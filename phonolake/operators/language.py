@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonolake.functions import text as X
 from phonolake.operators.cleaning import lookup
+from phonolake.operators.held import Held, add_up, hold
 from phonolake.session import ensure_checkpoint_dir
 
 
@@ -62,23 +63,45 @@ def detect_language(
 ) -> DataFrame:
     """``(id, detected)``; an id may have several columns. Rows without any known word get no row, ties go to nobody.
 
-    Scores are summed map-side, so only one row per document and map task is shuffled.
+    Tasks hold the profile and add up inside the row. For a profile too large for that, scores are summed
+    map-side, so only one row per document and map task is shuffled.
     """
     keys = [id_col] if isinstance(id_col, str) else list(id_col)
+    held = hold_profile(profile, languages)
+    if held is not None:
+        return with_language(df.select(*keys, "text"), held, languages).where(F.col("_scores").isNotNull()).select(*keys, "detected")
     scored = (
         lookup(_tokens(df, keys), profile, ["token"])
         .groupBy(*keys)
         .agg(*[F.sum(f"w_{name}").alias(f"s_{name}") for name in languages])
         .filter(F.col(f"s_{languages[0]}").isNotNull())
     )
+    best = _best({name: F.col(f"s_{name}") for name in languages})
+    return scored.select(*keys, best.alias("detected"))
+
+
+def _best(scores: dict[str, Column]) -> Column:
+    """The language with the highest score; null where two share it."""
     best = F.lit(None).cast("string")
-    for name in languages:
+    for name, score in scores.items():
         wins = F.lit(True)
-        for other in languages:
+        for other, against in scores.items():
             if other != name:
-                wins = wins & (F.col(f"s_{name}") > F.col(f"s_{other}"))
+                wins = wins & (score > against)
         best = F.when(wins, F.lit(name)).otherwise(best)
-    return scored.select(*keys, best.alias("detected"))
+    return best
+
+
+def hold_profile(profile: DataFrame, languages: Sequence[str]) -> Held | None:
+    """The profile as a table that tasks hold, or None if it is too large."""
+    return hold(profile, [f"w_{name}" for name in languages], word="token")
+
+
+def with_language(df: DataFrame, held: Held, languages: Sequence[str]) -> DataFrame:
+    """Add ``_scores`` and ``detected`` (null without a known word, or where two languages share the highest score)."""
+    words = F.filter(X.split_words(F.lower(F.col("text"))), lambda w: w.rlike(r"^\p{L}"))
+    scored = add_up(df, words, held, "_scores")
+    return scored.withColumn("detected", _best({name: F.col("_scores")[k] for k, name in enumerate(languages)}))
 
 
 def filter_language(
@@ -88,7 +111,10 @@ def filter_language(
     languages: Sequence[str] = ("en", "fr"),
     id_col: str | Sequence[str] = "doc_id",
 ) -> DataFrame:
-    """Rows detected as ``keep`` among ``languages``."""
+    """Rows detected as ``keep`` among ``languages``, by a held profile where it fits; then the rows may be a stream."""
+    held = hold_profile(profile, languages)
+    if held is not None and not (df.isStreaming and len(held.parts) > 1):
+        return with_language(df, held, languages).where(F.col("detected") == keep).select(*df.columns)
     keys = [id_col] if isinstance(id_col, str) else list(id_col)
     accepted = detect_language(df, profile, languages, id_col).filter(F.col("detected") == keep)
     return df.join(accepted.select(*keys), keys, "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phonolake.functions import phonetic as P
 from phonolake.functions import text as X
 from phonolake.operators.cleaning import lookup
+from phonolake.operators.held import MOST_BYTES, Held, hold, look_up
 
 
 def joined(phonemes):
@@ -65,12 +66,48 @@ def transcribe(
     splitter=X.split_words,
     render=joined,
     glue: str = " ",
+    most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """Replace the text fields by their transcription, keeping all other columns.
 
-    The rows are shuffled once by id, before the words are exploded: with a broadcastable
-    lexicon the words then meet again without a further shuffle.
+    Tasks hold the lexicon and look words up inside the row: nothing is shuffled, no id is needed, and the rows may be
+    a stream. A lexicon above ``most_bytes`` is dealt into parts (not on a stream); beyond those, words
+    are joined by :func:`transcribe_joined`.
     """
+    held = hold(lexicon.select("word", render(F.col("phonemes")).alias("sound")), ["sound"], most_bytes=most_bytes)
+    if held is None or (df.isStreaming and len(held.parts) > 1):
+        return transcribe_joined(df, lexicon, fields, id_col, splitter, render, glue)
+    return transcribe_held(df, held, fields, splitter, render, glue)
+
+
+def transcribe_held(df: DataFrame, held: Held, fields: Sequence[str] = ("text",), splitter=X.split_words, render=joined, glue: str = " ") -> DataFrame:
+    """Transcription by a held table of rendered sounds; words that it lacks are spelled out by the rules."""
+    rows = df
+    for name in fields:
+        words = splitter(F.coalesce(F.col(name), F.lit("")))
+        rows = look_up(rows, F.transform(words, F.lower), held, "sound", "_sounds")
+
+        def sound(pair):
+            spelled = F.coalesce(pair["_sounds"], render(P.apply_grapheme_rules(pair["word"])))
+            if glue == "":  # alternating words and gaps: gaps stay as they are
+                return F.when(pair["word"].rlike(rf"^[{X.WORD_CHARS}]"), spelled).otherwise(pair["word"])
+            return spelled
+
+        both = F.arrays_zip(words.alias("word"), F.col("_sounds"))
+        rows = rows.withColumn(name, F.array_join(F.transform(both, sound), glue)).drop("_sounds")
+    return rows.select(*df.columns)
+
+
+def transcribe_joined(
+    df: DataFrame,
+    lexicon: DataFrame,
+    fields: Sequence[str] = ("text",),
+    id_col: str | Sequence[str] = "doc_id",
+    splitter=X.split_words,
+    render=joined,
+    glue: str = " ",
+) -> DataFrame:
+    """As ``transcribe`` for a lexicon of any size: words are exploded, joined and put together again by id."""
     keys = [id_col] if isinstance(id_col, str) else list(id_col)
     base = df.repartition(*keys)
     stacked = base.select(

@@ -26,6 +26,36 @@ def by_id(df, column="text"):
     return [r[column] for r in df.orderBy("doc_id").collect()]
 
 
+RENDERS = [
+    dict(),
+    dict(splitter=G.X.whitespace_words, render=G.spaced),
+    dict(splitter=G.X.split_words_and_gaps, render=G.ipa, glue=""),
+]
+
+
+@pytest.mark.parametrize("options", RENDERS)
+def test_held_lexicon_equals_the_join(spark, lexicon, options):
+    df = texts(spark, "Hello, to YOU a you", "", None, "a-b ... x", "zz Hello" * 50).withColumn("_sounds_", F.lit(1))
+    want = by_id(G.transcribe_joined(df, lexicon, **options))
+    assert by_id(G.transcribe(df, lexicon, **options)) == want
+    # a bound below the lexicon deals it into parts, a lower one joins
+    assert len(G.hold(lexicon.select("word", G.joined("phonemes").alias("sound")), ["sound"], most_bytes=40).parts) > 1
+    assert by_id(G.transcribe(df, lexicon, most_bytes=40, **options)) == want
+    assert G.hold(lexicon.select("word", G.joined("phonemes").alias("sound")), ["sound"], most_bytes=5) is None
+    assert by_id(G.transcribe(df, lexicon, most_bytes=5, **options)) == want
+    assert by_id(G.transcribe(df, lexicon.limit(0), **options)) == by_id(G.transcribe_joined(df, lexicon.limit(0), **options))
+
+
+def test_large_lexicon_shuffles_no_token(spark):
+    """Far above the broadcast threshold of the session, the plan has no exchange."""
+    entries = spark.range(400_000).select(F.concat(F.lit("word"), "id").alias("word"), F.array(F.concat(F.lit("w"), "id"), F.lit("x"), F.repeat(F.lit("y"), 60)).alias("phonemes"))
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("word"), F.col("id") * 399), F.lit("unknown")).alias("text"))
+    out = G.phonetize_words(df, entries)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: r["text"].split(" ")[0] for r in out.collect()}
+    assert got == {i: f"w{i * 399}x" + "y" * 60 for i in range(1000)}
+
+
 def rule_phonemes(word):
     table = dict(P.RULES)
     return [p for g in re.findall(P.GRAPHEME_PATTERN, word.lower()) for p in table[g]]
@@ -108,3 +138,14 @@ def test_prepare_stages_differ(spark):
     chunk = " ".join(re.findall(r"\w+|[^\s\w]+", rows[0][1])).lower()
     assert re.sub(r"http\S+", "", chunk) == chunk == "hello the http :// x . y day"
     assert [r["text"] for r in wiki.orderBy("doc_id", "chunk_no").collect()] == ["hello the http : x . y day", "hello the http : x . z day"]
+
+
+def test_held_profile_equals_the_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the cat is on the mat", "en"), ("le chat est sur le tapis", "fr"), ("the dog", "en"), ("le chien", "fr")])], "doc_id long, text string, lang string")
+    profile = L.profile_table(rows, ["en", "fr"])
+    probe = texts(spark, "the cat", "le chat", "zzz", "", None, "the le", "le le the chien")
+    held = sorted(tuple(r) for r in L.detect_language(probe, profile, ["en", "fr"]).collect())
+    kept = by_id(L.filter_language(probe, profile))
+    monkeypatch.setattr(L, "hold_profile", lambda *_: None)
+    assert held == sorted(tuple(r) for r in L.detect_language(probe, profile, ["en", "fr"]).collect())
+    assert kept == by_id(L.filter_language(probe, profile)) == ["the cat"]
