@@ -271,12 +271,13 @@ def iteration_summary(spark, d):
     SELECT model, task, 'accuracy' AS metric, 2::BIGINT AS lines, round(mean, 6) AS mean FROM s""",
 )
 def write_metric_log(spark, d):
-    """Two appends of the same summary, read back."""
+    """Two runs of the same summary, the second one again, read back."""
     path = scratch(spark, "metric-log")
     summary = M.iteration_summary(runs(spark, d))
-    FI.write_metric_log(summary, path)
-    FI.write_metric_log(summary, path)
-    lines = spark.read.option("sep", "\t").option("quote", "").schema("model string, task string, metric string, values string").csv(path)
+    for run in ("a", "b", "b"):
+        FI.write_metric_log(summary, path, run_id=run)
+    cells = F.split("value", "\t")
+    lines = FI.read_appended(spark, path).select(*[cells[i].alias(c) for i, c in enumerate(("model", "task", "metric", "values"))])
     mean = F.regexp_extract("values", r"'mean': ([-0-9.E]+)", 1).cast("double")
     return lines.groupBy("model", "task", "metric").agg(F.count(F.lit(1)).alias("lines"), r6(F.avg(mean)).alias("mean"))
 

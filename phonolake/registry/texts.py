@@ -312,7 +312,7 @@ def read_csv_table(spark, d):
     return FI.read_csv_table(spark, path, "p_partkey bigint, p_name string, p_brand string, p_size bigint, p_retailprice double")
 
 
-@query("write_csv_splits", f"SELECT doc_id, text, {SPLIT_SQL} AS split FROM documents WHERE NOT contains(text, chr(13))")
+@query("write_csv_splits", f"SELECT doc_id, text, {SPLIT_SQL} AS split FROM documents")
 def write_csv_splits(spark, d):
     path = FI.write_csv_splits(split_docs(spark, d), scratch(spark, "csv-splits"))
     return FI.read_csv_table(spark, path, D.CORPUS, multiline=True)
@@ -336,23 +336,28 @@ def read_ragged_lists(spark, d):
 
 @query(
     "write_text_shards",
-    f"SELECT {SPLIT_SQL} AS split, count(*)::BIGINT AS lines, ceil(count(*) / 10000.0)::BIGINT AS shards FROM documents GROUP BY 1",
+    f"""WITH w AS (SELECT doc_id, {SPLIT_SQL} AS split, unnest({Q.words('text')}) AS word, generate_subscripts({Q.words('text')}, 1) - 1 AS pos FROM documents),
+    n AS (SELECT word, row_number() OVER (ORDER BY split, doc_id, pos) - 1 AS k FROM w)
+    SELECT (k // 10000)::BIGINT AS shard, count(*)::BIGINT AS lines, 1::BIGINT AS files, md5(string_agg(md5(word), '' ORDER BY md5(word))) AS content FROM n GROUP BY 1""",
 )
 def write_text_shards(spark, d):
-    rows = split_docs(spark, d)
-    path = FI.write_text_shards(rows.withColumn("text", X.clean_text(F.col("text"))), scratch(spark, "shards"))
-    written = spark.read.text(path).agg(F.count(F.lit(1)).alias("all"))
-    counts = FI.shard_counts(rows)
-    return counts.withColumn("_all", written.scalar()).filter("_all >= lines").drop("_all").withColumn("shards", big("shards"))
+    """One word per line, in files of 10,000 lines over all splits."""
+    words = split_docs(spark, d).select("split", "doc_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "text"))
+    path = FI.write_text_shards(words, scratch(spark, "shards"), ["split", "doc_id", "pos"])
+    content = F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("value"))), ""))
+    return FI.shard_lines(spark, path).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("file").alias("files"), content.alias("content")
+    )
 
 
-@query("append_lines", f"WITH {LINES_SQL} SELECT line, (2 * count(*))::BIGINT AS n FROM lines WHERE NOT contains(line, chr(13)) GROUP BY line")
+@query("append_lines", f"WITH {LINES_SQL} SELECT line, (2 * count(*))::BIGINT AS n FROM lines GROUP BY line")
 def append_lines(spark, d):
+    """Two runs, the second of them again."""
     path = scratch(spark, "lines")
     rows = lines(spark, d)
-    FI.append_lines(rows, path, "line")
-    FI.append_lines(rows, path, "line")
-    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    for run in ("first", "second", "second"):
+        FI.append_lines(rows, path, "line", run_id=run)
+    return FI.read_appended(spark, path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- HTML ------------------------------------------------------------------------------------

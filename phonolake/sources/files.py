@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from phonolake.functions.scores import clamp_regression, label_to_name
+from phonolake.operators.positions import ordered_index
 from phonolake.sources.catalog import LABEL_NAMES
 
 
@@ -47,34 +51,62 @@ def write_csv_splits(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_text_shards(df: DataFrame, path: str, column: str = "text", lines_per_file: int = 10_000) -> str:
-    """Lines in files of at most ``lines_per_file`` rows, over all splits."""
-    rows = df.select(F.col(column).alias("value"))
-    rows.write.mode("overwrite").option("maxRecordsPerFile", lines_per_file).text(path)
+def write_text_shards(df: DataFrame, path: str, order: Sequence[str], column: str = "text", lines_per_file: int = 10_000) -> str:
+    """Lines in files of exactly ``lines_per_file`` rows, the last one excepted, numbered over all splits.
+
+    Rows follow ``order``, which identifies a row. File ``k`` is the only one in the folder ``shard=k`` and holds rows
+    ``k * lines_per_file`` and on, in order, whatever the partitions were. Line feeds inside a value would
+    break it in two, so they become spaces; null values are empty lines.
+    """
+    value = F.translate(F.coalesce(F.col(column), F.lit("")), "\n", " ").alias("value")
+    numbered = ordered_index(df.select(*order, value), order, out="_at")
+    rows = numbered.withColumn("shard", F.floor(F.col("_at") / lines_per_file).cast("bigint"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "_at").select("value", "shard")
+    rows.write.mode("overwrite").partitionBy("shard").text(path)
     return path
 
 
-def shard_counts(df: DataFrame, by: str = "split", lines_per_file: int = 10_000) -> DataFrame:
-    """Full shards needed per split."""
-    return df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("lines"), F.ceil(F.count(F.lit(1)) / lines_per_file).alias("shards")
-    )
+def shard_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``shard``, ``file`` and ``value`` of the written lines, read back by file name."""
+    lines = spark.read.option("lineSep", "\n").schema("value string, shard bigint").text(path)
+    return lines.select("shard", F.input_file_name().alias("file"), "value")
+
 
+def append_lines(df: DataFrame, path: str, column: str = "text", blank_between: bool = False, run_id: str | None = None) -> str:
+    """Append one entry per line; poems get a blank line after each entry.
 
-def append_lines(df: DataFrame, path: str, column: str = "text", blank_between: bool = False) -> str:
-    """Append one entry per line; poems get a blank line after each entry."""
+    Every run has a folder of its own below ``path`` and is there as a whole once its job has ended: a job that is
+    run again under the same ``run_id`` replaces its lines instead of doubling them. Without ``run_id`` each call is a
+    run. Read with :func:`read_appended`.
+    """
     value = F.concat(F.col(column), F.lit("\n")) if blank_between else F.col(column)
-    df.select(value.alias("value")).write.mode("append").text(path)
-    return path
+    return _append_run(df.select(value.alias("value")), path, run_id)
 
 
-def write_metric_log(summary: DataFrame, path: str) -> str:
-    """Append ``model, task, metric, {mean, std}`` as tab-separated lines."""
-    lines = metric_lines(summary)
-    lines.write.mode("append").option("sep", "\t").option("quote", "").csv(path)
+def _append_run(lines: DataFrame, path: str, run_id: str | None) -> str:
+    lines.write.mode("overwrite").text(f"{path}/run={run_id or uuid.uuid4().hex}")
     return path
 
 
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """``run`` and ``value`` of all runs whose job has ended."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    system = root.getFileSystem(context._jsc.hadoopConfiguration())
+    folders = [f.getPath() for f in system.listStatus(root) if f.isDirectory()] if system.exists(root) else []
+    done = [str(f) for f in folders if system.exists(hadoop.Path(f, "_SUCCESS"))]
+    if not done:
+        return spark.createDataFrame([], "run string, value string")
+    lines = spark.read.option("lineSep", "\n").option("basePath", path).schema("value string, run string").text(done)
+    return lines.select("run", "value")
+
+
+def write_metric_log(summary: DataFrame, path: str, run_id: str | None = None) -> str:
+    """Append ``model, task, metric, {mean, std}`` as tab-separated lines, in runs as ``append_lines`` does."""
+    return _append_run(metric_lines(summary).select(F.concat_ws("\t", "model", "task", "metric", "values").alias("value")), path, run_id)
+
+
 def metric_lines(summary: DataFrame) -> DataFrame:
     values = F.format_string("{'mean': %s, 'std': %s}", F.col("mean").cast("string"), F.col("std").cast("string"))
     return summary.select("model", "task", "metric", values.alias("values"))

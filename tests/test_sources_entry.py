@@ -46,16 +46,60 @@ def test_csv_with_newlines_and_quotes(spark, tmp_path):
 
 def test_text_files(spark, tmp_path):
     lines = spark.createDataFrame([(f"l{i}",) for i in range(25)], "text string").coalesce(1)
-    path = FI.write_text_shards(lines, str(tmp_path / "t"), lines_per_file=10)
-    assert len([f for f in os.listdir(path) if f.endswith(".txt")]) == 3
-    FI.append_lines(lines, path)
-    assert spark.read.text(path).count() == 50
+    FI.append_lines(lines, str(tmp_path / "t"))
+    FI.append_lines(lines, str(tmp_path / "t"))
+    assert FI.read_appended(spark, str(tmp_path / "t")).count() == 50
     words = spark.createDataFrame([(" a ",), ("b\t",)], "value string")
     assert [r[0] for r in FI.words_from_lines(words).collect()] == ["a", "b"]
     lists = spark.createDataFrame([("a,b,c",), ("x",)], "value string")
     assert [r[0] for r in FI.lists_from_lines(lists).collect()] == [["a", "b", "c"], ["x"]]
     FI.append_lines(lines, str(tmp_path / "p"), blank_between=True)
-    assert spark.read.text(str(tmp_path / "p")).filter("value = ''").count() == 25
+    assert FI.read_appended(spark, str(tmp_path / "p")).filter("value = ''").count() == 25
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_shards_are_exact_and_in_order(spark, tmp_path, partitions):
+    """Every file but the last has the exact number of lines, over both splits."""
+    rows = [("a" if i < 1300 else "b", i, f"line {i}" if i % 50 else "two\nparts") for i in range(2345)]
+    df = spark.createDataFrame(rows, "split string, id long, text string").repartition(partitions)
+    path = FI.write_text_shards(df, str(tmp_path / "t"), ["split", "id"], lines_per_file=100)
+    files = {}
+    for r in FI.shard_lines(spark, path).collect():
+        files.setdefault((r.shard, r.file), []).append(r.value)
+    assert [k for k, _ in sorted(files)] == list(range(24))
+    assert [len(files[k]) for k in sorted(files)] == [100] * 23 + [45]
+    assert [v for k in sorted(files) for v in files[k]] == [t.replace("\n", " ") for _, _, t in rows]
+
+
+def test_appends_survive_a_failed_and_a_repeated_job(spark, tmp_path):
+    path = str(tmp_path / "log")
+    lines = spark.range(100).repartition(4).select(F.concat(F.lit("l"), "id").alias("text"), "id")
+    FI.append_lines(lines, path, run_id="one")
+    broken = lines.select(F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(F.col("text")).alias("text"))
+    with pytest.raises(Exception, match="lost"):
+        FI.append_lines(broken, path, run_id="two")
+    assert FI.read_appended(spark, path).count() == 100  # nothing of the failed run
+    FI.append_lines(lines, path, run_id="two")
+    FI.append_lines(lines, path, run_id="two")
+    got = FI.read_appended(spark, path).groupBy("run").count().collect()
+    assert {r["run"]: r["count"] for r in got} == {"one": 100, "two": 100}
+    assert FI.read_appended(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_nested_and_untidy_html(spark):
+    from phonolake.sources import html as HT
+
+    page = """<DIV data-x='1' class='lg other well well-lg'><a class="word-btn btn">one</a>
+      <div><a class='btn x word-btn' href=a>two <b>bold</b> &amp; more</a><a class="btn">no</a></div>
+      <div class="well-lg well"><a class="btn word-btn">inner</a></div><a class="btn word-btn">three</div>
+      <a class="btn word-btn">outside</a><div class="well">x</div><p><div class="well well-lg"></div>
+      <div class=col-sm-9><div><h5 id='h'>Page <i>2</i> / 31</h5></div><h5>Page 3 / 99</h5></div>"""
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<div class='well well-lg'><a class='btn word-btn'>open"), (4, "</div></a><")], "page_id long, html string")
+    got = {(r.page_id, r.group_no): r.words for r in HT.extract_html_groups(pages).collect()}
+    assert got == {(1, 0): ["one", "two bold &amp; more", "three"], (1, 1): ["inner"], (3, 0): ["open"]}
+    assert {r.page_id: r.pages for r in HT.extract_page_count(pages).collect()} == {1: 31, 2: 0, 3: 0, 4: 0}
+    deep = "<div class='well well-lg'>" * 3000 + "<a class='btn word-btn'>x</a>" + "</b>" * 3000
+    assert HT.block_items(deep, ("div", frozenset({"well"})), ("a", frozenset()))[-1] == ["x"]
 
 
 def test_html(spark):
