@@ -71,6 +71,11 @@ def spearman(df: DataFrame, by: Sequence[str] = (), left: str = "pred", right: s
     cells = df.groupBy(*by, F.col(left).cast("double").alias("_x"), F.col(right).cast("double").alias("_y")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    return _rank_correlation(cells, by)
+
+
+def _rank_correlation(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Spearman correlation from the counts ``n`` of distinct (_x, _y)."""
 
     def ranks(column: str, out: str) -> DataFrame:
         sums = cells.groupBy(*by, column).agg(F.sum("n").alias("n"))
@@ -92,6 +97,58 @@ def spearman(df: DataFrame, by: Sequence[str] = (), left: str = "pred", right: s
     return totals.select(*by, value.alias("spearman"))
 
 
+def prediction_cells(df: DataFrame, by: Sequence[str], pred: str = "pred", label: str = "label", hit: str | None = None) -> DataFrame:
+    """Counts ``n`` of each (label, pred) per group, with ``hits``, how many of them are marked in ``hit``.
+
+    All metrics of class predictions follow from this table, so the rows are read once. Rows without a prediction
+    or label are left out.
+    """
+    known = df.filter(F.col(pred).isNotNull() & F.col(label).isNotNull())
+    hits = F.count_if(F.col(hit)) if hit else F.lit(0).cast("bigint")
+    return known.groupBy(*by, label, pred).agg(F.count(F.lit(1)).alias("n"), hits.alias("hits"))
+
+
+def cell_scores(cells: DataFrame, by: Sequence[str], pred: str = "pred", label: str = "label", hit_name: str | None = None) -> DataFrame:
+    """``metric, value`` per group: accuracy, f1, matthews, macro, micro and, if named, the share of hits."""
+    by = list(by)
+    n, right, one = F.col("n"), F.col(pred) == F.col(label), F.col(pred) == 1
+    per_label = cells.groupBy(*by, label).agg(
+        F.sum("n").alias("n"), F.sum(F.when(right, n).otherwise(0)).alias("right"), F.sum(F.when(one, n).otherwise(0)).alias("ones"), F.sum("hits").alias("hits")
+    )
+    is_one = F.col(label) == 1
+    part = lambda condition, value, name: F.sum(F.when(condition, value).otherwise(0)).cast("double").alias(name)
+    sums = _grouped(
+        per_label,
+        by,
+        F.sum("n").alias("n"),
+        F.sum("right").alias("right"),
+        F.sum("hits").alias("hits"),
+        F.avg(F.col("right") / F.col("n")).alias("macro"),
+        part(is_one, F.col("ones"), "tp"),
+        part(~is_one, F.col("ones"), "fp"),
+        part(is_one, F.col("n") - F.col("ones"), "fn"),
+        part(~is_one, F.col("n") - F.col("ones"), "tn"),
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    or_zero = lambda top, bottom: F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
+    micro = F.col("right") / F.col("n")
+    values = {
+        "accuracy": micro,
+        "f1": or_zero(2 * tp, 2 * tp + fp + fn),
+        "matthews": or_zero(tp * tn - fp * fn, F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)),
+        "macro": F.col("macro"),
+        "micro": micro,
+    } | ({hit_name: F.col("hits") / F.col("n")} if hit_name else {})
+    rows = F.array(*[F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value")) for name, value in values.items()])
+    return sums.select(*by, F.inline(rows))
+
+
+def cell_spearman(cells: DataFrame, by: Sequence[str], pred: str = "pred", label: str = "label") -> DataFrame:
+    """``metric, value`` per group: rank correlation of predictions and labels."""
+    pairs = cells.groupBy(*by, F.col(pred).cast("double").alias("_x"), F.col(label).cast("double").alias("_y")).agg(F.sum("n").alias("n"))
+    return _rank_correlation(pairs, list(by)).select(*by, F.lit("spearman").alias("metric"), F.col("spearman").alias("value"))
+
+
 def roc_auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Area under the curve from the rank sum of the positives; null with a single class."""
     by = list(by)

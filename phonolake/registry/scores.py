@@ -346,21 +346,32 @@ def linear_score(spark, d):
 
 @query(
     "score_predictions",
-    f"""WITH p AS (SELECT 'm' || (vec_id % 2) AS model, 'verses' AS task, vec_id % 5 AS iteration, label % 2 AS label,
-      (list_position({folded_sql(2)}, list_max({folded_sql(2)})) - 1) AS pred FROM embeddings),
-    g AS (SELECT model, task, iteration, avg((pred = label)::INT) AS accuracy, count(*) FILTER (pred = 1 AND label = 1)::DOUBLE AS tp,
-      count(*) FILTER (pred = 1 AND label = 0)::DOUBLE AS fp, count(*) FILTER (pred = 0 AND label = 1)::DOUBLE AS fn, count(*) FILTER (pred = 0 AND label = 0)::DOUBLE AS tn FROM p GROUP BY ALL),
-    v AS (SELECT model, task, 'accuracy' AS metric, accuracy::DOUBLE AS value FROM g UNION ALL SELECT model, task, 'f1', 2 * tp / (2 * tp + fp + fn) FROM g
-      UNION ALL SELECT model, task, 'matthews', (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) FROM g
-      UNION ALL SELECT model, task, 'macro', (tp / (tp + fn) + tn / (tn + fp)) / 2 FROM g)
+    f"""WITH p AS (SELECT 'm' || (vec_id % 2) AS model, CASE vec_id % 3 WHEN 0 THEN 'verses' WHEN 1 THEN 'mnli-matched' ELSE 'mnli-mismatched' END AS task,
+      vec_id % 5 AS iteration, label % 3 AS label, {folded_sql(3)} AS logits FROM embeddings),
+    s AS (SELECT model, task, iteration, label, list_position(logits, list_max(logits)) - 1 AS pred,
+      len(list_filter(logits, lambda x: x > logits[label + 1])) < 2 AS hit FROM p),
+    k AS (SELECT model, task, iteration, label, avg((pred = label)::INT) AS recall FROM s GROUP BY ALL),
+    m AS (SELECT model, task, iteration, avg(recall) AS macro FROM k GROUP BY ALL),
+    g AS (SELECT model, task, iteration, avg((pred = label)::INT) AS accuracy, avg(hit::INT) AS hits, count(*) FILTER (pred = 1 AND label = 1)::DOUBLE AS tp,
+      count(*) FILTER (pred = 1 AND label <> 1)::DOUBLE AS fp, count(*) FILTER (pred <> 1 AND label = 1)::DOUBLE AS fn, count(*) FILTER (pred <> 1 AND label <> 1)::DOUBLE AS tn FROM s GROUP BY ALL),
+    r AS (SELECT model, task, iteration, rank() OVER (PARTITION BY model, task, iteration ORDER BY pred) + (count(*) OVER (PARTITION BY model, task, iteration, pred) - 1) / 2.0::DOUBLE AS rx,
+      rank() OVER (PARTITION BY model, task, iteration ORDER BY label) + (count(*) OVER (PARTITION BY model, task, iteration, label) - 1) / 2.0::DOUBLE AS ry FROM s),
+    v AS (SELECT model, task, 'accuracy' AS metric, accuracy::DOUBLE AS value FROM g UNION ALL SELECT model, task, 'micro', accuracy FROM g
+      UNION ALL SELECT model, task, 'hit_at_2', hits FROM g
+      UNION ALL SELECT model, task, 'f1', coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) FROM g
+      UNION ALL SELECT model, task, 'matthews', coalesce((tp * tn - fp * fn) / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0), 0) FROM g
+      UNION ALL SELECT model, task, 'macro', macro FROM m
+      UNION ALL SELECT model, task, 'spearman', c FROM (SELECT model, task, iteration, corr(rx, ry) AS c FROM r GROUP BY ALL))
     SELECT model, task, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM v GROUP BY ALL""",
 )
 def score_predictions(spark, d):
+    """All metrics of three tasks, two of them the parts of one, from one pass over the rows."""
     rows = table(spark, d, "embeddings")
+    part = F.col("vec_id") % 3
     predictions = rows.select(
-        F.col("vec_id").alias("id"), F.concat(F.lit("m"), F.col("vec_id") % 2).alias("model"), F.lit("verses").alias("task"),
-        (F.col("vec_id") % 5).alias("iteration"), logits(2).alias("logits"),
+        F.col("vec_id").alias("id"), F.concat(F.lit("m"), F.col("vec_id") % 2).alias("model"), F.when(part == 0, "verses").otherwise("mnli").alias("task"),
+        F.when(part == 1, "matched").when(part == 2, "mismatched").alias("subset"), (F.col("vec_id") % 5).alias("iteration"), logits(3).alias("logits"),
     )
-    labels = rows.select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("label"))
-    out = PS.score_predictions(predictions, labels)
+    labels = rows.select(F.col("vec_id").alias("id"), (F.col("label") % 3).alias("label"))
+    out = PS.score_predictions(predictions, labels, k=2, subset="subset")
     return out.select("model", "task", "metric", r6("mean").alias("mean"), r6("std").alias("std"))

@@ -389,7 +389,7 @@ def sample_unrelated_pairs(spark, d):
 @query(
     "mispair_negatives",
     f"""WITH {EDGES_SQL}, p AS (SELECT DISTINCT term AS word1, related_term AS word2 FROM edges),
-    q AS (SELECT word1, word2, row_number() OVER (ORDER BY {Q.hash_bits('42:pairs', 'word1', 'word2')}, word1, word2) - 1 AS no, count(*) OVER () AS n FROM p),
+    q AS MATERIALIZED (SELECT word1, word2, row_number() OVER (ORDER BY {Q.hash_bits('42:pairs', 'word1', 'word2')}, word1, word2) - 1 AS no, count(*) OVER () AS n FROM p),
     dr AS (SELECT no, {Q.below('n', '42:i', 'no')} AS i, {Q.below('n - 1', '42:j', 'no')} AS j FROM q)
     SELECT dr.no::BIGINT AS no, a.word1, b.word2 FROM dr JOIN q a ON a.no = dr.i JOIN q b ON b.no = CASE WHEN dr.j >= dr.i THEN dr.j + 1 ELSE dr.j END""",
 )
@@ -424,24 +424,47 @@ def positional_word_align(spark, d):
     return out.withColumn("pos", big("pos"))
 
 
+SYNONYM_SQL = """parts AS (SELECT p_partkey AS row_id, list_filter(string_split(lower(p_name), ' '), lambda w: w <> '') AS w FROM part),
+    listed AS (SELECT row_id, w[1] AS lemma, list_filter(w, lambda x, i: list_position(w, x) = i) AS own,
+      list_filter(w[2:], lambda x, i: list_position(w[2:], x) = i) AS members, row_number() OVER (ORDER BY row_id) AS rn FROM parts),
+    steps(rn, kept, seen) AS (SELECT 0::BIGINT, false, []::VARCHAR[] UNION ALL
+      SELECT n.rn, NOT list_contains(seen, n.lemma), CASE WHEN list_contains(seen, n.lemma) THEN seen ELSE list_distinct(list_concat(seen, n.own)) END
+      FROM steps JOIN listed n ON n.rn = steps.rn + 1),
+    kept AS (SELECT listed.* FROM listed JOIN steps USING (rn) WHERE kept)"""
+
+
 def synonym_rows(spark, d):
-    """One row per line: first word as lemma, all others as its synonyms, delimited by ``;`` and ``|`` in turn."""
-    words = X.whitespace_words(F.lower("line"))
+    """One row per part: the first word of its name as lemma, the others as synonyms, delimited by ``;`` and ``|`` in turn."""
+    words = F.filter(F.split(F.lower("p_name"), " "), lambda w: w != "")
     mark = lambda w, i: F.concat(F.when(i == 0, "").when(i % 2 == 1, "; ").otherwise("|"), w)
-    rows = lines(spark, d).select(F.struct("doc_id", "line_no").alias("row_id"), words.alias("w"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), words.alias("w"))
     others = F.when(F.size("w") > 1, F.array_join(F.transform(F.slice("w", 2, F.size("w")), mark), ""))
     return rows.select("row_id", F.try_element_at("w", F.lit(1)).alias("lemma"), others.alias("synonyms"))
 
 
-@query("greedy_disjoint_sets")
+@query(
+    "greedy_disjoint_sets",
+    f"WITH RECURSIVE {SYNONYM_SQL} SELECT row_id, lemma, array_to_string(members, '|') AS members FROM kept",
+)
 def greedy_disjoint_sets(spark, d):
     rows = synonym_rows(spark, d)
     members = F.array_distinct(X.split_delimited(F.coalesce("synonyms", F.lit(""))))
     kept = R.greedy_disjoint_sets(rows.select("row_id", "lemma", members.alias("members")))
-    return kept.select("row_id.doc_id", big("row_id.line_no").alias("line_no"), "lemma", F.array_join("members", "|").alias("members"))
+    return kept.select(big("row_id").alias("row_id"), "lemma", F.array_join("members", "|").alias("members"))
 
 
-@query("build_synonym_task")
+@query(
+    "build_synonym_task",
+    f"""WITH RECURSIVE {SYNONYM_SQL},
+    e AS (SELECT row_id, unnest(own) AS word, generate_subscripts(own, 1) AS i FROM kept),
+    pos AS (SELECT a.word AS word1, b.word AS word2 FROM e a JOIN e b ON a.row_id = b.row_id AND a.i < b.i),
+    num AS MATERIALIZED (SELECT word1, word2, row_number() OVER (ORDER BY {Q.hash_bits('42:pairs', 'word1', 'word2')}, word1, word2) - 1 AS no, count(*) OVER () AS n FROM pos),
+    dr AS (SELECT no, {Q.below('n', '42:i', 'no')} AS i, {Q.below('n - 1', '42:j', 'no')} AS j FROM num),
+    neg AS (SELECT a.word1, b.word2 FROM dr JOIN num a ON a.no = dr.i JOIN num b ON b.no = CASE WHEN dr.j >= dr.i THEN dr.j + 1 ELSE dr.j END),
+    p AS (SELECT word1, word2, 1 AS label FROM pos UNION ALL SELECT word1, word2, 0 FROM neg),
+    q AS (SELECT *, row_number() OVER (ORDER BY {Q.hash_bits(42, 'word1', 'word2', 'label')}, word1, word2, label) - 1 AS hp, count(*) OVER () AS n FROM p)
+    SELECT word1, word2, label::BIGINT AS label, {Q.split_case('hp', 'n', 0.2, 0.1)} AS split FROM q""",
+)
 def build_synonym_task(spark, d):
     return PT.build_synonym_task(synonym_rows(spark, d)).withColumn("label", big("label"))
 

@@ -132,3 +132,28 @@ def test_token_scores_have_unit_norm(spark):
     df = spark.createDataFrame([(1, 0, [1.0, 2.0]), (1, 1, [4.0]), (2, 0, [0.0])], "id long, pos int, scores array<double>")
     got = {(r["id"], r["pos"]): r["score"] for r in M.normalized_token_scores(df).collect()}
     assert got[(1, 0)] == pytest.approx(3 / 5) and got[(1, 1)] == pytest.approx(4 / 5) and got[(2, 0)] is None
+
+
+def test_one_pass_scores_keep_parts_apart(spark):
+    """Against plain Python, one group at a time; the rows are read once."""
+    draw = random.Random(12)
+    rows = [(i, "m", "mnli" if i % 3 else "rte", i % 2, [draw.random() for _ in range(3)], "matched" if i % 3 == 1 else "mismatched" if i % 3 else None) for i in range(300)]
+    labels = [(i, draw.choice([0, 1, 1, 2, None])) for i in range(300)]
+    left = spark.createDataFrame(rows, "id long, model string, task string, iteration int, logits array<double>, subset string")
+    out = PS.score_predictions(left, spark.createDataFrame(labels, "id long, label int"), k=2, subset="subset").collect()
+    got = {(r.task, r.metric): (r["mean"], r["std"]) for r in out}
+    assert {t for t, _ in got} == {"rte", "mnli-matched", "mnli-mismatched"}
+    for task in ("rte", "mnli-matched", "mnli-mismatched"):
+        runs = {"accuracy": [], "micro": [], "macro": [], "f1": [], "hit_at_2": []}
+        for turn in (0, 1):
+            own = [(r[4], dict(labels)[r[0]]) for r in rows if r[3] == turn and "-".join(filter(None, (r[2], r[5]))) == task and dict(labels)[r[0]] is not None]
+            pred = [(x.index(max(x)), y, x) for x, y in own]
+            runs["accuracy"].append(sum(p == y for p, y, _ in pred) / len(pred))
+            runs["micro"].append(runs["accuracy"][-1])
+            recalls = [sum(p == y for p, y, _ in pred if y == c) / sum(y == c for _, y, _ in pred) for c in {y for _, y, _ in pred}]
+            runs["macro"].append(sum(recalls) / len(recalls))
+            tp, ones, true = sum(p == y == 1 for p, y, _ in pred), sum(p == 1 for p, _, _ in pred), sum(y == 1 for _, y, _ in pred)
+            runs["f1"].append(2 * tp / (ones + true))
+            runs["hit_at_2"].append(sum(sorted(x, reverse=True).index(x[y]) < 2 for _, y, x in pred) / len(pred))
+        for metric, values in runs.items():
+            assert got[task, metric][0] == pytest.approx(sum(values) / 2), (task, metric)

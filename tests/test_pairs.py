@@ -163,7 +163,8 @@ def test_synonym_rows_take_all_words(spark, tmp_path):
     from phonolake.registry import tables
 
     line = " ".join(f"w{i}" for i in range(50))
-    spark.createDataFrame([(1, f"one\na b c\n{line}\np q r s\n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    names = ["one", "a b c", line, "P q  r s", "", None]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     rows = tables.synonym_rows(spark, str(tmp_path)).select("lemma", "synonyms", X.split_delimited(F.col("synonyms")).alias("members"))
     got = {r.lemma: (r.synonyms, r.members) for r in rows.collect()}
     assert got["one"] == (None, None) and got[None] == (None, None)
@@ -171,10 +172,10 @@ def test_synonym_rows_take_all_words(spark, tmp_path):
     assert got["w0"][1] == line.split()[1:]
 
 
-def test_lines_of_long_texts_keep_apart(spark, tmp_path):
-    from phonolake.registry import tables
+def test_sets_keyed_by_a_pair_keep_apart(spark):
+    from phonolake.operators import pairs as R
 
-    rows = [(1, "\n" * 100_000 + "apple b"), (2, "apple c\npear d")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = tables.greedy_disjoint_sets(spark, str(tmp_path)).where("lemma is not null").collect()
-    assert sorted((r.doc_id, r.line_no, r.lemma) for r in got) == [(1, 100_000, "apple"), (2, 1, "pear")]
+    rows = [((1, 100_000), "apple", ["b"]), ((2, 0), "apple", ["c"]), ((2, 1), "pear", ["d"])]
+    df = spark.createDataFrame(rows, "row_id struct<doc_id: long, line_no: long>, lemma string, members array<string>")
+    got = R.greedy_disjoint_sets(df).collect()
+    assert sorted((*r.row_id, r.lemma) for r in got) == [(1, 100_000, "apple"), (2, 1, "pear")]
