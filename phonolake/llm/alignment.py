@@ -12,6 +12,8 @@ for each byte of all entries. Corpus-wide counts are a vector of that length, wh
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,15 @@ from pyspark.sql import functions as F
 from phonolake.llm.common import small_batches, stored, texts
 
 BATCH_BYTES = 2 << 20
+FIRST_PROBE = 4 * 8
+#: A single space between two characters that are neither white space nor its sign.
+CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+#: Other spaces.
+ODD_SPACE = re.compile(r" (?:[\s▁]|(?<=[\s▁] ))")
+LEARNED_AT_ONCE = 1 << 16
+#: Words that a task remembers, and from how many characters on a word is not worth it.
+REMEMBERED = 250_000
+LONG_WORD = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -91,32 +102,44 @@ class Pieces:
         return self.model.encode(text)
 
 
-def diagonal_runs(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """``(i, j, n)``: groups end at tokens ``i, j``, ``i + 1, j + 1`` and so on, ``n`` times; both lists end alike."""
-    runs, i, j, n = [], 0, 0, len(a)
+def odd_ends(text: str) -> bool:
+    """Whether a space put before or after the text might be joined to it."""
+    return not text or text[0].isspace() or text[-1].isspace() or text[0] == "▁" or text[-1] == "▁"
+
+
+def diagonal_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(i, j, n)``: groups end at tokens ``i, j``, ``i + 1, j + 1`` and so on, ``n`` times; both lists end alike.
+
+    Places are counted in bytes of the two arrays, so a probe compares memory.
+    """
+    runs, i, j, n = [], 0, 0, 8 * len(a)
+    raw_a, raw_b = (np.append(v, end).astype(np.int64).tobytes() for v, end in ((a, -1), (b, -2)))  # ends that no probe can pass
+    ends_a, ends_b = memoryview(raw_a).cast("q"), memoryview(raw_b).cast("q")
     while i < n:
-        start, step, growing = i, 1, True
-        while step:
-            ahead = a[i : i + step]
-            same = ahead == b[j : j + step]
-            if same:
-                i += len(ahead)
-                j += len(ahead)
-            growing = growing and same and len(ahead) == step
-            step = step * 2 if growing else step // 2
+        start, step = i, FIRST_PROBE
+        while raw_a[i : i + step] == raw_b[j : j + step]:
+            i += step
+            j += step
+            step += step
+        while step > 8:
+            step >>= 1
+            if raw_a[i : i + step] == raw_b[j : j + step]:
+                i += step
+                j += step
         if i > start:
-            runs.append((start, j - i + start, i - start))
+            runs.append((start >> 3, j - i + start >> 3, i - start >> 3))
         if i < n:
-            x, y = a[i], b[j]
+            p, q = i >> 3, j >> 3
+            x, y = ends_a[p], ends_b[q]
             while x != y:
                 if x < y:
-                    i += 1
-                    x = a[i]
+                    p += 1
+                    x = ends_a[p]
                 else:
-                    j += 1
-                    y = b[j]
-            runs.append((i, j, 1))
-            i, j = i + 1, j + 1
+                    q += 1
+                    y = ends_b[q]
+            runs.append((p, q, 1))
+            i, j = p + 1 << 3, q + 1 << 3
     return runs
 
 
@@ -132,6 +155,10 @@ class Aligner:
         names = np.array([str(i) for i in range(most)], f"S{width + 1}")
         self.digits = names.view(np.uint8).reshape(most, width + 1)
         self.n_digits = (self.digits > 0).sum(axis=1)
+        # a piece that holds a space behind something else would join two words
+        self.cuttable = self.a.fast is not None and not any(b" " in x.lstrip(b" ") for x in self.b.bytes)
+        self.words_a: dict[str, bytes | None] = {}
+        self.words_b: dict[str, bytes | None] = {}
 
     def possible_pairs(self) -> np.ndarray:
         """Sorted ``a << 32 | b`` of all entries where the bytes of one end with those of the other."""
@@ -146,36 +173,78 @@ class Aligner:
             keys.update(other << 32 | at for k in range(len(raw)) for other in by_bytes[0].get(raw[k:], ()))
         return np.array(sorted(keys), np.int64)
 
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both vocabularies; none for an empty text or one that either does not give back."""
-        if not text:
-            return [], []
-        whole = b" " + text.encode()
-        ids_a = self.a.encode(" " + text)
-        if b"".join(map(self.a.bytes.__getitem__, ids_a)) != whole:
-            return [], []
-        ids_b = self.b.encode(text)
-        if b"".join(map(self.b.bytes.__getitem__, ids_b)) != whole:
-            return [], []
-        return ids_a, ids_b
+    def learn(self, words: set[str]) -> None:
+        """Ids of new words of both vocabularies; none where one of them does not give back the bytes.
+
+        Words are read many at a time, with single spaces between them, and cut again at their last bytes.
+        """
+        size, line, lines, single = 0, [], [], []
+        for word in words:
+            if not self.cuttable or odd_ends(word):
+                single.append([word])
+                continue
+            line.append(word)
+            size += len(word)
+            if size > LEARNED_AT_ONCE:
+                lines.append(line)
+                size, line = 0, []
+        waiting = [*lines, line, *single] if line else [*lines, *single]
+        while waiting:
+            line = waiting.pop()
+            whole = " ".join(line)
+            raw = b" " + whole.encode()
+            ids = self.a.encode(" " + whole), self.b.encode(whole)
+            same = all(b"".join(map(side.bytes.__getitem__, own)) == raw for side, own in zip((self.a, self.b), ids, strict=True))
+            if not same and len(line) > 1:
+                waiting += [line[: len(line) // 2], line[len(line) // 2 :]]
+                continue
+            ends = np.cumsum([1 + len(w.encode()) for w in line])
+            for side, known, own in ((self.size_a, self.words_a, ids[0]), (self.size_b, self.words_b, ids[1])):
+                own = np.array(own, np.int32)
+                cuts = (4 * np.searchsorted(np.cumsum(side[own]), ends) + 4).tolist() if same else []
+                packed, start = own.tobytes(), 0
+                for word, stop in zip(line, cuts or [None], strict=True):
+                    known[word] = packed[start:stop] if same else None
+                    start = stop
+
+    def split(self, text: str) -> list[str]:
+        if not self.cuttable:
+            return [text]
+        return CUT.split(text) if odd_ends(text) or ODD_SPACE.search(text) else text.split(" ")
+
+    def tokens(self, batch: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of each text as 32-bit integers; none for an empty text or one that a vocabulary does not give back.
+
+        Neither vocabulary joins a space to what stands before it, so texts are cut there and words are remembered.
+        """
+        found = [self.split(t) for t in batch]
+        new = {w for words in found for w in words if w not in self.words_a}
+        if len(new) + len(self.words_a) > REMEMBERED:
+            self.words_a.clear()
+            self.words_b.clear()
+            new = {w for words in found for w in words}
+        self.learn(new)
+        out: tuple[list, list] = ([], [])
+        for text, words in zip(batch, found, strict=True):
+            parts = [self.words_a[w] for w in words] if text else []
+            known = bool(parts) and None not in parts
+            out[0].append(b"".join(parts) if known else b"")
+            out[1].append(b"".join([self.words_b[w] for w in words]) if known else b"")
+        for w in new:
+            if len(w) > LONG_WORD:
+                del self.words_a[w], self.words_b[w]
+        return out
 
     def align(self, batch: list[str]) -> dict:
         """Counts, the text of the groups and the pair number of each link, for texts side by side."""
-        both = [self.tokens(t) for t in batch]
-        n_a, n_b = (np.array([len(pair[side]) for pair in both], np.int64) for side in (0, 1))
-        ids_a, ids_b = (np.array([i for pair in both for i in pair[side]], np.int64) for side in (0, 1))
-        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        runs, n_groups = [], np.zeros(len(batch), np.int64)
-        for doc in np.flatnonzero(n_a):
-            at_a, at_b = first_a[doc], first_b[doc]
-            ends_a = np.cumsum(self.size_a[ids_a[at_a : at_a + n_a[doc]]]).tolist()
-            ends_b = np.cumsum(self.size_b[ids_b[at_b : at_b + n_b[doc]]]).tolist()
-            found = np.array(diagonal_runs(ends_a, ends_b), np.int64)
-            n_groups[doc] = found[:, 2].sum()
-            runs.append(found + np.array([at_a, at_b, 0]))
-        run = np.concatenate(runs) if runs else np.zeros((0, 3), np.int64)
+        raw = self.tokens(batch)
+        n_a, n_b = (np.array([len(r) // 4 for r in side], np.int64) for side in raw)
+        ids_a, ids_b = (np.frombuffer(b"".join(side), np.int32).astype(np.int64) for side in raw)
+        # texts end alike in both lists, so one pass reads them all
+        run = np.array(diagonal_runs(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])), np.int64).reshape(-1, 3)
         step = np.arange(run[:, 2].sum()) - np.repeat(np.cumsum(run[:, 2]) - run[:, 2], run[:, 2])
         last_a, last_b = np.repeat(run[:, 0], run[:, 2]) + step, np.repeat(run[:, 1], run[:, 2]) + step
+        n_groups = np.diff(np.searchsorted(last_a, np.cumsum(n_a)), prepend=0)
         links = np.searchsorted(self.keys, ids_a[last_a] << 32 | ids_b[last_b])
         return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "links": links, "groups": self.written(ids_a, ids_b, last_a, last_b, n_a + n_b)}
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 public = pytest.importorskip("public_tokenizers")
@@ -78,7 +79,7 @@ def test_runs_cover_all_common_ends():
         a, b = ([*sorted(draw.sample(range(1, n), draw.randint(0, n - 1))), n] for _ in range(2))
         if draw.random() < 0.5:
             b = [*a[: len(a) // 2], *[x for x in b if x > (a[len(a) // 2 - 1] if len(a) > 1 else 0)]]
-        ends = [(a[i + k], b[j + k]) for i, j, size in alignment.diagonal_runs(a, b) for k in range(size)]
+        ends = [(a[i + k], b[j + k]) for i, j, size in alignment.diagonal_runs(np.array(a), np.array(b)) for k in range(size)]
         assert [x for x, _ in ends] == [y for _, y in ends] == sorted(set(a) & set(b))
 
 
