@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # spelling = phonemes. Our own small fallback for words no lexicon covers;
@@ -70,10 +72,43 @@ def _literal_map(items) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), v) for k, v in items))
 
 
-def apply_grapheme_rules(word: Column) -> Column:
-    """Phonemes of a word by longest-match spelling rules; other characters give nothing."""
-    table = _literal_map((s, F.array(*[F.lit(p) for p in ps])) for s, ps in RULES)
-    pieces = F.regexp_extract_all(F.lower(word), F.lit(GRAPHEME_PATTERN), F.lit(0))
+class Rules:
+    """Spelling rules in the order in which they are tried: pairs of a spelling and its phonemes.
+
+    The spellings become one pattern of alternatives.
+    """
+
+    def __init__(self, pairs: Sequence[tuple[str, Sequence[str]]]):
+        self.pairs: dict[str, list[str]] = {}
+        for spelling, phonemes in pairs:
+            if spelling:
+                self.pairs.setdefault(spelling.lower(), list(phonemes))
+        self.pattern = "|".join(re.sub(r"([^\w\s])", r"\\\1", spelling) for spelling in self.pairs)
+
+
+def rules_from_table(table: DataFrame, most: int = 20_000) -> Rules:
+    """Rules from rows ``rank, grapheme, phonemes``, lowest rank first; a larger table is an error.
+
+    Of rows with the same grapheme the first one counts; null graphemes and phonemes are left out.
+    """
+    rows = table.select("rank", F.lower("grapheme").alias("grapheme"), "phonemes").dropna(subset=["grapheme", "phonemes"])
+    listed = rows.limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} spelling rules")
+    listed.sort(key=lambda r: (r["rank"] is None, r["rank"], r["grapheme"], r["phonemes"]))
+    return Rules([(r["grapheme"], r["phonemes"]) for r in listed])
+
+
+def apply_grapheme_rules(word: Column, rules: Rules | None = None) -> Column:
+    """Phonemes of a word by spelling rules, at each place the first rule that fits; other characters give nothing.
+
+    Without ``rules`` the built-in ones count, longest spelling first.
+    """
+    pairs, pattern = (RULES, GRAPHEME_PATTERN) if rules is None else (list(rules.pairs.items()), rules.pattern)
+    if not pairs:
+        return F.when(word.isNotNull(), F.array().cast("array<string>"))
+    table = _literal_map((s, F.array(*[F.lit(p) for p in ps]).cast("array<string>")) for s, ps in pairs)
+    pieces = F.regexp_extract_all(F.lower(word), F.lit(pattern), F.lit(0))
     return F.flatten(F.transform(pieces, lambda g: table[g]))
 
 

@@ -30,14 +30,14 @@ def one_pronunciation(pronunciations: DataFrame) -> DataFrame:
     return pronunciations.groupBy(F.lower("word").alias("word")).agg(F.min("phonemes").alias("phonemes"))
 
 
-def build_lexicon(words: DataFrame, pronunciations: DataFrame | None = None) -> DataFrame:
+def build_lexicon(words: DataFrame, pronunciations: DataFrame | None = None, rules: P.Rules | None = None) -> DataFrame:
     """``(word, phonemes)`` for each distinct lower-cased word.
 
-    Known pronunciations win; the spelling rules cover the rest. Only distinct words are
+    Known pronunciations win; the spelling rules, the built-in ones or a table's, cover the rest. Only distinct words are
     transcribed, however often they occur.
     """
     distinct = words.select(F.lower("word").alias("word")).distinct()
-    by_rule = P.apply_grapheme_rules(F.col("word"))
+    by_rule = P.apply_grapheme_rules(F.col("word"), rules)
     if pronunciations is None:
         return distinct.select("word", by_rule.alias("phonemes"))
     known = one_pronunciation(pronunciations)

@@ -62,6 +62,29 @@ def apply_grapheme_rules(spark, d):
     return words.select("word", words_text(P.apply_grapheme_rules(F.col("word")), " ").alias("phonemes"))
 
 
+#: Rules of the second table: the words of the nations' names become one symbol, letters stand for themselves.
+RULE_ROWS_SQL = """rule AS (SELECT lower(n_name) AS grapheme, ['N' || n_nationkey, '+'] AS phonemes, row_number() OVER (ORDER BY -length(n_name), n_name) AS rank FROM nation
+    UNION ALL SELECT chr(96 + i::INT), [chr(64 + i::INT)], 1000 + i FROM range(1, 27) r(i))"""
+
+
+@query(
+    "rewrite_rules",
+    f"""WITH w AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest({Q.words('text')}) AS word FROM documents UNION ALL SELECT n_name || r_name FROM nation JOIN region ON n_regionkey = r_regionkey)),
+    {RULE_ROWS_SQL}, one AS (SELECT map(list(grapheme), list(phonemes)) AS m, string_agg(grapheme, '|' ORDER BY rank) AS pattern FROM rule),
+    found AS (SELECT word, m, regexp_extract_all(word, pattern) AS pieces FROM w, one)
+    SELECT word, coalesce(array_to_string(flatten(list_transform(pieces, lambda g: m[g])), ' '), '') AS phonemes FROM found""",
+)
+def rewrite_rules(spark, d):
+    """Transcription by a rule table instead of the built-in rules."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    mine = nation.select((-F.length("n_name")).alias("rank"), F.lower("n_name").alias("grapheme"), F.array(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.lit("+")).alias("phonemes"))
+    letters = spark.range(1, 27).select((F.col("id") + 1000).cast("int").alias("rank"), F.char(F.col("id") + 96).alias("grapheme"), F.array(F.char(F.col("id") + 64)).alias("phonemes"))
+    rules = P.rules_from_table(mine.unionByName(letters))
+    names = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat("n_name", "r_name").alias("word"))
+    words = docs(spark, d).select(F.explode(X.split_words(F.col("text"))).alias("word")).unionByName(names)
+    return G.build_lexicon(words, rules=rules).select("word", words_text("phonemes", " ").alias("phonemes"))
+
+
 def _regroup(pattern: str, render: str, glue: str) -> str:
     return f"""{lex_sql(pattern)},
  t AS (SELECT doc_id, unnest({Q.words('text', pattern)}) AS word, generate_subscripts({Q.words('text', pattern)}, 1) AS pos FROM documents),

@@ -61,6 +61,20 @@ def rule_phonemes(word):
     return [p for g in re.findall(P.GRAPHEME_PATTERN, word.lower()) for p in table[g]]
 
 
+def test_a_second_rule_table_gives_a_second_transcription(spark):
+    rows = [(2, "a", ["x"]), (1, "ab", ["y", "z"]), (3, "AB", ["never"]), (4, "c+", ["plus"]), (5, None, ["n"]), (6, "q", None), (0, "", ["e"])]
+    table = spark.createDataFrame(rows, "rank int, grapheme string, phonemes array<string>")
+    rules = P.rules_from_table(table)
+    words = spark.createDataFrame([("abac+c",), ("",), (None,), ("q",), ("BA",)], "word string")
+    got = {r.word: r.p for r in words.select("word", P.apply_grapheme_rules(F.col("word"), rules).alias("p")).collect()}
+    assert got == {"abac+c": ["y", "z", "x", "plus"], "": [], None: None, "q": [], "BA": ["x"]}
+    none = P.rules_from_table(table.limit(0))
+    assert words.select(P.apply_grapheme_rules(F.col("word"), none).alias("p")).where("size(p) > 0").count() == 0
+    with pytest.raises(ValueError, match="more than 3"):
+        P.rules_from_table(table, most=3)
+    assert {r.word: r.phonemes for r in G.build_lexicon(words, rules=rules).collect()}["ba"] == ["x"]
+
+
 def test_rules_take_the_longest_spelling(spark):
     words = ["Nation", "thought", "light", "queue", "x-ray", "straße", "", "123", "ÉCLAIR"]
     df = spark.createDataFrame([(w,) for w in words], "word string")
