@@ -18,7 +18,7 @@ HEADLINE = """
 clean_text chunk_words dedup_exact filter_language word_frequencies vocab_wordlevel build_lexicon
 phonetize_words transliterate_ipa prepare_wikitext clean_corpus encode_single mlm_mask encode_pair
 train_val_test_split cap_splits oversample_classes rhyme_positive_pairs build_rhyme_pairs
-near_spelling_pairs sample_unrelated_pairs build_etymology_task build_meter_task
+vocab_bpe near_spelling_pairs sample_unrelated_pairs build_etymology_task build_meter_task
 metric_spearman metric_roc_auc metric_hit_at_k score_predictions random_baseline build_bilingual_mlm
 """.split()
 
