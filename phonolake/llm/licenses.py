@@ -10,6 +10,8 @@ the rest is counted in full.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,11 +68,23 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{RAW_WORD}+")).cast("long")
 
 
-def phrase_places(text: Column, phrases: dict[str, str]) -> dict[str, Column]:
-    """Columns of the base scan. Phrases must not overlap each other; case of A-Z does not matter."""
-    patterns = {p: f"(?<!{RAW_WORD})" + f"{RAW_GAP}+".join(p.split()) + f"(?!{RAW_WORD})" for p in phrases}
+def phrase_patterns(phrases: dict[str, str]) -> dict[str, str]:
+    return {p: f"(?<!{RAW_WORD})" + f"{RAW_GAP}+".join(p.split()) + f"(?!{RAW_WORD})" for p in phrases}
+
+
+def has_phrase(text: Column, phrases: dict[str, str]) -> Column:
+    """Whether a phrase stands in the text; the pattern is tried only where all words of one occur somewhere."""
+    if not phrases:
+        return F.lit(False)
+    low = F.lower(text)
+    possible = reduce(or_, [reduce(and_, [F.contains(low, F.lit(w)) for w in sorted(set(p.split()), key=len, reverse=True)]) for p in phrases])
+    return F.when(possible, text.rlike("(?i)" + "|".join(phrase_patterns(phrases).values()))).otherwise(F.lit(False))
+
+
+def phrase_places(text: Column, found: Column, phrases: dict[str, str]) -> dict[str, Column]:
+    """Columns of the base scan, given whether there is a phrase. Phrases must not overlap; case of A-Z does not matter."""
+    patterns = phrase_patterns(phrases)
     any_phrase = "(?i)" + "|".join(patterns.values())
-    found = text.rlike(any_phrase)
     parts = F.split(text, any_phrase, -1)
     last_match = F.element_at(F.regexp_extract_all(text, F.lit(f"({any_phrase})"), F.lit(1)), -1)
     words = count_words(text)
@@ -142,9 +156,11 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     phrase, else the largest containment, else 0. Null and empty texts have no words; null or repeated ids keep
     their rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    places = phrase_places(text, PHRASES if phrases is None else phrases)
-    base = docs.select(*key_columns(id_col, text_col), F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in places.items()])
+    phrases = PHRASES if phrases is None else phrases
+    rows = docs.select(*key_columns(id_col, text_col), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    rows = rows.withColumn("has_phrase", has_phrase(F.col("body"), phrases))
+    places = phrase_places(F.col("body"), F.col("has_phrase"), phrases)
+    base = rows.select("key_id", "key_hash", "doc_id", *[c.alias(n) for n, c in places.items()])
     found = template_matches(docs, templates, threshold, id_col, text_col).groupBy(F.col("key_id").alias("_id"), F.col("key_hash").alias("_hash")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
     out = base.join(found.hint("merge"), (F.col("key_id") == F.col("_id")) & (F.col("key_hash") == F.col("_hash")), "left")
     none = F.array().cast("array<string>")
