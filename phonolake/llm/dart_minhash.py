@@ -27,6 +27,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 5
 REMEMBERED = 500_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: 64-bit words of a text's bit map in the prefix join.
+MAP_WORDS = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -187,6 +189,10 @@ def prefix_pairs(open_: DataFrame, bodies: DataFrame, words: int, similar: float
     ordered by how many of the texts have them, rarest first; texts that reach the similarity share an element among
     the first size - ceil(similar * size) + 1 of both. The places of a shared element bound the overlap: many texts
     around one passage differ in words of their own, which come first.
+
+    Each text also has a bit map: bit h is set when an odd number of its elements hash to h. Every bit in which two
+    maps differ needs an element of only one of the texts, so the maps bound the overlap too and no link is lost. They
+    settle most pairs just below the similarity inside the join.
     """
 
     def elements(batch):
@@ -196,11 +202,23 @@ def prefix_pairs(open_: DataFrame, bodies: DataFrame, words: int, similar: float
         size = np.bincount(doc, counts, batch.num_rows).astype(np.int64)
         at = np.repeat(np.arange(len(doc)), counts)
         again = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-        element = mixed(value[at] + again.astype(np.uint64) * PRIME).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at])), pa.array(element), pa.array(size[doc[at]])], ["node", "element", "size"])
+        element = mixed(value[at] + again.astype(np.uint64) * PRIME)
+        doc = doc[at]
+        place = mixed(element) % np.uint64(64 * MAP_WORDS)
+        bits = np.zeros((batch.num_rows, MAP_WORDS), np.uint64)
+        np.bitwise_xor.at(bits, (doc, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+        element = element.view(np.int64)
+        # the row of a text's smallest element carries its map
+        smallest = np.full(batch.num_rows, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, doc, element)
+        carries = element == smallest[doc]
+        maps = pa.array([m.tolist() if c else None for m, c in zip(bits.view(np.int64)[doc], carries, strict=True)], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(element), pa.array(size[doc]), maps], ["node", "element", "size", "bits"])
 
     texts_of = bodies.join(open_.select("node").hint("merge"), "node").select("node", "text")
-    rows = stored(texts_of.mapInArrow(per_row(elements), "node binary, element long, size long").distinct(), "elements")
+    rows = stored(texts_of.mapInArrow(per_row(elements), "node binary, element long, size long, bits array<long>").distinct(), "elements")
+    maps = rows.where("bits IS NOT NULL").select("node", "bits")
+    rows = rows.drop("bits")
     # elements of one text only cannot be shared, but they take their places in the prefix
     counts = stored(rows.groupBy("element").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     ranked = rows.join(counts.hint("merge"), "element", "left").withColumn("n", F.coalesce("n", F.lit(1)))
@@ -211,16 +229,18 @@ def prefix_pairs(open_: DataFrame, bodies: DataFrame, words: int, similar: float
     prefix = prefix.join(open_.hint("merge"), "node").select("node", "label", "element", "size", "place", "before", "previous")
     prefix = stored(prefix, "prefix")
     mixed_ = stored(prefix.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("element"), "mixed")
-    left = stored(prefix.join(mixed_.hint("merge"), "element"), "meeting")
-    left = left.select("element", F.col("node").alias("a"), "label", "size", "place", "before", "previous")
-    right = left.toDF("element", "b", "label_b", "size_b", "place_b", "before_b", "previous_b")
+    left = stored(prefix.join(mixed_.hint("merge"), "element").join(maps.hint("merge"), "node"), "meeting")
+    left = left.select("element", F.col("node").alias("a"), "label", "size", "place", "before", "previous", "bits")
+    right = left.toDF("element", "b", "label_b", "size_b", "place_b", "before_b", "previous_b", "bits_b")
     # the overlap that the similarity needs, and what can still be shared before, at and after this element
     needed = F.ceil((F.col("size") + F.col("size_b")) * (similar / (1 + similar)) - 1e-9)
     possible = F.least("before", "before_b") + 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
     differ = (F.col("a") < F.col("b")) & (F.col("label") != F.col("label_b"))
     # two texts that also share the element before meet there already
     starts = ~F.coalesce(F.col("previous") == F.col("previous_b"), F.lit(False))
-    return left.join(right.hint("merge"), "element").where(differ & (possible >= needed) & starts).select("a", "b").distinct()
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(MAP_WORDS)), F.lit(0))
+    near = F.col("size") + F.col("size_b") - apart >= 2 * needed
+    return left.join(right.hint("merge"), "element").where(differ & (possible >= needed) & starts & near).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, hub_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

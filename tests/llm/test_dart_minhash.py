@@ -90,6 +90,29 @@ def test_texts_around_one_passage(spark):
     assert got == {i: c for (i, _), c in brute(rows).items()}
 
 
+def test_prefix_join_loses_no_link(spark):
+    draw = random.Random(11)
+    texts = []
+    for n in (30, 120, 900):  # the longest fill their bit maps
+        base = [f"b{n}_{i}" for i in range(n)]
+        for _ in range(30):
+            words = list(base)
+            start = draw.randrange(n - n // 5)
+            words[start : start + draw.randrange(n // 6)] = [f"o{draw.randrange(10**7)}" for _ in range(draw.randrange(n // 10))]
+            texts.append(" ".join(words))
+    texts += ["same " * 50, "same " * 60, "same " * 90]
+    names = [i.to_bytes(4, "big") for i in range(len(texts))]
+    open_ = spark.createDataFrame(list(zip(map(bytearray, names), map(bytearray, names), strict=True)), "node binary, label binary")
+    bodies = spark.createDataFrame(list(zip(map(bytearray, names), texts, strict=True)), "node binary, text string")
+    got = {(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in dart_minhash.prefix_pairs(open_, bodies, 5, 0.8).collect()}
+    bags = [counted(t) for t in texts]
+    linked = {(i, j) for j in range(len(texts)) for i in range(j) if jaccard(bags[i], bags[j]) >= 0.8}
+    assert linked <= got and len(linked) > 100
+    sizes = [sum(b.values()) for b in bags]
+    # short texts have hardly two differing elements in one bit, so hardly any other pair is left
+    assert len([p for p in got - linked if max(sizes[p[0]], sizes[p[1]]) < 150]) < len(linked) / 5
+
+
 def test_edges(spark):
     long = " ".join(f"t{i % 9000}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, "a b"), (4, "a b"), (4, "a b"), (None, "x y z u v w"), (7, "x y z u v w"), (8, long), (9, long + " end"), (10, " \n ")]
