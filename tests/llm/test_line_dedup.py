@@ -4,58 +4,59 @@ from phonolake.llm import line_dedup
 from phonolake.llm.queries import LLM_QUERIES
 
 SF = "/root/testdata/sf0.001"
-OPTIONS = {"window": 2, "divisor": 3, "least": 2}
 
+def solid_chunks(text):
+    """Bodies of the chunks of two or more lines that are not blank."""
+    lines = text.split("\n")
+    solid = [i for i, line in enumerate(lines) if line.strip()]
+    cut = line_dedup.line_chunks(line_dedup.line_hashes(lines, solid))
+    assert [i for a, b in cut for i in range(a, b)] == list(range(len(solid)))
+    return ["\n".join(lines[solid[a] : solid[b - 1] + 1]) for a, b in cut if b - a > 1]
 
-def brute(rows):
-    """Walk over the documents in order of their ids and keep the first of every multi-line chunk."""
+
+def chunks_brute(rows):
+    """Walk over the documents in order of their ids: the places of the chunks that were there before."""
     out, seen = {}, set()
-    for key in sorted({(-(2**63) if i is None else i, t or "") for i, t in rows}, key=lambda k: (k[0], 0)):
-        lines, kept = key[1].split("\n"), []
-        for a, b in line_dedup.line_chunks(key[1], **OPTIONS):
-            body = tuple(lines[a:b])
-            if line_dedup.multi_line(list(body)):
-                if body in seen:
-                    continue
-                seen.add(body)
-            kept += lines[a:b]
-        out[key] = "\n".join(kept)
+    for key, text in sorted(set(rows)):
+        for place, body in enumerate(solid_chunks(text)):
+            if body in seen:
+                out.setdefault(key, set()).add(place)
+            seen.add(body)
     return out
 
 
-def check(spark, rows):
-    docs = spark.createDataFrame([(i, t, "s", "x") for i, t in rows], "doc_id long, text string, key_id string, digest string")
-    got = line_dedup.remove_repeated_chunks(docs, **OPTIONS).collect()
-    assert len(got) == len(rows)
-    return got
+def later_chunks(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.key_id: set(r.chunks) for r in line_dedup.repeated_chunks(line_dedup.keyed(docs)).collect()}
 
 
-def test_table_equals_brute_force(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    got, want = check(spark, rows), brute(rows)
-    assert {r.doc_id: r.text for r in got} == {i: want[(i, t or "")] if t is not None else None for i, t in rows}
-    assert sum(r.n_lines_removed for r in got) > 0
-    assert LLM_QUERIES["op2_line_dedup"](spark, SF).count() == len(rows)
+def test_chunks_equal_brute_force(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = later_chunks(spark, rows)
+    assert got == chunks_brute(rows) and got
+    draw = random.Random(2)
+    rows = [(i, "\n".join(draw.choice(["a", "b", "c", "d", "", " "]) for _ in range(draw.randrange(30)))) for i in range(60)]
+    assert later_chunks(spark, rows) == chunks_brute(rows)
 
 
-def test_shifted_passage_is_found(spark):
+def test_chunks_do_most_of_a_shifted_passage(spark):
     passage = "\n".join(f"shared line number {i} of the passage" for i in range(40))
-    rows = [(1, f"{passage}\nend of one"), (2, f"other start\nanother\nthird\n{passage}\nend of two")]
-    got = {r.doc_id: r for r in check(spark, rows)}
-    assert got[1].text == rows[0][1]
-    assert got[2].n_lines_removed >= 30 and got[2].text.startswith("other start") and got[2].text.endswith("end of two")
-
-
-def test_edges(spark):
+    rows = [(1, f"{passage}\nend of one"), (2, f"other start\nanother\nthird\n{passage}\nend of two"), (3, passage), (3, passage)]
+    got = later_chunks(spark, rows)
+    assert got.keys() == {2, 3}
+    for key, text in rows[1:]:
+        assert sum(solid_chunks(text)[place].count("\n") + 1 for place in got[key]) >= 30
+    done = {r.doc_id: r for r in line_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert done[1].text == rows[0][1] and done[2].text == "other start\nanother\nthird\nend of two" and done[3].text == ""
+    # the seeds of the second step leave out what the chunks removed
+    assert len(line_dedup.pair_seeds(rows[1][1], list(got[2]))[0]) < len(line_dedup.pair_seeds(rows[1][1])[0]) / 2
+
+
+def test_long_texts(spark):
     long = "\n".join(f"row {i % 7} {i}" for i in range(30_000))
-    rows = [(1, None), (2, ""), (3, "\n\n\n\n"), (4, "\n\n\n\n"), (None, "a\nb\nc"), (5, "a\nb\nc"), (5, "a\nb\nc"), (6, long), (7, long), (8, "one")]
-    got = check(spark, rows)
-    by = {r.doc_id: r.text for r in got}
-    assert by[1] is None and by[2] == "" and by[4] == "\n\n\n\n" and by[None] == "a\nb\nc" and by[8] == "one"
-    assert len(by[7]) < 50 and by[6] == long
-    assert {r.text for r in got if r.doc_id == 5} in ({""}, {"c"})
-    assert {r.key_id for r in got} == {"s"}
-    assert line_dedup.remove_repeated_chunks(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = [(6, long), (7, long), (8, "one"), (9, f"one\n{long}\nmore")]
+    done = {r.doc_id: r.text for r in line_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert done == {6: long, 7: "", 8: "one", 9: "one\nmore"}
 
 
 def passages_brute(rows):
