@@ -212,7 +212,8 @@ def prefix_pairs(open_: DataFrame, bodies: DataFrame, words: int, similar: float
         smallest = np.full(batch.num_rows, np.iinfo(np.int64).max)
         np.minimum.at(smallest, doc, element)
         carries = element == smallest[doc]
-        maps = pa.array([m.tolist() if c else None for m, c in zip(bits.view(np.int64)[doc], carries, strict=True)], pa.list_(pa.int64()))
+        ends = np.concatenate([[0], np.cumsum(carries * MAP_WORDS)]).astype(np.int32)
+        maps = pa.ListArray.from_arrays(pa.array(ends), pa.array(bits.view(np.int64)[doc[carries]].ravel()), mask=pa.array(~carries))
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(element), pa.array(size[doc]), maps], ["node", "element", "size", "bits"])
 
     texts_of = bodies.join(open_.select("node").hint("merge"), "node").select("node", "text")
