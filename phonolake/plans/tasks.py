@@ -12,36 +12,40 @@ from phonolake.operators import cleaning as C
 from phonolake.operators import lexicon as G
 from phonolake.operators import pairs as R
 from phonolake.operators import sampling as S
-from phonolake.operators.positions import dense_index
+from phonolake.operators.positions import ordered_index
 from phonolake.session import ensure_checkpoint_dir
 
 
-def rhyme_pair_rows(verses: DataFrame, lexicon: DataFrame, seed: int | str = 42) -> DataFrame:
-    """``verses`` (verse_no, text) to ``id, sentence1, sentence2, label``.
+def rhyme_pair_rows(
+    verses: DataFrame, lexicon: DataFrame, seed: int | str = 42, key: Sequence[str] = ("verse_no",)
+) -> DataFrame:
+    """``verses`` (the key columns and text) to ``id, sentence1, sentence2, label``.
 
     Anchors are the rows at even positions; each gives one rhyming pair (possibly with itself)
     and one pair from a different ending. The keys of the verses feed five joins, so they are
     checkpointed once; texts join at the end.
     """
     ensure_checkpoint_dir(verses.sparkSession)
-    ended = G.with_ending(verses.select("verse_no", "text"), lexicon).select("verse_no", "ending")
-    keys = dense_index(ended, "verse_no", "pos").checkpoint()
+    ended = G.with_ending(verses.select(*key, "text"), lexicon).select(*key, "ending")
+    keys = ordered_index(ended, key, "pos").checkpoint()
     anchors = keys.filter(F.col("pos") % 2 == 0)
     both = (
         R.rhyme_positive_pairs(keys, anchors, "pos").withColumn("label", F.lit(1))
         .unionByName(R.rhyme_negative_pairs(keys, anchors, "pos", seed).withColumn("label", F.lit(0)))
     )
     numbered = R.pair_row_ids(both.withColumn("_no", F.expr("anchor div 2")), "_no")
-    texts = keys.join(verses.select("verse_no", "text"), "verse_no").select("pos", "text")
+    texts = keys.join(verses.select(*key, "text"), list(key)).select("pos", "text")
     full = numbered.join(
         texts.select(F.col("pos").alias("anchor"), F.col("text").alias("sentence1")), "anchor"
     ).join(texts.select(F.col("pos").alias("partner"), F.col("text").alias("sentence2")), "partner")
     return full.select("id", "sentence1", "sentence2", "label")
 
 
-def build_rhyme_pairs(verses: DataFrame, lexicon: DataFrame, seed: int | str = 42) -> DataFrame:
+def build_rhyme_pairs(
+    verses: DataFrame, lexicon: DataFrame, seed: int | str = 42, key: Sequence[str] = ("verse_no",)
+) -> DataFrame:
     """Rhyme pairs with a split column."""
-    return S.train_val_test_split(rhyme_pair_rows(verses, lexicon, seed), ["id"], 0.2, 0.1, seed)
+    return S.train_val_test_split(rhyme_pair_rows(verses, lexicon, seed, key), ["id"], 0.2, 0.1, seed)
 
 
 def build_last_word_task(
@@ -102,10 +106,10 @@ def build_synonym_task(rows: DataFrame, seed: int | str = 42) -> DataFrame:
 
 
 def build_meter_task(
-    verses: DataFrame, lexicon: DataFrame | None = None, id_col: str = "id", seed: int | str = 42
+    verses: DataFrame, lexicon: DataFrame | None = None, id_col: str = "id", seed: int | str = 42, order_col: str | None = None
 ) -> DataFrame:
-    """Label by order of first appearance, split, oversample the training rows, shuffle by split."""
-    labels = R.label_index(verses, "Meter", id_col)
+    """Label by order of first appearance (of ``order_col``, by default the id), split, oversample the training rows."""
+    labels = R.label_index(verses, "Meter", order_col or id_col)
     labelled = C.lookup(verses.select(id_col, "Verse", "Meter"), labels, ["Meter"], "inner")
     if lexicon is not None:
         labelled = G.phonetize_whitespace(

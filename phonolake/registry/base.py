@@ -47,6 +47,11 @@ def big(column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("bigint")
 
 
+def joint_key(*ids) -> Column:
+    """One key out of several ids, different for different ids."""
+    return F.concat_ws(":", *[(F.col(i) if isinstance(i, str) else i).cast("string") for i in ids])
+
+
 def ints_text(column) -> Column:
     """Integer array as a comma-separated string."""
     c = F.col(column) if isinstance(column, str) else column

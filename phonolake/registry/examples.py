@@ -14,7 +14,7 @@ from phonolake.operators import masking as M
 from phonolake.operators import vocabulary as V
 from phonolake.plans import examples as PE
 from phonolake.registry import sql as Q
-from phonolake.registry.base import big, ints_text, query, r6, table
+from phonolake.registry.base import big, ints_text, joint_key, query, r6, table
 from phonolake.registry.texts import CONV_TURNS_SQL, docs, sentence_pairs
 from phonolake.session import ensure_checkpoint_dir
 
@@ -267,7 +267,7 @@ def encode_words(spark, d):
     return piece_table(spark, d, counts(spark, d)).select("word", ints_text("ids").alias("ids"))
 
 
-CONV_WORDS_SQL = f"""cw AS (SELECT conv_id * 1000 + turn AS idx, {Q.marks('text')} AS ws FROM conversations),
+CONV_WORDS_SQL = f"""cw AS (SELECT {Q.key('conv_id', 'turn')} AS idx, {Q.marks('text')} AS ws FROM conversations),
  ct AS (SELECT idx, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM cw)"""
 
 
@@ -278,7 +278,7 @@ CONV_WORDS_SQL = f"""cw AS (SELECT conv_id * 1000 + turn AS idx, {Q.marks('text'
     SELECT idx, pos::BIGINT AS pos, start::BIGINT AS start FROM o""",
 )
 def word_token_offsets(spark, d):
-    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), "text")
+    rows = table(spark, d, "conversations").select(joint_key("conv_id", "turn").alias("idx"), "text")
     words = rows.select(F.explode(X.split_words_single_punct(F.col("text"))).alias("word"))
     ids = E.encode_texts(rows, piece_table(spark, d, words), UNK, {"text": "w"}, "idx")
     out = ids.select("idx", F.posexplode(E.word_token_offsets(F.col("w"))).alias("pos", "start"))
@@ -287,7 +287,7 @@ def word_token_offsets(spark, d):
 
 @query(
     "encode_offsets",
-    f"""WITH RECURSIVE {PIECE_SQL}, cw AS (SELECT conv_id * 1000 + turn AS idx, regexp_extract_all(text, {Q.quote(X.WORDS_AND_RUNS + '|[' + X.SPACE_CHARS + ']+')}) AS ws FROM conversations),
+    f"""WITH RECURSIVE {PIECE_SQL}, cw AS (SELECT {Q.key('conv_id', 'turn')} AS idx, regexp_extract_all(text, {Q.quote(X.WORDS_AND_RUNS + '|[' + X.SPACE_CHARS + ']+')}) AS ws FROM conversations),
     ca AS (SELECT idx, unnest(ws) AS word, generate_subscripts(ws, 1) AS piece FROM cw),
     cb AS (SELECT idx, piece, word, coalesce(sum(length(word)) OVER (PARTITION BY idx ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ca),
     ct AS (SELECT idx, word, start, row_number() OVER (PARTITION BY idx ORDER BY piece) - 1 AS word_no FROM cb WHERE NOT regexp_matches(word, '^[{X.SPACE_CHARS}]')),
@@ -296,7 +296,7 @@ def word_token_offsets(spark, d):
     FROM ct JOIN wids USING (word)""",
 )
 def encode_offsets(spark, d):
-    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), "text")
+    rows = table(spark, d, "conversations").select(joint_key("conv_id", "turn").alias("idx"), "text")
     words = rows.select(F.explode(X.split_words(F.col("text"))).alias("word"))
     out = E.encode_offsets(rows, piece_table(spark, d, words), UNK, "idx")
     return out.select("idx", *[big(c).alias(c) for c in ("word_no", "start", "end", "piece_no", "id")])

@@ -67,6 +67,11 @@ def lexicon(source: str, text: str = "text", pattern: str = X.WORDS_AND_RUNS, na
     {name} AS (SELECT word, {phonemes('word')} AS phonemes FROM {name}_words)"""
 
 
+def key(*ids: str) -> str:
+    """One key out of several ids, different for different ids."""
+    return f"concat_ws(':', {', '.join(ids)})"
+
+
 def split_case(pos: str, n: str, test: float, validation: float) -> str:
     """Split name from the position in hash order and the row count."""
     n_test = f"ceil(round({n} * {test}, 9))"

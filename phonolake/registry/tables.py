@@ -10,10 +10,10 @@ from phonolake.operators import cleaning as C
 from phonolake.operators import lexicon as G
 from phonolake.operators import pairs as R
 from phonolake.operators import sampling as S
-from phonolake.operators.positions import dense_index, shuffled_index
+from phonolake.operators.positions import ordered_index, shuffled_index
 from phonolake.plans import tasks as PT
 from phonolake.registry import sql as Q
-from phonolake.registry.base import big, query, r6, table, words_text
+from phonolake.registry.base import big, joint_key, query, r6, table, words_text
 from phonolake.registry.scores import ARGMAX_SQL, guesses
 from phonolake.registry.texts import LINES_SQL, docs, lines, sentence_pairs
 from phonolake.session import ensure_checkpoint_dir
@@ -247,16 +247,19 @@ def head_n(spark, d):
 # --- joins and pairs -------------------------------------------------------------------------
 
 VERSE_SQL = f"""{LINES_SQL},
- vl AS (SELECT doc_id * 100000 + line_no AS verse_no, line AS text, {Q.spaced('line')}[-1] AS last_word FROM lines),
+ vl AS (SELECT doc_id, line_no, line AS text, {Q.spaced('line')}[-1] AS last_word FROM lines),
  vw AS (SELECT last_word, {Q.phonemes('last_word')} AS ph FROM (SELECT DISTINCT last_word FROM vl WHERE last_word IS NOT NULL)),
- v AS (SELECT verse_no, text, last_word, array_to_string(ph[-2:], ' ') AS ending,
-   row_number() OVER (ORDER BY verse_no) - 1 AS pos FROM vl JOIN vw USING (last_word)),
+ v AS (SELECT text, last_word, array_to_string(ph[-2:], ' ') AS ending,
+   row_number() OVER (ORDER BY doc_id, line_no) - 1 AS pos FROM vl JOIN vw USING (last_word)),
  anchors AS (SELECT * FROM v WHERE pos % 2 = 0)"""
 
 
+VERSE_KEY = ["doc_id", "line_no"]
+
+
 def verses(spark, d):
-    """Lines of the documents as numbered verses."""
-    return lines(spark, d).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("verse_no"), F.col("line").alias("text"))
+    """Lines of the documents as verses, named by document and line."""
+    return lines(spark, d).select(*VERSE_KEY, F.col("line").alias("text"))
 
 
 def verse_lexicon(spark, d):
@@ -267,17 +270,17 @@ def verse_lexicon(spark, d):
 def placed_verses(spark, d):
     ended = G.with_ending(verses(spark, d), verse_lexicon(spark, d))
     ensure_checkpoint_dir(spark)
-    return dense_index(ended.select("verse_no", "ending"), "verse_no", "pos").checkpoint()
+    return ordered_index(ended.select(*VERSE_KEY, "ending"), VERSE_KEY, "pos").checkpoint()
 
 
 @query(
     "rhyme_groups",
-    f"""WITH {VERSE_SQL} SELECT coalesce(ending, '') AS ending, (row_number() OVER (PARTITION BY ending ORDER BY verse_no) - 1)::BIGINT AS pos, verse_no,
+    f"""WITH {VERSE_SQL} SELECT coalesce(ending, '') AS ending, (row_number() OVER (PARTITION BY ending ORDER BY v.pos) - 1)::BIGINT AS pos, v.pos::BIGINT AS verse_no,
     (count(*) OVER (PARTITION BY ending))::BIGINT AS n FROM v""",
 )
 def rhyme_groups(spark, d):
-    ended = G.with_ending(verses(spark, d), verse_lexicon(spark, d))
-    return R.rhyme_groups(ended, "verse_no").select("ending", big("pos").alias("pos"), "verse_no", big("n").alias("n"))
+    numbered = placed_verses(spark, d).withColumnRenamed("pos", "verse_no")
+    return R.rhyme_groups(numbered, "verse_no").select("ending", big("pos").alias("pos"), big("verse_no").alias("verse_no"), big("n").alias("n"))
 
 
 POSITIVE_SQL = """two AS (SELECT ending, min(pos) AS m1 FROM v GROUP BY ending),
@@ -321,7 +324,7 @@ RHYME_SQL = f"""{VERSE_SQL}, {POSITIVE_SQL}, {negative_sql()},
     f"WITH {RHYME_SQL} SELECT id, sentence1, sentence2, label::BIGINT AS label, {Q.split_case('hpos', 'n', 0.2, 0.1)} AS split FROM rq",
 )
 def build_rhyme_pairs(spark, d):
-    out = PT.build_rhyme_pairs(verses(spark, d), verse_lexicon(spark, d))
+    out = PT.build_rhyme_pairs(verses(spark, d), verse_lexicon(spark, d), key=VERSE_KEY)
     return out.select(big("id").alias("id"), "sentence1", "sentence2", big("label").alias("label"), "split")
 
 
@@ -332,7 +335,7 @@ def build_rhyme_pairs(spark, d):
     SELECT id, sentence1, sentence2, label, {Q.split_case('hp', 'n', 0.1, 0.1)} AS split FROM tq""",
 )
 def build_last_word_task(spark, d):
-    pairs = PT.rhyme_pair_rows(verses(spark, d), verse_lexicon(spark, d))
+    pairs = PT.rhyme_pair_rows(verses(spark, d), verse_lexicon(spark, d), key=VERSE_KEY)
     return PT.build_last_word_task(pairs).withColumn("id", big("id"))
 
 
@@ -411,7 +414,7 @@ def label_index_join(spark, d):
 
 @query(
     "positional_word_align",
-    f"""WITH p AS (SELECT conv_id * 1000 + turn AS idx, {Q.marks('text')} AS a,
+    f"""WITH p AS (SELECT {Q.key('conv_id', 'turn')} AS idx, {Q.marks('text')} AS a,
        {Q.marks('lead(text) OVER (PARTITION BY conv_id ORDER BY turn)')} AS b FROM conversations),
     z AS (SELECT idx, a[:least(len(a), len(b))] AS a, b[:least(len(a), len(b))] AS b FROM p WHERE b IS NOT NULL)
     SELECT idx, (generate_subscripts(a, 1) - 1)::BIGINT AS pos, unnest(a) AS word1, unnest(b) AS word2 FROM z""",
@@ -490,8 +493,8 @@ def build_etymology_task(spark, d):
     return PT.build_etymology_task(edges(spark, d)).withColumn("label", big("label"))
 
 
-METER_SQL = f"""{LINES_SQL}, mv AS (SELECT doc_id * 100000 + line_no AS id, line AS Verse, source AS Meter FROM lines JOIN documents USING (doc_id)),
- ml AS (SELECT Meter, row_number() OVER (ORDER BY min(id)) - 1 AS label FROM mv GROUP BY Meter),
+METER_SQL = f"""{LINES_SQL}, mv AS (SELECT {Q.key('doc_id', 'line_no')} AS id, doc_id, line_no, line AS Verse, source AS Meter FROM lines JOIN documents USING (doc_id)),
+ ml AS (SELECT Meter, row_number() OVER (ORDER BY min((doc_id, line_no))) - 1 AS label FROM mv GROUP BY Meter),
  mq AS (SELECT id, Verse, Meter, label, row_number() OVER (ORDER BY {Q.hash_bits(42, 'id')}, id) - 1 AS hp, count(*) OVER () AS n FROM mv JOIN ml USING (Meter)),
  ms AS (SELECT id, Verse, Meter, label, {Q.split_case('hp', 'n', 0.2, 0.2)} AS split FROM mq),
  mc AS (SELECT label, count(*) AS n FROM ms WHERE split = 'train' GROUP BY label),
@@ -506,6 +509,6 @@ METER_SQL = f"""{LINES_SQL}, mv AS (SELECT doc_id * 100000 + line_no AS id, line
 def build_meter_task(spark, d):
     source = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("Meter"))
     rows = source.select("doc_id", "Meter", F.posexplode(F.split("text", "\n")).alias("line_no", "Verse"))
-    meters = rows.select((F.col("doc_id") * 100000 + F.col("line_no")).alias("id"), "Verse", "Meter")
-    out = PT.build_meter_task(meters)
+    meters = rows.select(joint_key("doc_id", "line_no").alias("id"), F.struct("doc_id", "line_no").alias("place"), "Verse", "Meter")
+    out = PT.build_meter_task(meters, order_col="place")
     return out.select("id", "Verse", "Meter", big("label").alias("label"), "split", big("copy").alias("copy"))

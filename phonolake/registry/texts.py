@@ -11,7 +11,7 @@ from phonolake.operators import language as L
 from phonolake.operators import vocabulary as V
 from phonolake.plans import corpora as PC
 from phonolake.registry import sql as Q
-from phonolake.registry.base import big, ints_text, query, r6, scratch, table, words_text
+from phonolake.registry.base import big, ints_text, joint_key, query, r6, scratch, table, words_text
 from phonolake.sources import corpora as D
 from phonolake.sources import files as FI
 from phonolake.sources import html as HT
@@ -197,8 +197,8 @@ def filter_language(spark, d):
 
 # --- unions, schemas, task shapes ------------------------------------------------------------
 
-CONV_TURNS_SQL = """turns AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
- pairs AS (SELECT conv_id * 1000 + turn AS idx, text AS sentence1, next AS sentence2, (length(text) % 2)::BIGINT AS label FROM turns WHERE next IS NOT NULL)"""
+CONV_TURNS_SQL = f"""turns AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations),
+ pairs AS (SELECT {Q.key('conv_id', 'turn')} AS idx, text AS sentence1, next AS sentence2, (length(text) % 2)::BIGINT AS label FROM turns WHERE next IS NOT NULL)"""
 
 
 def sentence_pairs(spark, d):
@@ -206,7 +206,7 @@ def sentence_pairs(spark, d):
     turns = table(spark, d, "conversations")
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("sentence2"))
     return turns.join(following, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.col("text").alias("sentence1"), "sentence2",
+        joint_key("conv_id", "turn").alias("idx"), F.col("text").alias("sentence1"), "sentence2",
         big(F.length("text") % 2).alias("label"),
     )
 
@@ -407,14 +407,15 @@ def prepare_wikitext(spark, d):
 
 @query(
     "prepare_bookcorpus",
-    f"""WITH b AS (SELECT doc_id, text FROM documents UNION ALL SELECT item_id + 1000000000, text FROM benchmark),
+    f"""WITH b AS (SELECT concat_ws(':', 'documents', doc_id) AS doc_id, text FROM documents UNION ALL SELECT concat_ws(':', 'benchmark', item_id), text FROM benchmark),
     w AS (SELECT doc_id, {Q.words('text')} AS ws FROM b), s AS (SELECT doc_id, ws, unnest(range(0, len(ws), 100)) AS k FROM w)
     SELECT doc_id, CASE WHEN {Q.H('42:validation', 'doc_id')} < 0.01 THEN 'validation' ELSE 'train' END AS split, (k // 100)::BIGINT AS chunk_no,
       {Q.clean("array_to_string(ws[k + 1:k + 100], ' ')")} AS text FROM s""",
 )
 def prepare_bookcorpus(spark, d):
-    articles = table(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), "text")
-    return PC.prepare_bookcorpus(docs(spark, d), articles).withColumn("chunk_no", big("chunk_no"))
+    books = docs(spark, d).withColumn("doc_id", joint_key(F.lit("documents"), "doc_id"))
+    articles = table(spark, d, "benchmark").select(joint_key(F.lit("benchmark"), "item_id").alias("doc_id"), "text")
+    return PC.prepare_bookcorpus(books, articles).withColumn("chunk_no", big("chunk_no"))
 
 
 @query(

@@ -79,8 +79,9 @@ def write_task(df: DataFrame, root: str, task: str, phonetic: bool = False) -> s
 
 
 def task_table(df: DataFrame, fields: Mapping[str, str], label: str, idx: str) -> DataFrame:
-    """Shape any table into ``idx, <task fields>, label[, split]``."""
-    columns = [F.col(idx).cast("bigint").alias("idx")]
+    """Shape any table into ``idx, <task fields>, label[, split]``; integer ids become bigint, joint keys stay strings."""
+    key = F.col(idx)
+    columns = [(key if df.schema[idx].dataType.typeName() == "string" else key.cast("bigint")).alias("idx")]
     columns += [F.col(source).alias(name) for name, source in fields.items()]
     columns.append(F.col(label).alias("label"))
     if "split" in df.columns:

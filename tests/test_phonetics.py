@@ -163,3 +163,13 @@ def test_held_profile_equals_the_join(spark, monkeypatch):
     monkeypatch.setattr(L, "hold_profile", lambda *_: None)
     assert held == sorted(tuple(r) for r in L.detect_language(probe, profile, ["en", "fr"]).collect())
     assert kept == by_id(L.filter_language(probe, profile)) == ["the cat"]
+
+
+def test_verses_are_keyed_by_document_and_line(spark):
+    from phonolake.registry.base import joint_key
+
+    rows = spark.createDataFrame([(1, 100_000, "so bright"), (2, 0, "a night"), (1, 7, "the light")], "doc_id long, line_no int, text string")
+    lexicon = G.build_lexicon(rows.select(F.lower(F.element_at(F.split("text", " "), -1)).alias("word")))
+    pairs = PT.rhyme_pair_rows(rows, lexicon, key=["doc_id", "line_no"]).filter("label = 1").orderBy("id")
+    assert [tuple(r)[1:3] for r in pairs.collect()] == [("the light", "so bright"), ("a night", "the light")]
+    assert rows.select(joint_key("doc_id", "line_no").alias("k")).distinct().count() == 3
