@@ -101,3 +101,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def key_columns(id_col: str, text_col: str) -> list:
     lowest = F.lit(-(2**63))
     return [F.coalesce(F.col(id_col).cast("long"), lowest).alias("key_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key_hash")]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from phonolake.llm.common import key_columns, keyed, per_row, scratch_tables, stored
+from phonolake.llm.common import free_name, key_columns, keyed, per_row, scratch_tables, stored
 from phonolake.llm.components import components
 
 WORDS = 5
@@ -317,11 +317,11 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class, that of the smallest id; all columns unchanged."""
+    """``docs`` with one row of each class, that of the smallest id; all columns unchanged, whatever their names."""
+    own_id, own_hash = free_name(docs, "_key_id"), free_name(docs, "_key_hash")
     with scratch_tables(docs.sparkSession):
         found = classes(docs, id_col=id_col, text_col=text_col, **options)
-        gone = stored(found.where(~F.col("is_first")).select(F.col("key_id").alias("_gone_id"), F.col("key_hash").alias("_gone_hash")).distinct(), "gone", keep=True)
+        gone = stored(found.where(~F.col("is_first")).select(F.col("key_id").alias(own_id), F.col("key_hash").alias(own_hash)).distinct(), "gone", keep=True)
     key_id, key_hash = key_columns(id_col, text_col)
-    rows = docs.withColumns({"_key_id": key_id, "_key_hash": key_hash})
-    rows = rows.join(gone.hint("merge"), (F.col("_key_id") == F.col("_gone_id")) & (F.col("_key_hash") == F.col("_gone_hash")), "left_anti")
-    return rows.dropDuplicates(["_key_id", "_key_hash"]).select(*docs.columns)
+    rows = docs.withColumns({own_id: key_id, own_hash: key_hash})
+    return rows.join(gone.hint("merge"), [own_id, own_hash], "left_anti").dropDuplicates([own_id, own_hash]).select(*docs.columns)

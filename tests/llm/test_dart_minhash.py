@@ -130,3 +130,11 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8)] + [(i, i + 1) for i in range(20, 90)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} | {i: 20 for i in range(20, 91)}
+
+
+def test_own_columns_named_like_keys_stay(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "a", 5), (2, text, "b", 6), (3, None, None, None)], "doc_id long, text string, _key_id string, _key_hash int")
+    kept = dart_minhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, text, "a", 5), (3, None, None, None)]
