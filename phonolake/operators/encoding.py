@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from phonolake.functions import text as X
 from phonolake.operators.cleaning import bounded, lookup
+from phonolake.operators.held import MOST_BYTES, Held, hold, look_up
+from phonolake.session import ensure_checkpoint_dir
 
 IGNORED = -100
 INTS = "array<int>"
@@ -113,11 +115,48 @@ def encode_texts(
     fields: Mapping[str, str],
     id_col: str = "doc_id",
     splitter=X.split_words_single_punct,
+    most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """``(id, <out> array<array<int>>)``: token ids per word for each text field.
 
-    ``table`` is ``(word, ids)``. Rows are shuffled once by id before they are exploded, and a
-    table small enough for Spark to broadcast adds no other shuffle.
+    ``table`` is ``(word, ids)``. Tasks hold it and look words up inside the row, so no token is shuffled; one that is
+    too large is joined (``encode_joined``). Rows that share an id give one row, their words in the order of their
+    positions; only such rows are joined again. Runs jobs: the table and the ids that repeat are written.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    held = hold(table.select("word", "ids"), ["ids"], most_bytes=most_bytes)
+    if held is None:
+        return encode_joined(df, table, unknown, fields, id_col, splitter)
+    again = df.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_again").checkpoint()
+    if again.isEmpty():
+        return encode_held(df, held, unknown, fields, id_col, splitter)
+    shared, same = bounded(again), F.col(id_col).eqNullSafe(F.col("_again"))
+    alone = encode_held(df.join(shared, same, "left_anti"), held, unknown, fields, id_col, splitter)
+    return alone.unionByName(encode_joined(df.join(shared, same, "left_semi"), table, unknown, fields, id_col, splitter))
+
+
+def encode_held(df: DataFrame, held: Held, unknown: int, fields: Mapping[str, str], id_col: str = "doc_id", splitter=X.split_words_single_punct) -> DataFrame:
+    """As ``encode_texts`` by a held table, one row for each row."""
+    rows = df.select(id_col, *[F.col(name).alias(f"_text{i}") for i, name in enumerate(fields)])
+    for i, out in enumerate(fields.values()):
+        words = splitter(F.coalesce(F.col(f"_text{i}"), F.lit("")))
+        rows = look_up(rows, words, held, "ids", f"_ids{i}", drop=[f"_text{i}"])
+    own = [F.transform(f"_ids{i}", lambda ids: F.coalesce(ids, F.array(F.lit(unknown)))).alias(out) for i, out in enumerate(fields.values())]
+    return rows.select(id_col, *own)
+
+
+def encode_joined(
+    df: DataFrame,
+    table: DataFrame,
+    unknown: int,
+    fields: Mapping[str, str],
+    id_col: str = "doc_id",
+    splitter=X.split_words_single_punct,
+) -> DataFrame:
+    """As ``encode_texts`` for a table of any size.
+
+    Rows are shuffled once by id before they are exploded, and a table small enough for Spark to
+    broadcast adds no other shuffle.
     """
     names = list(fields)
     texts = F.array(*[F.coalesce(F.col(name), F.lit("")) for name in names])
@@ -206,13 +245,26 @@ def pad_dynamic(df: DataFrame, special: Mapping[str, int], batch: str = "batch",
 def decode_ids(
     df: DataFrame, vocab: DataFrame, skip: Sequence[int] = (), ids: str = "input_ids", id_col: str = "doc_id"
 ) -> DataFrame:
-    """``(id, text)``: tokens joined by spaces, special ids in ``skip`` left out."""
-    spread = df.select(id_col, ids).repartition(id_col).select(id_col, F.posexplode_outer(ids).alias("_pos", "id"))
-    if skip:
-        spread = spread.withColumn("id", F.when(~F.col("id").isin(list(skip)), F.col("id")))
-    named = lookup(spread, vocab.select("id", "token"), ["id"])
-    ordered = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))))
-    return named.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda s: s["token"]), " ").alias("text"))
+    """``(id, text)``: tokens joined by spaces, special ids in ``skip`` left out.
+
+    Only ids are shuffled, whole arrays at a time; tasks hold the vocabulary, or join one that is too large.
+    """
+    base = df.select(id_col, F.coalesce(ids, F.array().cast(df.schema[ids].dataType)).alias("_ids")).repartition(id_col)
+    held = hold(vocab.select(F.col("id").cast("string").alias("word"), "token"), ["token"])
+    if held is None:
+        spread = base.select(id_col, F.posexplode_outer("_ids").alias("_pos", "id"))
+        if skip:
+            spread = spread.withColumn("id", F.when(~F.col("id").isin(list(skip)), F.col("id")))
+        named = lookup(spread, vocab.select("id", "token"), ["id"])
+        ordered = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))))
+        return named.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda s: s["token"]), " ").alias("text"))
+    placed = F.transform("_ids", lambda x, i: F.struct(i.alias("_pos"), x.alias("id")))
+    rows = base.groupBy(id_col).agg(F.flatten(F.collect_list(placed)).alias("_placed"))
+    rows = rows.withColumn("_placed", F.filter("_placed", lambda s: ~s["id"].isin(list(skip)) if skip else F.lit(True)))
+    rows = look_up(rows, F.transform("_placed", lambda s: s["id"].cast("string")), held, "token", "_tokens")
+    both = F.zip_with("_placed", "_tokens", lambda s, token: F.struct(s["_pos"].alias("_pos"), token.alias("token")))
+    ordered = F.array_sort(F.filter(both, lambda s: s["token"].isNotNull()))
+    return rows.select(id_col, F.array_join(F.transform(ordered, lambda s: s["token"]), " ").alias("text"))
 
 
 def word_token_offsets(word_ids_column: Column) -> Column:
@@ -231,13 +283,17 @@ def word_token_offsets(word_ids_column: Column) -> Column:
 def encode_offsets(df: DataFrame, table: DataFrame, unknown: int, id_col: str = "doc_id") -> DataFrame:
     """One row per token: word number, character span of its word, id, and place in the text.
 
-    ``table`` is ``(word, ids)``; spans are zero-based and exclusive at the end.
+    ``table`` is ``(word, ids)``, held by the tasks where it fits; spans are zero-based and exclusive at the end.
     """
     base = df.select(id_col, X.word_spans(F.col("text")).alias("_spans"))
-    words = base.select(id_col, F.posexplode("_spans").alias("word_no", "_s")).select(
-        id_col, "word_no", F.col("_s.word").alias("word"), F.col("_s.start").alias("start")
-    )
-    found = lookup(words, table.select("word", "ids"), ["word"])
+    held = hold(table.select("word", "ids"), ["ids"])
+    if held is None:
+        words = base.select(id_col, F.posexplode("_spans").alias("word_no", "_s")).select(id_col, "word_no", "_s.word", "_s.start")
+        found = lookup(words, table.select("word", "ids"), ["word"])
+    else:
+        rows = look_up(base, F.transform("_spans", lambda s: s["word"]), held, "ids", "_ids")
+        both = F.zip_with("_spans", "_ids", lambda s, ids: F.struct(s["word"].alias("word"), s["start"].alias("start"), ids.alias("ids")))
+        found = rows.select(id_col, F.posexplode(both).alias("word_no", "_s")).select(id_col, "word_no", "_s.*")
     ids = F.coalesce("ids", F.array(F.lit(unknown)))
     return found.select(
         id_col,

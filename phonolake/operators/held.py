@@ -13,12 +13,14 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from phonolake.session import ensure_checkpoint_dir
 
 MOST_BYTES = 128 << 20
 MOST_PARTS = 4
+#: Words that one step of a lookup takes at once, so that a worker needs little beside its batch and the table.
+AT_ONCE = 1 << 18
 
 
 class Held:
@@ -31,12 +33,13 @@ class Held:
 
 
 def hold(table: DataFrame, values: Sequence[str], word: str = "word", most_bytes: int = MOST_BYTES, most_parts: int = MOST_PARTS) -> Held | None:
-    """Send ``table`` (unique words, string or double ``values``) to the tasks, or None if it is too large."""
+    """Send ``table`` (unique words; string, double or integer array ``values``) to the tasks, or None if it is too large."""
     spark = table.sparkSession
     ensure_checkpoint_dir(spark)
     rows = table.select(F.xxhash64(word).alias("_hash"), F.col(word).alias("_word"), *values).where(F.col("_word").isNotNull()).checkpoint()
     types = [rows.schema[v].dataType for v in values]
-    width = [F.octet_length(v) if t.simpleString() == "string" else F.lit(8) for v, t in zip(values, types, strict=True)]
+    sizes = {"string": F.octet_length, "array": lambda v: 4 * F.size(v) + 4}
+    width = [sizes.get(t.typeName(), lambda _: F.lit(8))(v) for v, t in zip(values, types, strict=True)]
     each = sum((F.coalesce(w, F.lit(0)) for w in width), F.octet_length("_word") + 16)
     total = rows.agg(F.coalesce(F.sum(each), F.lit(0)).alias("bytes")).first()["bytes"]
     # parts by hash are about equal, with room for the difference
@@ -73,63 +76,89 @@ def _flat(column):
     return column.flatten(), (offsets - offsets[0]).astype(np.int32)
 
 
-def look_up(df: DataFrame, words: Column, held: Held, value: str, out: str) -> DataFrame:
-    """Add ``out``: the held string value of each word of the array column, null where there is none. No shuffle."""
-    at = held.values.index(value) + 2
+def _slices(batch, at: int):
+    """Slices of a batch with at most ``AT_ONCE`` words in the list column ``at``, or a single row."""
+    ends = batch.column(at).offsets.to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + AT_ONCE, side="right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _with_words(df: DataFrame, words: Column) -> DataFrame:
     rows = df.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
-    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    schema = StructType(list(df.schema.fields)).add("_words", ArrayType(StringType())).add("_hashes", ArrayType(LongType())).add(out, ArrayType(StringType()))
+    return rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+
+
+def look_up(df: DataFrame, words: Column, held: Held, value: str, out: str, drop: Sequence[str] = ()) -> DataFrame:
+    """Add ``out``: the held string or array value of each word of the array column, null where there is none. No shuffle.
+
+    Columns in ``drop`` are not needed beyond ``words`` and are left out.
+    """
+    at = held.values.index(value) + 2
+    rows = _with_words(df, words).drop(*drop)
+    df = df.drop(*drop)
+    own = len(df.columns)
+    found_type = ArrayType(held.types[at - 2])
     for k, part in enumerate(held.parts):
+        last = k == len(held.parts) - 1
         if k:
             rows = rows.checkpoint()  # a pass of its own, so that a task holds one part at a time
+        schema = StructType(list(df.schema.fields))
+        if not last:
+            schema = schema.add("_words", ArrayType(StringType())).add("_hashes", ArrayType(LongType()))
+        schema = schema.add(out, found_type)
 
-        def run(batches, part=part, first=not k):
+        def run(batches, part=part, first=not k, kept=own if last else own + 2, names=schema.names):
             import pyarrow as pa
             import pyarrow.compute as pc
 
-            names = schema.names
-            for batch in batches:
-                flat, offsets = _flat(batch.column(names.index("_words")))
-                hashes, _ = _flat(batch.column(names.index("_hashes")))
-                row, hit = _matches(part.value, hashes.to_numpy(), flat)
-                found = part.value[at].take(pa.array(row, mask=~hit))
-                if not first:
-                    found = pc.coalesce(_flat(batch.column(names.index(out)))[0], found)
-                sounds = pa.ListArray.from_arrays(pa.array(offsets), found)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], sounds], names)
+            for whole in batches:
+                for batch in _slices(whole, own):
+                    flat, offsets = _flat(batch.column(own))
+                    hashes, _ = _flat(batch.column(own + 1))
+                    row, hit = _matches(part.value, hashes.to_numpy(), flat)
+                    found = part.value[at].take(pa.array(row, mask=~hit))
+                    if not first:
+                        found = pc.coalesce(_flat(batch.column(own + 2))[0], found)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.ListArray.from_arrays(pa.array(offsets), found)], names)
 
         rows = rows.mapInArrow(run, schema)
-    return rows.drop("_words", "_hashes")
+    return rows
 
 
 def add_up(df: DataFrame, words: Column, held: Held, out: str) -> DataFrame:
     """Add ``out``: for each held double column the sum over the words of the row, or null without a known word."""
-    rows = df.withColumn("_words", F.coalesce(words, F.array().cast("array<string>")))
-    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn(out, F.lit(None).cast("array<double>"))
-    schema = rows.schema
+    own = len(df.columns)
+    rows = _with_words(df, words)
     for k, part in enumerate(held.parts):
+        last = k == len(held.parts) - 1
         if k:
             rows = rows.checkpoint()
+        schema = StructType(list(df.schema.fields))
+        if not last:
+            schema = schema.add("_words", ArrayType(StringType())).add("_hashes", ArrayType(LongType()))
+        schema = schema.add(out, ArrayType(DoubleType()))
 
-        def run(batches, part=part):
+        def run(batches, part=part, first=not k, kept=own if last else own + 2, names=schema.names):
             import pyarrow as pa
 
-            names = schema.names
-            for batch in batches:
-                flat, offsets = _flat(batch.column(names.index("_words")))
-                hashes, _ = _flat(batch.column(names.index("_hashes")))
-                row, hit = _matches(part.value, hashes.to_numpy(), flat)
-                of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[hit]
-                known = np.bincount(of, minlength=batch.num_rows) > 0
-                weights = [c.to_numpy(zero_copy_only=False)[row[hit]] for c in part.value[2:]]
-                sums = np.stack([np.bincount(of, w, batch.num_rows) for w in weights], 1)
-                before = batch.column(names.index(out)).to_pylist()
-                both = [
-                    (own if old is None else [x + y for x, y in zip(old, own, strict=True)]) if some else old
-                    for old, own, some in zip(before, sums.tolist(), known.tolist(), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(both, pa.list_(pa.float64()))], names)
+            for whole in batches:
+                for batch in _slices(whole, own):
+                    flat, offsets = _flat(batch.column(own))
+                    hashes, _ = _flat(batch.column(own + 1))
+                    row, hit = _matches(part.value, hashes.to_numpy(), flat)
+                    of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[hit]
+                    known = np.bincount(of, minlength=batch.num_rows) > 0
+                    weights = [c.to_numpy(zero_copy_only=False)[row[hit]] for c in part.value[2:]]
+                    sums = np.stack([np.bincount(of, w, batch.num_rows) for w in weights], 1)
+                    before = [None] * batch.num_rows if first else batch.column(own + 2).to_pylist()
+                    both = [
+                        (now if old is None else [x + y for x, y in zip(old, now, strict=True)]) if some else old
+                        for old, now, some in zip(before, sums.tolist(), known.tolist(), strict=True)
+                    ]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(both, pa.list_(pa.float64()))], names)
 
         rows = rows.mapInArrow(run, schema)
-    return rows.drop("_words", "_hashes")
+    return rows

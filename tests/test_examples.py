@@ -214,3 +214,33 @@ def test_batches_are_bounded(spark):
 
     rows = E.batch_score(df, predict, ["id"], "id long, score double").collect()
     assert len(rows) == 1000 and all(r["score"] == 2 * r["id"] for r in rows)
+
+
+def test_held_and_joined_encoding_agree(spark, monkeypatch):
+    """Repeated and null ids, null and empty texts, unknown words, tables in several parts and tables too large to hold."""
+    from phonolake.operators import held
+
+    monkeypatch.setattr(held, "AT_ONCE", 7)
+    texts = [" ".join(corpus(k, k % 9)) for k in range(40)]
+    rows = [(k, t, texts[-k]) for k, t in enumerate(texts)] + [(100, None, "an th"), (101, "", None), (None, "th an", "x"), (102, " \n", "é")]
+    twice = [(3, "er in unknown", "b"), (3, "an", ""), (None, "ing", "s s")]
+    table = spark.createDataFrame([(w, [k, k + 1][: 1 + k % 2]) for k, w in enumerate(sorted(set(corpus(8, 60) + ["an", "th", "er"])))], "word string, ids array<int>").localCheckpoint()
+    fields = {"text": "a", "other": "b"}
+    key = lambda df: sorted(map(str, df.collect()))
+    for data in (rows[:-2] + rows[-1:], rows, rows + twice):
+        df = spark.createDataFrame(data, "doc_id long, text string, other string")
+        joined = key(E.encode_joined(df, table, 0, fields))
+        for most in (held.MOST_BYTES, 1200, 1):
+            assert key(E.encode_texts(df, table, 0, fields, most_bytes=most)) == joined, most
+
+
+def test_encoding_shuffles_no_tokens(spark, capsys):
+    df = spark.createDataFrame([(1, "an th"), (2, "er")], "doc_id long, text string").localCheckpoint()
+    table = spark.createDataFrame([("an", [1])], "word string, ids array<int>").localCheckpoint()
+    PE.single_examples(df, table, SPECIAL).explain()
+    assert "Exchange" not in capsys.readouterr().out
+    vocab = spark.createDataFrame([(1, "an"), (2, "th")], "id int, token string").localCheckpoint()
+    ids = spark.createDataFrame([(1, [1, 2, 9]), (1, [2, None, 1]), (2, None), (None, [1])], "doc_id long, input_ids array<int>")
+    assert sorted(map(str, E.decode_ids(ids, vocab).collect())) == sorted(map(str, [spark.createDataFrame([(1, "an th th an"), (2, ""), (None, "an")], "doc_id long, text string").collect()][0]))
+    E.decode_ids(ids, vocab).explain()
+    assert "Generate" not in capsys.readouterr().out
