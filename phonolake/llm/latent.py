@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages become hashed TF-IDF vectors; a randomised SVD, run as sums over the partitions of a bounded sample, gives the
-latent space. Passages are cut to the length of the items that they are compared with, and those near an item by cosine
+Texts become hashed TF-IDF vectors; a randomised SVD of all of them, run as sums over the partitions, gives the latent
+space. Passages are cut to the length of the items that they are compared with, and those near an item by cosine
 are candidates. An index of the items' answer words is the second source, for passages that the words around an item
 drown. Candidates are settled on the words themselves: the longest common subsequence with the item, and the answer.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import string
 from collections import Counter
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonolake.llm.common import free_name, scratch_tables, small_batches, stored, texts
+from phonolake.llm.common import free_name, small_batches, stored, texts
 
 FEATURES = 1 << 14
 DIMENSIONS, EXTRA, POWERS = 128, 32, 2
@@ -27,8 +28,6 @@ DIMENSIONS, EXTRA, POWERS = 128, 32, 2
 HALVES = (6, 12, 24)
 #: Features in more than this share of all documents have no weight.
 COMMON = 0.2
-#: Rows of the sample that the latent space is fitted on, at most in expectation; statistics and search use all rows.
-FIT_ROWS = 20_000
 #: Benchmark items that one pass over the documents compares.
 ITEMS_PER_PASS = 4096
 #: A candidate's least cosine, the least share of an item's words in order, and of its answer words. Where the benchmark
@@ -149,45 +148,38 @@ def document_frequency(read: DataFrame) -> tuple[np.ndarray, float]:
     return (total[:, 0], total[0, 1]) if total.size else (np.zeros(FEATURES), 0.0)
 
 
-def sample_passages(read: DataFrame, n_docs: float, fit_rows: int) -> DataFrame:
-    """One passage each, at a place drawn by hash, of documents drawn by hash."""
-    share = min(1.0, fit_rows / max(n_docs, 1))
-    drawn = read.select("ids").where(F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    words = 2 * HALVES[-1]
-
-    def cut(batches):
-        import pyarrow as pa
-        import xxhash
-
-        for batch in small_batches(batches, "ids"):
-            rows = []
-            for ids in read_ids(batch.column(0)):
-                start = xxhash.xxh3_64_intdigest(ids.tobytes()) % max(1, len(ids) - words + 1)
-                rows.append(ids[start : start + words].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["ids"])
-
-    return drawn.mapInArrow(cut, "ids array<int>")
-
-
-def latent_space(sample: DataFrame, idf: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
-    """Randomised SVD of the sample's TF-IDF rows: features x dimensions, each direction divided by its singular value."""
+def text_sums(texts: list[np.ndarray], idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """A'(A ``matrix``), where the rows of A are the unit TF-IDF rows of texts."""
+    total, here = np.zeros(matrix.shape, np.float32), np.zeros(FEATURES, bool)
+    for ids in texts:
+        here[ids] = True
+        at = np.flatnonzero(here)
+        here[at] = False
+        at = at[idf[at] > 0]
+        row = idf[at]
+        norm = math.sqrt(row @ row)
+        if norm:
+            row /= norm
+            sums = total.take(at, axis=0, mode="clip")
+            sums += row[:, None] * (row @ matrix.take(at, axis=0, mode="clip"))
+            total[at] = sums
+    return total
+
+
+def latent_space(read: DataFrame, idf: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """Randomised SVD of the TF-IDF rows of all texts: features x dimensions, each direction divided by its singular value.
+
+    ``read`` has the features of each text as ``ids``. The partitions are put together to as many as there are cores, so
+    that the sums that are shuffled do not grow with the documents.
+    """
+    rows = read.select("ids").coalesce(max(1, read.sparkSession.sparkContext.defaultParallelism))
+    weight = idf.astype(np.float32)
 
     def product(matrix):
-        """A'(A matrix), with unit rows in A."""
-
         def part(batch):
-            total = np.zeros((FEATURES, matrix.shape[1]), np.float32)
-            for ids in batch.column(0).to_pylist():
-                if ids:
-                    at = np.unique(ids)
-                    row = idf[at].astype(np.float32)
-                    norm = np.linalg.norm(row)
-                    if norm:
-                        row /= norm
-                        total[at] += row[:, None] * (row @ matrix[at])
-            return total
-
-        return summed(sample, part)
+            return sum(text_sums(read_ids(cut.column(0)), weight, matrix).astype(np.float64) for cut in small_batches([batch], "ids"))
+
+        return summed(rows, part)
 
     basis = np.random.default_rng(seed).normal(size=(FEATURES, dimensions + EXTRA)).astype(np.float32)
     image = product(basis)
@@ -426,7 +418,7 @@ class Searcher:
         return out
 
 
-def searchers(read: DataFrame, benchmark: DataFrame, dimensions: int = DIMENSIONS, fit_rows: int = FIT_ROWS, cosine: float = COSINE, share: float = SUBSEQUENCE, answer: float = ANSWER, seed: int = 11, items_per_pass: int = ITEMS_PER_PASS, answer_words: int = 5):
+def searchers(read: DataFrame, benchmark: DataFrame, dimensions: int = DIMENSIONS, cosine: float = COSINE, share: float = SUBSEQUENCE, answer: float = ANSWER, seed: int = 11, items_per_pass: int = ITEMS_PER_PASS, answer_words: int = 5):
     """One searcher for each block of benchmark items; ``read`` has the features of all texts as ``ids``.
 
     The answer of an item is the words of its ``answer`` column if the benchmark has one, else its
@@ -437,8 +429,7 @@ def searchers(read: DataFrame, benchmark: DataFrame, dimensions: int = DIMENSION
     idf = np.log((n_docs + 1) / (frequency + 1)) + 1
     # few documents say little about which words are common
     weight_of = np.where(frequency <= max(COMMON * n_docs, 100), idf, 0)
-    with scratch_tables(read.sparkSession):
-        table = latent_space(stored(sample_passages(read, n_docs, fit_rows), "sample"), weight_of, dimensions, seed) * weight_of[:, None].astype(np.float32)
+    table = latent_space(read, weight_of, dimensions, seed) * weight_of[:, None].astype(np.float32)
     table = np.vstack([table, np.zeros((1, table.shape[1]), np.float32)])
     named = "answer" in benchmark.columns
     rows = benchmark.select("item_id", "text", *(["answer"] if named else [])).where("item_id is not null and text is not null").orderBy("item_id", "text")
@@ -476,8 +467,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Columns: doc_id, item_id, cosine, common (share of the item's words in the longest common subsequence), answered
     (share of its answer words), first_word (where the passage starts). Each row of ``docs`` is searched on its own,
-    so rows that repeat give their hits again; null and empty texts have none. The space is fitted on a bounded
-    sample drawn by hash; document frequencies and the search cover all rows.
+    so rows that repeat give their hits again; null and empty texts have none. Document frequencies,
+    the latent space and the search cover all rows.
     """
     source = with_features(texts(docs, id_col, text_col), "text", "ids")
     schema = "doc_id long, item_id long, cosine double, common double, answered double, first_word long"

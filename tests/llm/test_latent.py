@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from phonolake.llm import latent
 from phonolake.llm.queries import LLM_QUERIES
 
@@ -144,3 +146,22 @@ def test_own_columns_of_the_same_name_stay(spark):
     docs = spark.createDataFrame([(1, "some text", b"x", 7), (2, None, None, None)], "doc_id long, text string, _features binary, ids long")
     bench = spark.createDataFrame([(1, "a whole other matter")], "item_id long, text string")
     assert sorted(latent.drop_contaminated(docs, bench).collect()) == sorted(docs.collect())
+
+
+def test_space_is_fitted_on_all_texts(spark):
+    """The sums of the partitions are those of the whole matrix, whatever share of the rows a sample would have drawn."""
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(0, 200, draw.integers(0, 60)).astype(np.int16) for _ in range(500)]
+    weight = np.where(np.arange(latent.FEATURES) % 7 == 0, 0, 1 + np.arange(latent.FEATURES) % 5).astype(float)
+    whole = np.zeros((len(texts), latent.FEATURES))
+    for k, ids in enumerate(texts):
+        at = np.unique(ids)
+        norm = np.linalg.norm(weight[at])
+        whole[k, at] = weight[at] / norm if norm else 0
+    read = spark.createDataFrame([(t.tobytes(),) for t in texts], "ids binary").repartition(5)
+    space = latent.latent_space(read, weight, 100, 11)
+    # with more directions than words, the space divided by its values is a whitening: A V / s has unit columns
+    _, values, directions = np.linalg.svd(whole, full_matrices=False)
+    mine = whole @ space[:, :20]
+    assert np.allclose(mine.T @ mine, np.eye(20), atol=1e-2)
+    assert np.allclose(np.abs(directions[0] / values[0] @ space[:, 0]) * values[0] ** 2, 1, atol=1e-2)
