@@ -67,12 +67,14 @@ def build_homophone_task(
     Positives are all pairs inside each homophone list; negatives are words that look alike and
     sound different. All negatives are kept.
     """
+    ensure_checkpoint_dir(words.sparkSession)
     plain = C.filter_plain_words(words)
     sounds = G.lexicon_lookup(plain, lexicon).select(
         "word_id", "word", F.array_join("phonemes", "").alias("sound")
     )
     positives = R.group_all_pairs(groups, "group_id")
-    pairs = C.concat_labelled_pairs(positives, R.near_spelling_pairs(sounds))
+    # the split reads the pairs twice
+    pairs = C.concat_labelled_pairs(positives, R.near_spelling_pairs(sounds)).checkpoint()
     return S.train_val_test_split(pairs, ["word1", "word2", "label"], 0.1, 0.1, seed)
 
 
@@ -80,13 +82,14 @@ def build_etymology_task(
     edges: DataFrame, languages: Sequence[str] = ("en",), seed: int | str = 42
 ) -> DataFrame:
     """Related pairs (label 1) and two unrelated draws per term (label 0), cleaned and split."""
-    own = C.filter_equals(edges, ["lang", "related_lang"], languages).select("term", "related_term")
-    positives = R.adjacency_pairs(own).select(F.col("term").alias("word1"), F.col("related_term").alias("word2"))
+    ensure_checkpoint_dir(edges.sparkSession)
+    own = R.adjacency_pairs(C.filter_equals(edges, ["lang", "related_lang"], languages)).checkpoint()
+    positives = own.select(F.col("term").alias("word1"), F.col("related_term").alias("word2"))
     negatives = R.sample_unrelated_pairs(own, seed).select(
         F.col("term").alias("word1"), F.col("unrelated_term").alias("word2")
     )
     pairs = C.concat_labelled_pairs(positives, negatives).distinct()
-    pairs = C.drop_blank_rows(pairs, ["word1", "word2"])
+    pairs = C.drop_blank_rows(pairs, ["word1", "word2"]).checkpoint()
     return S.train_val_test_split(pairs, ["word1", "word2", "label"], 0.2, 0.1, seed)
 
 
