@@ -31,7 +31,8 @@ def encode_words(words: DataFrame, vocab: DataFrame, unknown: int, prefix: str =
     one join, the longest match per start survives, and a fold walks from start to start. ``vocab``
     should be a stored table, since its size is checked first.
     """
-    distinct = words.select("word").filter(F.col("word") != "").distinct()
+    ensure_checkpoint_dir(words.sparkSession)
+    distinct = words.select("word").filter(F.col("word") != "").distinct().checkpoint()  # read twice
     n = F.length("word")
     longest = vocab.agg(F.max(F.length("token")).alias("m")).scalar()
     usable = distinct.filter(n <= LONGEST_WORD).withColumn("_longest", longest)
