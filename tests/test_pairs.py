@@ -179,3 +179,16 @@ def test_sets_keyed_by_a_pair_keep_apart(spark):
     df = spark.createDataFrame(rows, "row_id struct<doc_id: long, line_no: long>, lemma string, members array<string>")
     got = R.greedy_disjoint_sets(df).collect()
     assert sorted((*r.row_id, r.lemma) for r in got) == [(1, 100_000, "apple"), (2, 1, "pear")]
+
+
+def test_the_split_does_not_compare_words_again(spark, capsys):
+    """The pairs are written before the split, which reads them twice."""
+    from phonolake.plans import tasks
+
+    words = spark.createDataFrame([(1, "abcdefgh"), (2, "abcdefgi"), (3, "x")], "word_id long, word string")
+    lexicon = spark.createDataFrame([("abcdefgh", ["a"]), ("abcdefgi", ["b"]), ("x", ["x"])], "word string, phonemes array<string>")
+    groups = spark.createDataFrame([(1, ["p", "q"])], "group_id long, words array<string>")
+    out = tasks.build_homophone_task(words, groups, lexicon)
+    assert sorted((r.word1, r.word2, r.label) for r in out.collect()) == [("abcdefgh", "abcdefgi", 0), ("p", "q", 1)]
+    out.explain()
+    assert "Python" not in capsys.readouterr().out
