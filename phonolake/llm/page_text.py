@@ -18,6 +18,8 @@ from phonolake.llm.common import per_row, stored
 #: A subtree is a template from this many different pages, and this share of the host's pages, on.
 LEAST_PAGES, LEAST_SHARE = 5, 0.05
 SALT = 16
+#: Templates of all hosts up to this many bytes are sent to the tasks, so that no page is shuffled.
+MOST_BYTES = 16 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=/>\"']+)")
@@ -225,19 +227,24 @@ def site_templates(read: DataFrame, least_pages: int = LEAST_PAGES, least_share:
     return often.join(sizes, "host").where(F.col("n") >= F.col("pages") * least_share).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars.
 
     Blocks are joined by a line feed, white space inside a block is one space, character references are decoded.
     A null or empty page has an empty text; a page without a host in its url loses no templates; ids may be null or
-    repeat. The blocks are written once to the checkpoint folder and meet the templates of their host there, each host
-    in ``SALT`` pieces.
+    repeat. The blocks are written once to the checkpoint folder and meet the templates of their host there. Templates
+    of more than ``most_bytes`` in all are joined, each host in ``SALT`` pieces.
     """
     read = stored(read_pages(pages), "pages")
     templates = stored(site_templates(read, least_pages, least_share), "templates")
-    spread = templates.select(F.col("host").alias("_host"), "templates", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
-    salt = F.pmod(F.xxhash64("page_id", "page_hash"), F.lit(SALT)).cast("int")
-    both = read.withColumn("salt", salt).join(spread.hint("merge"), (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
+    templates = templates.withColumnRenamed("host", "_host")
+    size = templates.agg(F.coalesce(F.sum(F.octet_length("_host") + 8 * F.size("templates") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= most_bytes:
+        both = read.join(F.broadcast(templates), F.col("host") == F.col("_host"), "left")
+    else:
+        spread = templates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "page_hash"), F.lit(SALT)).cast("int")
+        both = read.withColumn("salt", salt).join(spread.hint("merge"), (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
     none = F.array().cast("array<bigint>")
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("templates", none)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")

@@ -66,3 +66,17 @@ def test_edges(spark):
     got = page_text.main_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 0, 4, 999_999]
     assert page_text.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pages_are_not_shuffled(spark):
+    shared = "<div>" + "<p>same on <a href='#'>every</a> page</p>" * 2 + "</div>"
+    rows = [(i, f"http://h{i % 2}.org/{i}", f"<html><body>{shared}<p>own words {i}</p></body></html>") for i in range(40)]
+    rows += [(None, "no host", "<p>alone</p>"), (None, None, None), (1, rows[1][1], rows[1][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    sent, joined = page_text.main_text(pages), page_text.main_text(pages, most_bytes=0)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (str(r.page_id), str(r.url))
+    got = sorted(sent.collect(), key=key)
+    assert got == sorted(joined.collect(), key=key) and len(got) == 43
+    assert {r.text for r in got} == {*(f"own words {i}" for i in range(40)), "alone", ""}
