@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonolake.functions import text as X
+from phonolake.session import ensure_checkpoint_dir
 
 
 def map_text(df: DataFrame, fn, column: str = "text", **options) -> DataFrame:
@@ -131,6 +132,22 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "lef
     return df.join(table, list(keys), how)
 
 
+def merged_arrays(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """One row for each key, the arrays of rows that share it merged by the positions of their values.
+
+    Only keys are shuffled, and the rows whose keys repeat. Runs a job: these keys are written.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys]).checkpoint()
+    if again.isEmpty():
+        return df.select(*keys, column)
+    shared, same = bounded(again), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    placed = F.transform(column, lambda v, i: F.struct(i.alias("at"), v.alias("value")))
+    twice = df.join(shared, same, "left_semi").groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("_all"))
+    merged = twice.select(*keys, F.transform("_all", lambda s: s["value"]).alias(column))
+    return df.join(shared, same, "left_anti").select(*keys, column).unionByName(merged)
+
+
 def bounded(table: DataFrame, most: int = 200_000) -> DataFrame:
     """Join side for a stored artifact such as a vocabulary.
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from phonolake.operators import cleaning as C
 from phonolake.sources import catalog as K
 from phonolake.sources import corpora as D
 from phonolake.sources import files as FI
@@ -71,6 +72,27 @@ def test_shards_are_exact_and_in_order(spark, tmp_path, partitions):
     assert [v for k in sorted(files) for v in files[k]] == [t.replace("\n", " ") for _, _, t in rows]
 
 
+def test_text_shards_of_arrays(spark, tmp_path):
+    """Texts are placed whole: an array gives a line for each value, and pieces of it cross files."""
+    texts = [[f"{i} {k}" if k % 5 else None for k in range(n)] for i, n in enumerate([3, 0, 250, 1, 99, 47, 100, 100])] + [None, ["a\nb"]]
+    rows = [("ab"[i % 2], i, words) for i, words in enumerate(texts)]
+    df = spark.createDataFrame(rows, "split string, id long, w array<string>").repartition(5)
+    path = FI.write_text_shards(df, str(tmp_path / "a"), ["split", "id"], "w", lines_per_file=100)
+    want = [(w or "").replace("\n", " ") for _, _, words in sorted(rows, key=lambda r: r[:2]) for w in words or []]
+    got = []
+    for k in range(-(-len(want) // 100)):
+        (part,) = (tmp_path / "a" / f"shard={k}").glob("part-*")
+        got += part.read_text().split("\n")[:-1]
+        assert len(got) == min(100 * (k + 1), len(want))
+    assert got == want
+
+
+def test_arrays_that_share_a_key_are_merged_by_position(spark):
+    rows = [(1, ["a", "c"]), (1, ["b"]), (2, ["x"]), (None, ["p", "r"]), (None, ["q", "s", "t"]), (3, [])]
+    got = {r.id: r.w for r in C.merged_arrays(spark.createDataFrame(rows, "id long, w array<string>"), ["id"], "w").collect()}
+    assert got == {1: ["a", "b", "c"], 2: ["x"], None: ["p", "q", "r", "s", "t"], 3: []}
+
+
 def test_appends_survive_a_failed_and_a_repeated_job(spark, tmp_path):
     path = str(tmp_path / "log")
     lines = spark.range(100).repartition(4).select(F.concat(F.lit("l"), "id").alias("text"), "id")
