@@ -39,6 +39,8 @@ AT_ONCE = 1024
 REMEMBERED = 500_000
 #: Feature sums travel in this many rows.
 PARTS = 64
+#: The driver fetches them in this many shares, one after another.
+AT_A_TIME = 8
 EDGES = re.compile(r"^\W+|\W+$")
 #: ASCII signs that are no part of a word; the usual case of ``EDGES``.
 MARKS = string.punctuation.replace("_", "")
@@ -106,8 +108,14 @@ def summed(rows: DataFrame, part_fn) -> np.ndarray:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, part binary"
-    out = {r.block: np.frombuffer(bytes(r.part), np.float64) for r in rows.mapInArrow(parts, schema).groupBy("block").applyInArrow(added, schema).collect()}  # PARTS rows
-    return np.concatenate([out[i] for i in range(PARTS)]).reshape(FEATURES, -1) if out else np.zeros((FEATURES, 0))
+    sums = rows.mapInArrow(parts, schema).groupBy("block").applyInArrow(added, schema)
+    out = None
+    for r in sums.coalesce(AT_A_TIME).toLocalIterator():  # PARTS rows, a few of them in the driver at once
+        part = np.frombuffer(r.part, np.float64).reshape(FEATURES // PARTS, -1)
+        if out is None:
+            out = np.zeros((FEATURES, part.shape[1]))
+        out[r.block * len(part) : (r.block + 1) * len(part)] = part
+    return np.zeros((FEATURES, 0)) if out is None else out
 
 
 def with_features(docs: DataFrame, text_col: str, name: str) -> DataFrame:

@@ -165,3 +165,26 @@ def test_space_is_fitted_on_all_texts(spark):
     mine = whole @ space[:, :20]
     assert np.allclose(mine.T @ mine, np.eye(20), atol=1e-2)
     assert np.allclose(np.abs(directions[0] / values[0] @ space[:, 0]) * values[0] ** 2, 1, atol=1e-2)
+
+
+def test_sums_come_to_the_driver_in_shares(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refused(self):
+        raise AssertionError("the whole matrix is collected at once")
+
+    rows = spark.range(0, 10, 1, 3).withColumnRenamed("id", "k")
+    want = np.zeros((latent.FEATURES, 3))
+    for k in range(10):
+        want[k * 1000] += [1, k, 2]
+
+    def part(batch):
+        total = np.zeros((latent.FEATURES, 3))
+        for k in batch.column(0).to_pylist():
+            total[k * 1000] += [1, k, 2]
+        return total
+
+    for kind in {DataFrame, type(rows)}:
+        monkeypatch.setattr(kind, "collect", refused)
+    assert (latent.summed(rows, part) == want).all()
+    assert latent.summed(rows.where("k < 0"), part).shape == (latent.FEATURES, 0)
