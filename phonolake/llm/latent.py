@@ -14,6 +14,7 @@ import string
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,7 +37,11 @@ COSINE, SUBSEQUENCE, ANSWER = 0.35, 0.6, 0.5
 CLEAR, STRONG = 0.4, 0.7
 #: Passages whose cosines with all items are computed at once.
 AT_ONCE = 1024
-REMEMBERED = 500_000
+#: Halves whose words are added up at once.
+SLOTS = 256
+REMEMBERED = 1 << 16
+#: Bytes of features that are multiplied at once.
+TOGETHER = 16 << 20
 #: Feature sums travel in this many rows.
 PARTS = 64
 #: The driver fetches them in this many shares, one after another.
@@ -44,6 +49,8 @@ AT_A_TIME = 8
 EDGES = re.compile(r"^\W+|\W+$")
 #: ASCII signs that are no part of a word; the usual case of ``EDGES``.
 MARKS = string.punctuation.replace("_", "")
+#: All ASCII characters that ``EDGES`` takes off.
+OUTSIDE = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "_")
 
 
 class Features(dict):
@@ -55,7 +62,12 @@ class Features(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = self[word] = self.digest(plain(word).encode("utf-8", "surrogatepass")) % FEATURES
+        word_itself = plain(word)
+        try:
+            value = self.digest(word_itself) % FEATURES
+        except UnicodeEncodeError:
+            value = self.digest(word_itself.encode("utf-8", "surrogatepass")) % FEATURES
+        self[word] = value
         return value
 
 
@@ -86,8 +98,40 @@ def ids_of(words: list[str]) -> np.ndarray:
     return np.fromiter(map(features().__getitem__, words), np.int32, len(words))
 
 
-def summed(rows: DataFrame, part_fn) -> np.ndarray:
-    """Sum a (features x k) matrix over the partitions of ``rows``: each gives its part, Spark adds them by row block."""
+def ids_of_array(words) -> np.ndarray:
+    """The features of an Arrow array of words, each different one hashed once. Arrow makes the plain forms of ASCII words."""
+    import pyarrow.compute as pc
+    from xxhash import xxh3_64_intdigest
+
+    simple = pc.string_is_ascii(words)
+    forms = pc.ascii_trim(pc.ascii_lower(words.filter(simple)), characters=OUTSIDE).dictionary_encode()
+    others = words.filter(pc.invert(simple)).dictionary_encode()
+    here = simple.to_numpy(zero_copy_only=False)
+    digests = np.fromiter(map(xxh3_64_intdigest, forms.dictionary.cast("binary").to_pylist()), np.uint64, len(forms.dictionary))
+    out = np.empty(len(words), np.int16)
+    out[here] = (digests % np.uint64(FEATURES)).astype(np.int16)[forms.indices.to_numpy()]
+    out[~here] = ids_of(others.dictionary.to_pylist()).astype(np.int16)[others.indices.to_numpy()]
+    return out
+
+
+def ids_of_texts(column) -> list[np.ndarray]:
+    """The features of the words of each text in an Arrow column, as 16-bit integers.
+
+    Arrow splits at the white space that ``str.split`` knows, and gives empty words at the ends.
+    """
+    import pyarrow.compute as pc
+
+    lists = pc.utf8_split_whitespace(pc.fill_null(column, ""))
+    words = lists.flatten()
+    there = pc.greater(pc.binary_length(words), 0)
+    ids = ids_of_array(words.filter(there))
+    sizes = np.bincount(pc.list_parent_indices(lists).filter(there).to_numpy(), minlength=len(column))
+    return np.split(ids, np.cumsum(sizes)[:-1]) if len(column) else []
+
+
+def summed(rows: DataFrame, part_fn, height: int = FEATURES) -> np.ndarray:
+    """Sum a (``height`` x k) matrix over the partitions of ``rows``: each gives its part, Spark adds them by row block."""
+    n_parts = math.gcd(PARTS, height)
 
     def parts(batches):
         import pyarrow as pa
@@ -98,8 +142,8 @@ def summed(rows: DataFrame, part_fn) -> np.ndarray:
                 part = part_fn(batch)
                 total = part if total is None else total + part
         if total is not None:
-            blocks = np.split(total.astype(np.float64), PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "part"])
+            blocks = np.split(total.astype(np.float64), n_parts)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n_parts), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "part"])
 
     def added(key, table):
         import pyarrow as pa
@@ -110,12 +154,12 @@ def summed(rows: DataFrame, part_fn) -> np.ndarray:
     schema = "block int, part binary"
     sums = rows.mapInArrow(parts, schema).groupBy("block").applyInArrow(added, schema)
     out = None
-    for r in sums.coalesce(AT_A_TIME).toLocalIterator():  # PARTS rows, a few of them in the driver at once
-        part = np.frombuffer(r.part, np.float64).reshape(FEATURES // PARTS, -1)
+    for r in sums.coalesce(AT_A_TIME).toLocalIterator():  # at most PARTS rows, a few of them in the driver at once
+        part = np.frombuffer(r.part, np.float64).reshape(height // n_parts, -1)
         if out is None:
-            out = np.zeros((FEATURES, part.shape[1]))
+            out = np.zeros((height, part.shape[1]))
         out[r.block * len(part) : (r.block + 1) * len(part)] = part
-    return np.zeros((FEATURES, 0)) if out is None else out
+    return np.zeros((height, 0)) if out is None else out
 
 
 def with_features(docs: DataFrame, text_col: str, name: str) -> DataFrame:
@@ -127,8 +171,8 @@ def with_features(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     def batch_rows(batches):
         import pyarrow as pa
 
-        for batch in small_batches(batches, text_col):
-            ids = [ids_of(words_of(t or "")).astype(np.int16).tobytes() for t in batch.column(at).to_pylist()]
+        for batch in small_batches(batches, text_col, TOGETHER):
+            ids = [x.tobytes() for x in ids_of_texts(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, name])
 
     schema = StructType([*docs.schema.fields, StructField(name, BinaryType())])
@@ -139,39 +183,79 @@ def read_ids(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int16) for x in column.to_pylist()]
 
 
+def different(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different features of each text, ascending, one text after another: which text, which feature."""
+    sizes = [len(t) for t in texts]
+    if not sum(sizes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = np.sort(np.repeat(np.arange(len(texts)) * FEATURES, sizes) + np.concatenate(texts))
+    keys = keys[np.diff(keys, prepend=-1) > 0]
+    return keys // FEATURES, keys % FEATURES
+
+
 def document_frequency(read: DataFrame) -> tuple[np.ndarray, float]:
     """In how many of all documents each feature occurs, and how many documents there are."""
 
     def part(batch):
-        total, here = np.zeros((FEATURES, 2)), np.zeros(FEATURES, bool)
+        total = np.zeros((FEATURES, 2))
         for cut in small_batches([batch], "ids"):
-            for ids in read_ids(cut.column(0)):
-                here[ids] = True
-                total[np.flatnonzero(here), 0] += 1
-                here[ids] = False
-                total[0, 1] += 1
+            total[:, 0] += np.bincount(different(read_ids(cut.column(0)))[1], minlength=FEATURES)
+            total[0, 1] += cut.num_rows
         return total
 
     total = summed(read.select("ids"), part)
     return (total[:, 0], total[0, 1]) if total.size else (np.zeros(FEATURES), 0.0)
 
 
+@dataclass(frozen=True)
+class TextRows:
+    """The unit TF-IDF rows of texts: text, feature and weight of what is not zero, by text and by feature."""
+
+    texts: int
+    text: np.ndarray
+    feature: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(texts: list[np.ndarray], idf: np.ndarray) -> TextRows:
+        text, feature = different(texts)
+        weighed = idf[feature] > 0
+        text, feature = text[weighed], feature[weighed]
+        weight = idf[feature]
+        norm = np.sqrt(np.bincount(text, weight.astype(np.float64) ** 2, len(texts))).astype(np.float32)
+        return TextRows(len(texts), text, feature, weight / norm[text])
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        """Rows times ``matrix``, a row for each text."""
+        out = np.zeros((self.texts, matrix.shape[1]), np.float32)
+        edges = np.searchsorted(self.text, np.arange(self.texts + 1)).tolist()
+        for k, (a, b) in enumerate(pairwise(edges)):
+            if a < b:
+                np.matmul(self.weight[a:b], matrix.take(self.feature[a:b], axis=0, mode="clip"), out=out[k])
+        return out
+
+    def turned_times(self, image: np.ndarray) -> np.ndarray:
+        """The transposed rows times ``image``, a row for each feature."""
+        order = np.argsort(self.feature.astype(np.int16), kind="stable")
+        text, weight = self.text[order], self.weight[order]
+        out = np.zeros((FEATURES, image.shape[1]), np.float32)
+        edges = np.searchsorted(self.feature[order], np.arange(FEATURES + 1)).tolist()
+        for k, (a, b) in enumerate(pairwise(edges)):
+            if a < b:
+                np.matmul(weight[a:b], image.take(text[a:b], axis=0, mode="clip"), out=out[k])
+        return out
+
+
 def text_sums(texts: list[np.ndarray], idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """A'(A ``matrix``), where the rows of A are the unit TF-IDF rows of texts."""
-    total, here = np.zeros(matrix.shape, np.float32), np.zeros(FEATURES, bool)
-    for ids in texts:
-        here[ids] = True
-        at = np.flatnonzero(here)
-        here[at] = False
-        at = at[idf[at] > 0]
-        row = idf[at]
-        norm = math.sqrt(row @ row)
-        if norm:
-            row /= norm
-            sums = total.take(at, axis=0, mode="clip")
-            sums += row[:, None] * (row @ matrix.take(at, axis=0, mode="clip"))
-            total[at] = sums
-    return total
+    rows = TextRows.of(texts, idf)
+    return rows.turned_times(rows.times(matrix))
+
+
+def image_squares(texts: list[np.ndarray], idf: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """(A ``matrix``)'(A ``matrix``), which needs no sums by feature."""
+    image = TextRows.of(texts, idf).times(matrix)
+    return image.T @ image
 
 
 def latent_space(read: DataFrame, idf: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
@@ -183,20 +267,20 @@ def latent_space(read: DataFrame, idf: np.ndarray, dimensions: int, seed: int) -
     rows = read.select("ids").coalesce(max(1, read.sparkSession.sparkContext.defaultParallelism))
     weight = idf.astype(np.float32)
 
-    def product(matrix):
+    def product(matrix, sums, height):
         def part(batch):
-            return sum(text_sums(read_ids(cut.column(0)), weight, matrix).astype(np.float64) for cut in small_batches([batch], "ids"))
+            return sum(sums(read_ids(cut.column(0)), weight, matrix).astype(np.float64) for cut in small_batches([batch], "ids", TOGETHER))
 
-        return summed(rows, part)
+        return summed(rows, part, height)
 
     basis = np.random.default_rng(seed).normal(size=(FEATURES, dimensions + EXTRA)).astype(np.float32)
-    image = product(basis)
-    if not image.size or not image.any():
-        return np.zeros((FEATURES, dimensions), np.float32)
     for _ in range(POWERS):
+        image = product(basis, text_sums, FEATURES)
+        if not image.size or not image.any():
+            return np.zeros((FEATURES, dimensions), np.float32)
         basis = np.linalg.qr(image)[0].astype(np.float32)
-        image = product(basis)
-    values, turn = np.linalg.eigh(basis.T @ image)
+    # the last pass needs the space's own matrix only: Q'A'A Q, without sums by feature
+    values, turn = np.linalg.eigh(product(basis, image_squares, dimensions + EXTRA))
     order = np.argsort(values)[::-1][:dimensions]
     values = values[order]
     scale = np.where(values > 1e-6 * max(values[0], 1e-30), 1 / np.sqrt(np.maximum(values, 1e-30)), 0)
@@ -224,16 +308,22 @@ def passage_vectors(table: np.ndarray, ids: np.ndarray, sizes: np.ndarray, halve
     slots[np.arange(len(ids)) + np.repeat(pieces[:-1] * least - begin, sizes)] = np.where(again, none, ids)
     slots = slots.reshape(-1, least)
     sums = np.zeros((len(slots), table.shape[1]), np.float32)
-    for a in range(0, len(sums), AT_ONCE):
+    held = np.empty((SLOTS, table.shape[1]), np.float32)
+    for a in range(0, len(sums), SLOTS):
+        part = slots[a : a + SLOTS]
         for k in range(least):
-            sums[a : a + AT_ONCE] += table[slots[a : a + AT_ONCE, k]]
+            sums[a : a + SLOTS] += table.take(part[:, k], axis=0, mode="clip", out=held[: len(part)])
     out = {}
     for half in halves:
         group = half // least
         per_half = -(-per_text // group)
         text = np.repeat(np.arange(len(sizes)), per_half)
         place = np.arange(len(text)) - np.repeat(np.cumsum(per_half) - per_half, per_half)
-        own = sums if group == 1 else np.add.reduceat(sums, pieces[text] + place * group, axis=0) if len(text) else sums[:0]
+        first = pieces[text] + place * group
+        own = sums if group == 1 else sums[first]
+        for k in range(1, group):
+            there = np.flatnonzero(first + k < pieces[text + 1])
+            own[there] += sums[first[there] + k]
         # the last half stands alone only where it is the first
         joined = np.zeros(len(text), bool)
         joined[:-1] = text[:-1] == text[1:]
@@ -331,11 +421,13 @@ class Searcher:
         for feature, mask in item.features.items():
             places[feature] = mask & (1 << 64) - 1
         first = np.maximum(0, place - item.size)
-        at = first[:, None] + np.arange(2 * item.half + 2 * item.size)
-        inside = at < np.minimum(sizes[text], place + 2 * item.half + item.size)[:, None]
+        last = np.minimum(sizes[text], place + 2 * item.half + item.size)
         begin = np.cumsum(sizes) - sizes
-        words = np.where(inside, ids[np.minimum(begin[text][:, None] + at, len(ids) - 1)], FEATURES)
-        there = np.bitwise_count(np.bitwise_or.reduce(places[words], axis=1)).astype(np.int64)
+        # the words of one region after another
+        n = last - first
+        at = np.arange(n.sum()) + np.repeat(begin[text] + first - np.cumsum(n) + n, n)
+        bits = places.take(ids.take(at, mode="clip"), mode="clip")
+        there = np.bitwise_count(np.bitwise_or.reduceat(bits, np.cumsum(n) - n)).astype(np.int64) if len(bits) else np.zeros(len(n), np.int64)
         return there + max(0, item.size - 64) >= self.subsequence * item.size
 
     def together(self, ids: np.ndarray, sizes: np.ndarray):

@@ -188,3 +188,35 @@ def test_sums_come_to_the_driver_in_shares(spark, monkeypatch):
         monkeypatch.setattr(kind, "collect", refused)
     assert (latent.summed(rows, part) == want).all()
     assert latent.summed(rows.where("k < 0"), part).shape == (latent.FEATURES, 0)
+
+
+def test_last_pass_sums_only_the_space(spark, monkeypatch):
+    """Two passes add up a row for each feature, the last one only a row for each direction."""
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, 300, n).astype(np.int16) for n in (0, 40, 1, 25, 60)]
+    matrix = draw.normal(size=(latent.FEATURES, 7)).astype(np.float32)
+    idf = np.where(np.arange(latent.FEATURES) % 4 == 0, 0, 2).astype(np.float32)
+    whole = np.zeros((len(texts), latent.FEATURES))
+    for k, ids in enumerate(texts):
+        whole[k, np.unique(ids)] = idf[np.unique(ids)]
+    whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(latent.text_sums(texts, idf, matrix), whole.T @ (whole @ matrix), atol=1e-4)
+    assert np.allclose(latent.image_squares(texts, idf, matrix), (whole @ matrix).T @ (whole @ matrix), atol=1e-4)
+    heights, plain = [], latent.summed
+    monkeypatch.setattr(latent, "summed", lambda rows, fn, height=latent.FEATURES: heights.append(height) or plain(rows, fn, height))
+    read = spark.createDataFrame([(t.tobytes(),) for t in texts], "ids binary")
+    latent.latent_space(read, idf, 10, 11)
+    assert heights == [latent.FEATURES] * latent.POWERS + [10 + latent.EXTRA]
+
+
+def test_features_of_whole_columns_are_those_of_words():
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(1)
+    signs = [*map(chr, range(128)), *"éÜßΣİſ\u0085\xa0 你_ \n"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randrange(60))) for _ in range(3000)] + ["", None, "ΑΣ ΑΣΑ", " a  b ", "it's (this) _one_", "\x01b\x7f"]
+    got = latent.ids_of_texts(pa.array(texts))
+    assert all(g.tolist() == latent.ids_of(latent.words_of(t or "")).tolist() for g, t in zip(got, texts, strict=True))
+    assert latent.ids_of_texts(pa.array([], pa.string())) == []
