@@ -89,6 +89,11 @@ def _pair_counts(types: DataFrame) -> DataFrame:
     )
 
 
+def _cuts(seg: str, active: set[str]) -> list[int]:
+    """Where the runs of a word begin, and its end."""
+    return [0, *(at for at, pair in enumerate(map(str.__add__, seg, seg[1:]), 1) if pair not in active), len(seg)]
+
+
 def _runs(active: set[str]):
     """A ``mapInArrow`` function: the runs of symbols that only active pairs join, with summed counts."""
 
@@ -104,13 +109,10 @@ def _runs(active: set[str]):
 
         for rows in batches:
             for n, seg in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                start = 0
-                for at in range(1, len(seg) + 1):
-                    if at == len(seg) or seg[at - 1 : at + 1] not in active:
-                        if at - start > 1:
-                            run = seg[start:at]
-                            counts[run] = counts.get(run, 0) + n
-                        start = at
+                for start, at in pairwise(_cuts(seg, active)):
+                    if at - start > 1:
+                        run = seg[start:at]
+                        counts[run] = counts.get(run, 0) + n
             if len(counts) > MOST_RUNS:
                 yield batch()
         yield batch()
@@ -118,23 +120,21 @@ def _runs(active: set[str]):
     return cut
 
 
-def _merged(codes: list[tuple[str, str]]):
-    """A ``mapInArrow`` function: apply merges, given as pair and new symbol, in their order."""
-    ranks = {pair: rank for rank, (pair, _) in enumerate(codes)}
+def _merged(active: set[str], changed: dict[str, str]):
+    """A ``mapInArrow`` function: put what a phase made of a run in its place; words of one symbol have no pairs and go."""
 
     def apply(batches):
         import pyarrow as pa
 
         for rows in batches:
-            done = []
-            for seg in rows.column(1).to_pylist():
-                while True:
-                    best = min((ranks[p] for p in map(str.__add__, seg, seg[1:]) if p in ranks), default=None)
-                    if best is None:
-                        break
-                    seg = seg.replace(*codes[best])
-                done.append(seg)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(done, pa.string())], ["n", "seg"])
+            counts, done = [], []
+            for n, seg in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                runs = [seg[a:b] for a, b in pairwise(_cuts(seg, active))]
+                seg = "".join([changed.get(run, run) for run in runs])
+                if len(seg) > 1:
+                    counts.append(n)
+                    done.append(seg)
+            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(done, pa.string())], ["n", "seg"])
 
     return apply
 
@@ -215,7 +215,7 @@ def train_merges(
     The state is one row per distinct word, its symbols coded as one character each. A phase counts adjacent pairs
     on the cluster and takes the most frequent ones; the rest, none above some floor, cut the words into runs. Equal
     runs are added up, and no merge above the floor can cross a cut, so merging the distinct runs one at a time
-    gives the merges that all words would give (see ``_Phase``); one that makes a known token ends the phase. These are applied to the words before the next phase.
+    gives the merges that all words would give (see ``_Phase``); one that makes a known token ends the phase. In the words, each run is replaced by what became of it before the next phase.
 
     The driver gets at most ``most_pairs`` pairs and ``most_runs`` distinct runs; where there are more, fewer pairs
     are taken, down to the single best one. Phases, not merges, cost a pass over the words. Ties go to the pair
@@ -277,7 +277,7 @@ def train_merges(
                 found = types.mapInArrow(_runs(active), "run string, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
                 break
         runs = [([id_of[c] for c in run], n) for run, n in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
-        phase, learned = _Phase(runs, floor), []
+        phase, learned = _Phase(runs, floor), 0
         while len(ids) < vocab_size and (pair := phase.best(not learned)):
             left, right = (tokens[k] for k in pair)
             whole = left + (right[len(prefix) :] if prefix else right)
@@ -287,11 +287,13 @@ def train_merges(
                 tokens.append(whole)
                 id_of[_code(made)] = made
             merges.append((left, right))
-            learned.append((_code(pair[0]) + _code(pair[1]), _code(made)))
+            learned += 1
+            phase.merge(pair, made)
             if existed:  # a symbol made in two ways has pairs on both sides of a cut: count anew
                 break
-            phase.merge(pair, made)
-        types = types.mapInArrow(_merged(learned), "n long, seg string").checkpoint()
+        made_of = ("".join(map(_code, symbols)) for symbols, _ in phase.runs)
+        changed = {run: made for run, made in zip(found.column(0).to_pylist(), made_of, strict=True) if run != made}
+        types = types.mapInArrow(_merged(active, changed), "n long, seg string").checkpoint()
         if found.num_rows * 4 <= most_runs:
             take = min(most_pairs, take * 4)
     vocab = spark.createDataFrame(list(ids.items()), "token string, id int")

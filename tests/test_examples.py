@@ -244,3 +244,12 @@ def test_encoding_shuffles_no_tokens(spark, capsys):
     assert sorted(map(str, E.decode_ids(ids, vocab).collect())) == sorted(map(str, [spark.createDataFrame([(1, "an th th an"), (2, ""), (None, "an")], "doc_id long, text string").collect()][0]))
     E.decode_ids(ids, vocab).explain()
     assert "Generate" not in capsys.readouterr().out
+
+
+def test_phases_replace_runs_and_drop_finished_words():
+    """Runs are looked up by what a phase made of them; a word that became one symbol has no pairs left."""
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([5, 2, 7, 1], pa.int64()), pa.array(["abc", "abxab", "q", "xcab"], pa.string())], ["n", "seg"])
+    (out,) = V._merged({"ab", "bc"}, {"abc": "Z", "ab": "Y"})([rows])
+    assert out.to_pydict() == {"n": [2, 1], "seg": ["YxY", "xcY"]}
