@@ -108,6 +108,14 @@ def test_mispair_negatives_never_reuse_one_pair(spark):
     assert len(rows) == 200 and all(r["word1"][1:] != r["word2"][1:] for r in rows)
 
 
+def test_mispair_negatives_compute_each_hash_once(spark, capsys):
+    pairs = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(20)], "word1 string, word2 string")
+    R.mispair_negatives(pairs).explain()
+    plan = capsys.readouterr().out
+    # the two draws; the order is a column of the written rows
+    assert plan.count("md5(") == 2
+
+
 def test_a_set_is_kept_exactly_when_no_earlier_kept_set_mentions_its_lemma(spark):
     draw = random.Random(11)
     rows = []
