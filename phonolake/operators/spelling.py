@@ -1,8 +1,9 @@
-"""Pairs of similar words of up to 20 letters, found by shared subsequences in numpy.
+"""Pairs of similar words of up to 60 letters, found in numpy by what they share.
 
-Each word is dealt to the hashes of its subsequences of ``length - k`` letters. Keys travel packed, many to a row, and
-are sorted and paired where they meet. A pair meets once for each subsequence that its words share; it is looked at
-under one of them only, so no pair has to be made distinct later.
+Up to 20 letters each word is dealt to the hashes of its subsequences of ``length - k`` letters. Keys travel packed, many
+to a row, and are sorted and paired where they meet. A pair meets once for each subsequence that its words share; it is
+looked at under one of them only, so no pair has to be made distinct later. Longer words have too many subsequences: they
+are cut in 2k + 1 segments of which one survives intact, shifted by at most k, and their pairs are made distinct.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ PAIRS_AT_ONCE = 1 << 17
 #: Keys of one partition, about.
 PARTITION_KEYS = 1 << 21
 LONGEST = 20
+LONGEST_CUT = 60
 
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -34,6 +36,12 @@ def unmatched(n: int) -> int:
     return ceil(round(n * 0.2, 6)) - 1
 
 
+def key_count(n: int) -> int:
+    """Keys of a word of ``n`` letters, or a few more."""
+    k = unmatched(n)
+    return comb(n, k) if n <= LONGEST else (2 * k + 1) * (2 * k + 2)
+
+
 @cache
 def _left_out(n: int, k: int) -> np.ndarray:
     return np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k)
@@ -70,6 +78,21 @@ def _keys(sums: np.ndarray, whole: np.ndarray, n: int, k: int, bits: int) -> np.
     return _mixed(out) >> np.uint64(32 - bits)
 
 
+def _segment_keys(sums: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Hashes of the segments of the words (even) and of all places where a segment may have gone (odd), a row for each."""
+    k = unmatched(n)
+    starts = [i * n // (2 * k + 1) for i in range(2 * k + 2)]
+    out = []
+    for i, (at, end) in enumerate(zip(starts, starts[1:], strict=False)):
+        for shift in (None, *range(-k, k + 1)):
+            begin, stop = at + (shift or 0), end + (shift or 0)
+            if begin >= 0 and stop <= n:
+                piece = (sums[stop] - sums[begin]) * np.uint64(pow(_UNBASE, begin, 1 << 64))
+                key = _mixed(piece + np.uint64(i * _BASE % (1 << 64))) >> np.uint64(32 - bits)
+                out.append((key & ~np.uint64(1)) | np.uint64(shift is not None))
+    return np.array(out)
+
+
 def _narrow(values: np.ndarray, *types) -> np.ndarray:
     top = values.max() if values.size else 0
     low = values.min() if values.size else 0
@@ -91,13 +114,13 @@ def _deal(bits: dict[int, int]):
     def packed(n, rows):
         import pyarrow as pa
 
-        k = unmatched(n)
-        at_once = max(1, DEALT_KEYS // comb(n, k))
+        at_once = max(1, DEALT_KEYS // key_count(n))
         for start in range(0, len(rows[0]), at_once):
             words, ids, low, high = (column[start : start + at_once] for column in rows)
             letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n)
             sums = _prefixes(letters)
-            keys = np.sort(np.ascontiguousarray(_keys(sums, sums[n], n, k, bits[n]).T), axis=1)
+            keys = _keys(sums, sums[n], n, unmatched(n), bits[n]) if n <= LONGEST else _segment_keys(sums, n, bits[n])
+            keys = np.sort(np.ascontiguousarray(keys.T), axis=1)
             first = np.ones(keys.shape, bool)
             first[:, 1:] = keys[:, 1:] != keys[:, :-1]
             of, keys = np.nonzero(first)[0], keys[first]
@@ -128,7 +151,7 @@ def _deal(bits: dict[int, int]):
                 own = waiting.setdefault(n, [[], [], [], []])
                 for column, values in zip(own, rows, strict=True):
                     column.extend(values.take(at).to_pylist())
-                if len(own[0]) * comb(n, unmatched(n)) >= DEALT_KEYS:
+                if len(own[0]) * key_count(n) >= DEALT_KEYS:
                     yield from packed(n, waiting.pop(n))
         for n, rows in waiting.items():
             yield from packed(n, rows)
@@ -143,40 +166,43 @@ def _unpacked(values: list[bytes], counts: list[int], kinds: dict[int, type], wi
 
 
 def matched_letters(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Letters that ``difflib.SequenceMatcher`` matches, for rows of words of at most 31 letters each.
+    """Letters that ``difflib.SequenceMatcher`` matches, for rows of words of at most 63 letters each.
 
     The longest common piece counts first, of equal ones the first in the left word, then in the right one; what lies
     before and after it is matched in the same way.
     """
     count, n = left.shape
+    # a length and two places in one number
+    step, kind_of = (5, np.int16) if max(n, right.shape[1]) < 32 else (6, np.int32)
+    top = (1 << step) - 1
     total = np.zeros(count, np.int64)
     zero, full = np.zeros(count, np.int64), np.full(count, n)
     open_ = (np.arange(count), zero, full, zero, np.full(count, right.shape[1]))
     while len(open_[0]):
-        kind = (open_[2] - open_[1]) * 32 + open_[4] - open_[3]
+        kind = (open_[2] - open_[1]) * 64 + open_[4] - open_[3]
         order = np.argsort(kind, kind="stable")
         kind = kind[order]
         begins = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]).tolist()
         later = []
         for begin, end in zip(begins, [*begins[1:], len(kind)], strict=True):
-            la, lb = divmod(int(kind[begin]), 32)
+            la, lb = divmod(int(kind[begin]), 64)
             for start in range(begin, end, 1 << 14):
                 of, alo, ahi, blo, bhi = (x[order[start : min(end, start + (1 << 14))]] for x in open_)
                 a = left[of, alo + np.arange(la)[:, None]]
                 b = right[of, blo + np.arange(lb)[:, None]]
                 # length, then lower place on the left, then lower place on the right
-                place = (31 - np.arange(lb, dtype=np.int16))[:, None]
-                run = np.zeros((lb + 1, len(of)), np.int16)
-                best = np.zeros(len(of), np.int16)
+                place = (top - np.arange(lb, dtype=kind_of))[:, None]
+                run = np.zeros((lb + 1, len(of)), kind_of)
+                best = np.zeros(len(of), kind_of)
                 for i in range(la):
-                    now = run[:-1] + np.int16(1024)
+                    now = run[:-1] + kind_of(1 << 2 * step)
                     now *= b == a[i]
                     run[1:] = now
                     now += place
-                    np.maximum(best, now.max(axis=0) + np.int16((31 - i) << 5), out=best)
-                size = (best >> 10).astype(np.int64)
+                    np.maximum(best, now.max(axis=0) + kind_of((top - i) << step), out=best)
+                size = (best >> 2 * step).astype(np.int64)
                 np.add.at(total, of, size)
-                last_a, last_b = 31 - ((best >> 5) & 31).astype(np.int64), 31 - (best & 31).astype(np.int64)
+                last_a, last_b = top - ((best >> step) & top).astype(np.int64), top - (best & top).astype(np.int64)
                 for x in (
                     (alo, alo + last_a + 1 - size, blo, blo + last_b + 1 - size),
                     (alo + last_a + 1, ahi, blo + last_b + 1, bhi),
@@ -206,24 +232,39 @@ class _Group:
         order = np.argsort(keys, kind="stable")
         # words that meet no other one need no further look
         keys = keys[order]
-        same = keys[1:] == keys[:-1]
-        met = np.r_[same, False] | np.r_[False, same]
+        met = self.met(keys)
         order = order[met]
         self.keys = keys[met].astype(np.uint64) | np.uint64(part << 32)
         self.ids, self.low, self.high, self.letters = self.ids[order], self.low[order], self.high[order], self.letters[order]
-        self.sums = _prefixes(self.letters)
+        if n <= LONGEST:
+            self.sums = _prefixes(self.letters)
+        else:
+            self.bag = np.zeros((len(self.keys), 32), np.uint8)
+            for i in range(n):
+                self.bag[np.arange(len(self.keys)), _mixed(self.letters[:, i].astype(np.uint64)) & np.uint64(31)] += np.uint8(1)
+
+    def met(self, keys: np.ndarray) -> np.ndarray:
+        if self.n > LONGEST:
+            keys = keys >> keys.dtype.type(1)
+        same = keys[1:] == keys[:-1]
+        return np.r_[same, False] | np.r_[False, same]
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of the two rows of each pair with one key, some at a time."""
-        ends = np.searchsorted(self.keys, self.keys, side="right")
-        rest = ends - np.arange(len(self.keys)) - 1
+        if self.n <= LONGEST:
+            others = np.arange(1, len(self.keys) + 1)
+            rest = np.searchsorted(self.keys, self.keys, side="right") - others
+        else:  # a whole segment meets the places of the others
+            others = np.searchsorted(self.keys, self.keys | np.uint64(1), side="left")
+            rest = np.searchsorted(self.keys, self.keys | np.uint64(1), side="right") - others
+            rest[self.keys % np.uint64(2) == 1] = 0
         before = np.r_[0, np.cumsum(rest)]
         start = 0
         while start < len(rest):
             stop = max(start + 1, int(np.searchsorted(before, before[start] + PAIRS_AT_ONCE, side="right")) - 1)
             of = np.repeat(np.arange(start, stop), rest[start:stop])
             if len(of):
-                yield of, of + 1 + np.arange(before[start], before[stop]) - before[of]
+                yield of, others[of] + np.arange(before[start], before[stop]) - before[of]
             start = stop
 
     def shown(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -258,11 +299,12 @@ class _Group:
         import pyarrow as pa
 
         for a, b in self.pairs():
-            turned = self.ids[a] > self.ids[b]
-            a, b = np.where(turned, b, a), np.where(turned, a, b)
+            if self.n <= LONGEST:
+                turned = self.ids[a] > self.ids[b]
+                a, b = np.where(turned, b, a), np.where(turned, a, b)
             keep = (self.ids[a] < self.ids[b]) & ((self.low[a] != self.high[b]) | (self.high[a] != self.low[b]))
             a, b = a[keep], b[keep]
-            keep = self.shown(a, b)
+            keep = self.shown(a, b) if self.n <= LONGEST else np.minimum(self.bag[a], self.bag[b]).sum(axis=1) >= self.n - self.k
             a, b = a[keep], b[keep]
             keep = 2.0 * matched_letters(self.letters[a], self.letters[b]) / (2 * self.n) > threshold
             a, b = a[keep], b[keep]
@@ -271,7 +313,10 @@ class _Group:
             used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
             text = self.letters[used].astype("<u4").tobytes().decode("utf-32-le")
             words = pa.array([text[i : i + self.n] for i in range(0, len(text), self.n)], pa.string())
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(at[: len(a)])), words.take(pa.array(at[len(a) :]))], ["word1", "word2"])
+            out = {"word1": words.take(pa.array(at[: len(a)])), "word2": words.take(pa.array(at[len(a) :]))}
+            if self.n > LONGEST:
+                out |= {"id1": pa.array(self.ids[a]), "id2": pa.array(self.ids[b])}
+            yield pa.RecordBatch.from_pydict(out)
 
 
 def _meet(bits: dict[int, int], threshold: float):
@@ -296,13 +341,22 @@ def _meet(bits: dict[int, int], threshold: float):
 def similar_words(words: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs ``word1, word2`` of equal length with a difflib ratio above ``threshold``, at least 0.8, and different sounds.
 
-    ``words`` has the length ``n`` of at most 20 letters, word_id, word and ``low`` and ``high``, the least and greatest
+    ``words`` has the length ``n`` of at most 60 letters, word_id, word and ``low`` and ``high``, the least and greatest
     number of the word's sounds; a row per word_id and word. The word with the lower word_id comes first. The lengths
     are counted first, so that a group of keys stays small however many words there are. Runs that job when called.
     """
-    sizes = {r["n"]: r["count"] * comb(r["n"], unmatched(r["n"])) for r in words.groupBy("n").count().collect()}
+    sizes = {r["n"]: r["count"] * key_count(r["n"]) for r in words.groupBy("n").count().collect()}
     bits = {n: max(0, ceil(log2(keys / GROUP_KEYS))) for n, keys in sizes.items()}
-    dealt = words.select("n", "word", F.col("word_id").cast("bigint"), "low", "high").mapInArrow(_deal(bits), _PACKED)
-    count = max(words.sparkSession.sparkContext.defaultParallelism, ceil(sum(sizes.values()) / PARTITION_KEYS))
-    met = dealt.repartition(count, "n", "part").sortWithinPartitions("n", "part")
-    return met.mapInArrow(_meet(bits, threshold), "word1 string, word2 string")
+
+    def found(kept, some: DataFrame, schema: str) -> DataFrame:
+        dealt = some.select("n", "word", F.col("word_id").cast("bigint"), "low", "high").mapInArrow(_deal(bits), _PACKED)
+        keys = sum(size for n, size in sizes.items() if kept(n))
+        count = max(words.sparkSession.sparkContext.defaultParallelism, ceil(keys / PARTITION_KEYS))
+        met = dealt.repartition(count, "n", "part").sortWithinPartitions("n", "part")
+        return met.mapInArrow(_meet(bits, threshold), schema)
+
+    short = found(lambda n: n <= LONGEST, words.filter(F.col("n") <= LONGEST), "word1 string, word2 string")
+    if not any(n > LONGEST for n in sizes):
+        return short
+    long = found(lambda n: n > LONGEST, words.filter(F.col("n") > LONGEST), "word1 string, word2 string, id1 bigint, id2 bigint")
+    return short.unionByName(long.distinct().select("word1", "word2"))

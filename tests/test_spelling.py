@@ -21,7 +21,7 @@ def edited(draw, word, letters, most):
 def test_matched_letters_are_those_of_difflib():
     draw = random.Random(1)
     points = lambda words: np.array([[ord(c) for c in w] for w in words], np.uint16)
-    for n in (1, 6, 12, 20, 31):
+    for n in (1, 6, 12, 20, 31, 44, 60):
         for letters in ("ab", "abcdefgh"):
             left = ["".join(draw.choice(letters) for _ in range(n)) for _ in range(200)]
             right = [edited(draw, w, letters, 4) for w in left]
@@ -35,7 +35,7 @@ def test_many_small_groups_show_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(S, "PAIRS_AT_ONCE", 3)
     draw = random.Random(2)
     words = []
-    for n, letters in ((6, "ab"), (9, "abñ"), (12, "abœ"), (14, "a\U0001f600"), (17, "abc")):
+    for n, letters in ((6, "ab"), (9, "abñ"), (12, "abœ"), (14, "a\U0001f600"), (17, "abc"), (24, "abœ"), (60, "abcde"), (63, "abcd")):
         base = "".join(draw.choice(letters) for _ in range(n))
         words += [edited(draw, base, letters, 3) for _ in range(25)]
     words = list(dict.fromkeys(words))
@@ -53,11 +53,11 @@ def test_many_small_groups_show_each_pair_once(spark, monkeypatch):
     assert len(want) > 100 and sorted(tuple(r) for r in R.near_spelling_pairs(df).collect()) == sorted(want)
 
 
-def test_short_words_are_not_paired_row_by_row(spark, capsys):
-    """Words of up to 20 letters meet inside tasks: no row for each common key, no comparison in a row-by-row function."""
-    words = spark.createDataFrame([(1, "abcdefgh", "a"), (2, "abcdefgi", "b")], "word_id long, word string, sound string")
+def test_words_are_not_paired_row_by_row(spark, capsys):
+    """Words of up to 60 letters meet inside tasks: no row for each common key, no comparison in a row-by-row function."""
+    words = spark.createDataFrame([(1, "abcdefgh", "a"), (2, "abcdefgi", "b"), (3, "a" * 24, "c")], "word_id long, word string, sound string")
     out = R.near_spelling_pairs(words)
     out.explain()
     plan = capsys.readouterr().out
-    assert plan.count("MapInArrow") == 2 and plan.count("Join") == 1
+    assert plan.count("MapInArrow") == 4 and plan.count("Join") == 1
     assert [tuple(r) for r in out.collect()] == [("abcdefgh", "abcdefgi")]
