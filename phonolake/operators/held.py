@@ -1,8 +1,9 @@
 """Word tables that tasks hold and look up inside a row, so that no token is shuffled.
 
 A table is measured first. Up to ``MOST_BYTES`` it is sent to the tasks as columns sorted by the 64-bit hash of the
-word. A larger one is dealt by hash into at most ``MOST_PARTS`` such parts, one pass over the rows for each. Beyond
-that ``hold`` gives None and the caller joins instead.
+word. A larger one is dealt by hash into at most ``MOST_PARTS`` such parts, one written pass over the rows for each.
+Beyond that ``hold`` gives None and the caller joins instead. ``look_up_dealt`` takes a table of any size and writes
+no tokens.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ MOST_BYTES = 128 << 20
 MOST_PARTS = 4
 #: Words that one step of a lookup takes at once, so that a worker needs little beside its batch and the table.
 AT_ONCE = 1 << 18
+#: Text of a chunk whose words are looked up in a table of any size.
+CHUNK_BYTES = 16 << 20
 
 
 class Held:
@@ -32,11 +35,20 @@ class Held:
         self.types = list(types)
 
 
+def written(table: DataFrame, values: Sequence[str], word: str = "word") -> DataFrame:
+    """``_hash``, ``_word`` and ``values`` of the words of ``table``, written once."""
+    ensure_checkpoint_dir(table.sparkSession)
+    return table.select(F.xxhash64(word).alias("_hash"), F.col(word).alias("_word"), *values).where(F.col("_word").isNotNull()).checkpoint()
+
+
 def hold(table: DataFrame, values: Sequence[str], word: str = "word", most_bytes: int = MOST_BYTES, most_parts: int = MOST_PARTS) -> Held | None:
     """Send ``table`` (unique words; string, double or integer array ``values``) to the tasks, or None if it is too large."""
-    spark = table.sparkSession
-    ensure_checkpoint_dir(spark)
-    rows = table.select(F.xxhash64(word).alias("_hash"), F.col(word).alias("_word"), *values).where(F.col("_word").isNotNull()).checkpoint()
+    return send(written(table, values, word), values, most_bytes, most_parts)
+
+
+def send(rows: DataFrame, values: Sequence[str], most_bytes: int = MOST_BYTES, most_parts: int = MOST_PARTS) -> Held | None:
+    """The second half of ``hold``, for rows of ``written``."""
+    spark = rows.sparkSession
     types = [rows.schema[v].dataType for v in values]
     sizes = {"string": F.octet_length, "array": lambda v: 4 * F.size(v) + 4}
     width = [sizes.get(t.typeName(), lambda _: F.lit(8))(v) for v, t in zip(values, types, strict=True)]
@@ -128,6 +140,62 @@ def look_up(df: DataFrame, words: Column, held: Held, value: str, out: str, drop
     return rows
 
 
+def look_up_dealt(df: DataFrame, words: Sequence[Column], table: DataFrame, value: str, out: Sequence[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """For each array column of ``words`` add a column of ``out``: the string ``value`` of each word, null where there is none.
+
+    ``table`` has unique ``_word``s and may have any size. Rows are dealt into chunks by their hash; the distinct words
+    of a chunk are joined with the table and meet the rows again, so neither tokens nor the whole table travel, and
+    beside the shuffled rows only words are written. Counts the bytes of the rows when called.
+    """
+    spark = df.sparkSession
+    hashed = [F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    total = df.agg(*[F.sum(F.octet_length(name)) for name, kind in df.dtypes if kind == "string"]).first()
+    chunks = max(spark.sparkContext.defaultParallelism, math.ceil(sum(n or 0 for n in total) / chunk_bytes))
+    # both readings take all columns, so that the rows are shuffled once
+    dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(*hashed), F.lit(chunks)).cast("int")).repartition(chunks, "_chunk")
+    split = dealt.select("*", *[F.coalesce(w, F.array().cast("array<string>")).alias(f"_words_{i}") for i, w in enumerate(words)])
+    own, n = len(df.columns), len(words)
+
+    def distinct(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def rows(chunk, parts):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts[0]), chunk, np.int32)), parts[0]], ["_chunk", "_word"])
+
+        known: dict[int, list] = {}
+        for batch in batches:
+            of = batch.column(own).to_numpy()
+            for chunk in np.unique(of).tolist():
+                some = batch.filter(pa.array(of == chunk))
+                parts = known.setdefault(chunk, [])
+                parts.extend(pc.unique(some.column(own + 1 + i).flatten()) for i in range(n))
+                known[chunk] = parts = [pc.unique(pa.concat_arrays(parts))]
+                if len(parts[0]) > AT_ONCE:  # words may then come twice, which the lookup bears
+                    yield rows(chunk, known.pop(chunk))
+        for chunk, parts in known.items():
+            yield rows(chunk, parts)
+
+    def found(left, right):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, values = (right.column(c).combine_chunks() for c in ("_word", "_value"))
+        columns = [left.column(c) for c in range(own)]
+        for i in range(n):
+            column = left.column(own + 1 + i).combine_chunks()
+            flat, offsets = _flat(column)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), values.take(pc.index_in(flat, value_set=known))))
+        return pa.Table.from_arrays(columns, names)
+
+    schema = StructType(list(df.schema.fields))
+    for name in out:
+        schema = schema.add(name, ArrayType(StringType()))
+    names = schema.names
+    met = split.mapInArrow(distinct, "_chunk int, _word string").join(table.select("_word", F.col(value).alias("_value")), "_word")
+    return split.groupBy("_chunk").cogroup(met.select("_chunk", "_word", "_value").groupBy("_chunk")).applyInArrow(found, schema)
+
+
 def add_up(df: DataFrame, words: Column, held: Held, out: str) -> DataFrame:
     """Add ``out``: for each held double column the sum over the words of the row, or null without a known word."""
     own = len(df.columns)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from phonolake.functions import phonetic as P
 from phonolake.functions import text as X
 from phonolake.operators.cleaning import lookup
-from phonolake.operators.held import MOST_BYTES, Held, hold, look_up
+from phonolake.operators.held import MOST_BYTES, Held, look_up, look_up_dealt, send, written
+from phonolake.operators.held import hold as hold
 
 
 def joined(phonemes):
@@ -71,13 +72,33 @@ def transcribe(
     """Replace the text fields by their transcription, keeping all other columns.
 
     Tasks hold the lexicon and look words up inside the row: nothing is shuffled, no id is needed, and the rows may be
-    a stream. A lexicon above ``most_bytes`` is dealt into parts (not on a stream); beyond those, words
-    are joined by :func:`transcribe_joined`.
+    a stream. With a lexicon above ``most_bytes`` rows are dealt into chunks, and only the distinct words of a
+    chunk are joined (:func:`held.look_up_dealt`); on a stream words are joined by :func:`transcribe_joined`.
     """
-    held = hold(lexicon.select("word", render(F.col("phonemes")).alias("sound")), ["sound"], most_bytes=most_bytes)
-    if held is None or (df.isStreaming and len(held.parts) > 1):
+    sounds = written(lexicon.select("word", render(F.col("phonemes")).alias("sound")), ["sound"])
+    held = send(sounds, ["sound"], most_bytes, most_parts=1)
+    if held is not None:
+        return transcribe_held(df, held, fields, splitter, render, glue)
+    if df.isStreaming:
         return transcribe_joined(df, lexicon, fields, id_col, splitter, render, glue)
-    return transcribe_held(df, held, fields, splitter, render, glue)
+    words = {name: splitter(F.coalesce(F.col(name), F.lit(""))) for name in fields}
+    out = [f"_sounds_{i}" for i, _ in enumerate(fields)]
+    rows = look_up_dealt(df, [F.transform(w, F.lower) for w in words.values()], sounds, "sound", out)
+    for (name, own), found in zip(words.items(), out, strict=True):
+        rows = rows.withColumn(name, _spoken(own, F.col(found), render, glue))
+    return rows.select(*df.columns)
+
+
+def _spoken(words: Column, sounds: Column, render, glue: str) -> Column:
+    """The text of the sounds; words without one are spelled out by the rules."""
+
+    def sound(pair):
+        spelled = F.coalesce(pair["sound"], render(P.apply_grapheme_rules(pair["word"])))
+        if glue == "":  # alternating words and gaps: gaps stay as they are
+            return F.when(pair["word"].rlike(rf"^[{X.WORD_CHARS}]"), spelled).otherwise(pair["word"])
+        return spelled
+
+    return F.array_join(F.transform(F.arrays_zip(words.alias("word"), sounds.alias("sound")), sound), glue)
 
 
 def transcribe_held(df: DataFrame, held: Held, fields: Sequence[str] = ("text",), splitter=X.split_words, render=joined, glue: str = " ") -> DataFrame:
@@ -86,15 +107,7 @@ def transcribe_held(df: DataFrame, held: Held, fields: Sequence[str] = ("text",)
     for name in fields:
         words = splitter(F.coalesce(F.col(name), F.lit("")))
         rows = look_up(rows, F.transform(words, F.lower), held, "sound", "_sounds")
-
-        def sound(pair):
-            spelled = F.coalesce(pair["_sounds"], render(P.apply_grapheme_rules(pair["word"])))
-            if glue == "":  # alternating words and gaps: gaps stay as they are
-                return F.when(pair["word"].rlike(rf"^[{X.WORD_CHARS}]"), spelled).otherwise(pair["word"])
-            return spelled
-
-        both = F.arrays_zip(words.alias("word"), F.col("_sounds"))
-        rows = rows.withColumn(name, F.array_join(F.transform(both, sound), glue)).drop("_sounds")
+        rows = rows.withColumn(name, _spoken(words, F.col("_sounds"), render, glue)).drop("_sounds")
     return rows.select(*df.columns)
 
 

@@ -173,3 +173,28 @@ def test_verses_are_keyed_by_document_and_line(spark):
     pairs = PT.rhyme_pair_rows(rows, lexicon, key=["doc_id", "line_no"]).filter("label = 1").orderBy("id")
     assert [tuple(r)[1:3] for r in pairs.collect()] == [("the light", "so bright"), ("a night", "the light")]
     assert rows.select(joint_key("doc_id", "line_no").alias("k")).distinct().count() == 3
+
+
+def test_a_lexicon_beyond_the_tasks_writes_no_tokens(spark, lexicon, capsys):
+    """Rows are shuffled once by chunk; only words of a chunk are joined, and nothing is put together by position."""
+    base = texts(spark, "Hello, to YOU a you", "", None, "a-b ... x", "zz Hello" * 50)
+    df = base.unionByName(base).withColumn("place", F.create_map(F.lit("a"), "doc_id"))
+    out = G.transcribe(df, lexicon, most_bytes=5)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapCoGroupsInArrow" in plan and "ExistingRDD" in plan and "posexplode" not in plan and plan.count("Join") == 1
+    want = {r.doc_id: r.text for r in G.transcribe_joined(base, lexicon).collect()}
+    assert sorted((r.doc_id, r.text, r.place) for r in out.collect()) == sorted([(i, t, {"a": i}) for i, t in want.items()] * 2)
+
+
+def test_chunks_meet_their_own_words(spark):
+    """Two columns, many chunks, words that come in several batches of a chunk."""
+    from phonolake.operators import held as H
+
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(i % 9)), f"w{i} w{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, one string, two string")
+    table = spark.createDataFrame([(f"w{i}", f"s{i}") for i in range(0, 300, 2)], "_word string, sound string")
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    out = H.look_up_dealt(df, [split("one"), split("two")], table, "sound", ["a", "b"], chunk_bytes=200)
+    said = lambda t: [None if int(w[1:]) % 2 else f"s{w[1:]}" for w in t.split()]
+    assert sorted((r.doc_id, r.a, r.b) for r in out.collect()) == [(i, said(a), said(b)) for i, a, b in rows]
