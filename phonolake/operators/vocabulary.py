@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Sequence
 from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,15 +36,23 @@ def normalize_unicode(words: DataFrame, column: str = "word", out: str = "normal
     return words.withColumn(out, plain)
 
 
-def word_frequencies(df: DataFrame, columns: Sequence[str] = ("text",), splitter=X.split_words, normalize: bool = True) -> DataFrame:
-    """Corpus counts ``(word, n)`` over all given text columns.
+def spaced_pieces(df: DataFrame, column: str = "text") -> DataFrame:
+    """``(column, n)``: what stands between white space in the texts, each distinct piece once with its count."""
+    return df.select(F.explode(X.whitespace_words(F.col(column))).alias(column)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def word_frequencies(
+    df: DataFrame, columns: Sequence[str] = ("text",), splitter=X.split_words, normalize: bool = True, weight: str | None = None
+) -> DataFrame:
+    """Corpus counts ``(word, n)`` over all given text columns; a row counts ``weight`` times.
 
     Words are counted as written first and normalized afterwards, so the Arrow call sees every
     distinct word once.
     """
     parts = [splitter(F.col(c)) for c in columns]
     words = parts[0] if len(parts) == 1 else F.concat(*parts)
-    counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    counts = df.select(F.explode(words).alias("word"), times.cast("long").alias("n")).groupBy("word").agg(F.sum("n").alias("n"))
     if not normalize:
         return counts
     return normalize_unicode(counts).groupBy(F.col("normal").alias("word")).agg(F.sum("n").alias("n"))
@@ -89,52 +98,102 @@ def _pair_counts(types: DataFrame) -> DataFrame:
     )
 
 
-def _cuts(seg: str, active: set[str]) -> list[int]:
-    """Where the runs of a word begin, and its end."""
-    return [0, *(at for at, pair in enumerate(map(str.__add__, seg, seg[1:]), 1) if pair not in active), len(seg)]
+#: Words that a step of a phase takes at once.
+WORDS_AT_ONCE = 1 << 17
+
+
+def _gathered(batches):
+    """Counts and words of some batches at a time."""
+    import pyarrow as pa
+
+    waiting, rows = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= WORDS_AT_ONCE:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _symbols(words) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a string column as numbers, and where its words begin and end among them."""
+    import pyarrow.compute as pc
+
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset :]
+    text = bytes(memoryview(words.buffers()[2])[at[0] : at[len(words)]]) if at[len(words)] else b""
+    return _points(text.decode()), np.r_[0, np.cumsum(pc.utf8_length(words).to_numpy())]
+
+
+def _strings(data: np.ndarray, bounds: np.ndarray):
+    """A string column of the symbols between bounds."""
+    import pyarrow as pa
+
+    text = data.tobytes().decode("utf-32-le").encode()
+    at = np.r_[0, np.cumsum(1 + (data > 0x7F) + (data > 0x7FF) + (data > 0xFFFF))]
+    return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(at[bounds].astype(np.int32)), pa.py_buffer(text))
+
+
+def _pair_numbers(active: set[str]) -> np.ndarray:
+    both = _points("".join(active)).reshape(-1, 2).astype(np.uint64)
+    return np.sort((both[:, 0] << np.uint64(32)) | both[:, 1])
+
+
+def _cuts(data: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Where the runs of the words begin, and the end."""
+    wide = data.astype(np.uint64)
+    both = (wide[:-1] << np.uint64(32)) | wide[1:]
+    begins = np.ones(len(data) + 1, bool)
+    if len(pairs) and len(both):
+        begins[1:-1] = pairs[np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)] != both
+    begins[ends] = True
+    return np.flatnonzero(begins)
 
 
 def _runs(active: set[str]):
     """A ``mapInArrow`` function: the runs of symbols that only active pairs join, with summed counts."""
+    pairs = _pair_numbers(active)
 
     def cut(batches):
         import pyarrow as pa
 
-        counts: dict[str, int] = {}
-
-        def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["run", "n"])
-            counts.clear()
-            return out
-
-        for rows in batches:
-            for n, seg in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                for start, at in pairwise(_cuts(seg, active)):
-                    if at - start > 1:
-                        run = seg[start:at]
-                        counts[run] = counts.get(run, 0) + n
-            if len(counts) > MOST_RUNS:
-                yield batch()
-        yield batch()
+        for rows in _gathered(batches):
+            data, ends = _symbols(rows.column(1))
+            cuts = _cuts(data, ends, pairs)
+            long = np.diff(cuts) > 1
+            of = np.searchsorted(ends, cuts[:-1][long], side="right") - 1
+            kept = data[np.repeat(long, np.diff(cuts))]
+            runs = _strings(kept, np.r_[0, np.cumsum(np.diff(cuts)[long])]).dictionary_encode()
+            sums = np.zeros(len(runs.dictionary), np.int64)
+            np.add.at(sums, runs.indices.to_numpy(), rows.column(0).to_numpy()[of])
+            yield pa.RecordBatch.from_arrays([runs.dictionary, pa.array(sums)], ["run", "n"])
 
     return cut
 
 
 def _merged(active: set[str], changed: dict[str, str]):
     """A ``mapInArrow`` function: put what a phase made of a run in its place; words of one symbol have no pairs and go."""
+    pairs, old, new = _pair_numbers(active), list(changed), list(changed.values())
 
     def apply(batches):
         import pyarrow as pa
-
-        for rows in batches:
-            counts, done = [], []
-            for n, seg in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                runs = [seg[a:b] for a, b in pairwise(_cuts(seg, active))]
-                seg = "".join([changed.get(run, run) for run in runs])
-                if len(seg) > 1:
-                    counts.append(n)
-                    done.append(seg)
-            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(done, pa.string())], ["n", "seg"])
+        import pyarrow.compute as pc
+
+        known, made = pa.array(old, pa.string()), pa.array(new, pa.string())
+        for rows in _gathered(batches):
+            data, ends = _symbols(rows.column(1))
+            cuts = _cuts(data, ends, pairs)
+            runs = _strings(data, cuts)
+            runs = pc.coalesce(made.take(pc.index_in(runs, value_set=known)), runs)
+            data, bounds = _symbols(runs)
+            bounds = bounds[np.searchsorted(cuts, ends)]
+            done = pa.RecordBatch.from_arrays([rows.column(0), _strings(data, bounds)], ["n", "seg"])
+            yield done.filter(pa.array(np.diff(bounds) > 1))
 
     return apply
 

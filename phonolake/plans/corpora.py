@@ -90,9 +90,10 @@ def train_vocabulary(
     size: int = V.VOCAB_SIZE,
     specials: Sequence[str] = V.SPECIALS,
     extra_tokens: Sequence[str] = (),
+    weight: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """``(vocab, merges)`` over all splits and both text columns. Merge-based kinds iterate."""
-    counts = V.word_frequencies(corpus, columns)
+    """``(vocab, merges)`` over all splits and both text columns; a row counts ``weight`` times. Merge-based kinds iterate."""
+    counts = V.word_frequencies(corpus, columns, weight=weight)
     if kind == "WordLevel":
         return V.vocab_wordlevel(counts, size, specials), None
     if kind == "BPE":
@@ -102,6 +103,16 @@ def train_vocabulary(
     raise ValueError(f"unknown vocabulary kind: {kind}")
 
 
+def train_phonetic_vocabulary(docs: DataFrame, lexicon: DataFrame, kind: str = "WordLevel", **options) -> tuple[DataFrame, DataFrame | None]:
+    """``train_vocabulary`` over the transcription of ``text`` and the text itself.
+
+    No word and no token crosses white space, in either text, so each distinct piece between white space is transcribed
+    and split once and counts as often as it occurs.
+    """
+    pieces = G.translate_corpus(V.spaced_pieces(docs), lexicon, id_col="text")
+    return train_vocabulary(pieces, kind, weight="n", **options)
+
+
 def convert_to_phonetic(spark, root: str, name: str, lexicon: DataFrame) -> str:
     """Read a stored corpus, transcribe it, store it under the phonetic name."""
     corpus = D.load_corpus(spark, D.dataset_dir(root, name))

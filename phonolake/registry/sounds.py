@@ -257,8 +257,7 @@ def vocab_wordpiece(spark, d):
 @query("train_vocabulary")
 def train_vocabulary(spark, d):
     """Merge vocabulary over transcription and original text."""
-    corpus = G.translate_corpus(docs(spark, d), G.one_pronunciation(pronunciations(spark, d)))
-    vocab, _ = PC.train_vocabulary(corpus, "BPE")
+    vocab, _ = PC.train_phonetic_vocabulary(docs(spark, d), G.one_pronunciation(pronunciations(spark, d)), "BPE")
     return vocab.select("token", big("id").alias("id"))
 
 

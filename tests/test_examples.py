@@ -253,3 +253,56 @@ def test_phases_replace_runs_and_drop_finished_words():
     rows = pa.RecordBatch.from_arrays([pa.array([5, 2, 7, 1], pa.int64()), pa.array(["abc", "abxab", "q", "xcab"], pa.string())], ["n", "seg"])
     (out,) = V._merged({"ab", "bc"}, {"abc": "Z", "ab": "Y"})([rows])
     assert out.to_pydict() == {"n": [2, 1], "seg": ["YxY", "xcY"]}
+
+
+def test_pieces_give_the_counts_of_whole_texts(spark):
+    """Transcription and original count the same by distinct pieces, whatever stands between words."""
+    from phonolake.operators import lexicon as G
+    from phonolake.plans import corpora as PC
+
+    texts = ["Hello, chair chair x--y", "", None, " tion,ß. \n chair ", "ÉTÉ's (chair)   a_b 9 ... ,", "matin, matin vin. vin"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([("x", ["a", "E~"]), ("hello", [" ", "h", "-"])], "word string, phonemes array<string>")
+    want = V.word_frequencies(G.translate_corpus(docs, known), ("text", "original_text"))
+    pieces = V.spaced_pieces(docs)
+    got = V.word_frequencies(G.translate_corpus(pieces, known, id_col="text"), ("text", "original_text"), weight="n")
+    assert pieces.count() < sum(len((t or "").split()) for t in texts)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    a = PC.train_phonetic_vocabulary(docs, known, "BPE", size=60)
+    b = PC.train_vocabulary(G.translate_corpus(docs, known), "BPE", size=60)
+    assert [x.orderBy(x.columns).collect() for x in a] == [x.orderBy(x.columns).collect() for x in b]
+
+
+def test_runs_and_replacements_by_column():
+    """Runs of a phase and what takes their place, against a reading symbol by symbol; sliced columns and empty ones."""
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    words = ["".join(V._code(draw.randrange(6)) for _ in range(draw.randint(1, 9))) for _ in range(300)]
+    counts = [draw.randint(1, 2**55) for _ in words]
+    active = {V._code(a) + V._code(b) for a, b in ((0, 1), (1, 2), (2, 2), (4, 0))}
+    changed = {V._code(0) + V._code(1): V._code(70_000), V._code(2) + V._code(2): V._code(9)}
+
+    def cut(word):
+        runs = [word[0]]
+        for a, b in zip(word, word[1:]):
+            runs[-1:] = [runs[-1] + b] if a + b in active else [runs[-1], b]
+        return runs
+
+    sums: dict[str, int] = {}
+    for word, n in zip(words, counts):
+        for run in cut(word):
+            if len(run) > 1:
+                sums[run] = sums.get(run, 0) + n
+    whole = pa.RecordBatch.from_arrays([pa.array(counts), pa.array(words)], ["n", "seg"])
+    batches = [whole.slice(0, 0), whole.slice(0, 70), whole.slice(70)]
+    got: dict[str, int] = {}
+    for batch in V._runs(active)(iter(batches)):
+        for run, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            got[run] = got.get(run, 0) + n
+    assert got == sums
+    want = [(n, w) for n, w in zip(counts, ("".join(changed.get(r, r) for r in cut(word)) for word in words)) if len(w) > 1]
+    made = [row for batch in V._merged(active, changed)(iter(batches)) for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    assert made == want and not list(V._merged(active, changed)(iter([whole.slice(0, 0)])))
