@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,12 +35,17 @@ def train_val_test_split(
     validation: float = 0.1,
     seed: int | str = 42,
     exact: bool = True,
+    hashed: bool = False,
 ) -> DataFrame:
     """Two-step split: ``test`` of all rows, then ``validation`` of the rest.
 
     ``exact=True`` gives the sizes ceil(n*test) and ceil((n - n_test)*validation); otherwise each
-    row is decided alone by its hash, without any shuffle.
+    row is decided alone by its hash, without any shuffle. ``hashed=True`` says that ``df`` are written rows of
+    ``positions.with_hash_bits`` for this seed and these ids: they are read three times, once when called, and only
+    those of the two buckets where a split ends are shuffled.
     """
+    if hashed:
+        return _split_hashed(df, ids, test, validation)
     if not exact:
         first, second = hash_unit(f"{seed}:test", *ids), hash_unit(f"{seed}:validation", *ids)
         name = F.when(first < test, "test").when(second < validation, "validation")
@@ -51,6 +57,36 @@ def train_val_test_split(
     return placed.withColumn("split", name.otherwise("train")).drop("_pos", "_n")
 
 
+def _split_hashed(df: DataFrame, ids: Sequence[str], test: float, validation: float) -> DataFrame:
+    """The exact split of written rows: buckets of the order are counted, at most 4096, and decide all rows but those of two."""
+    keyed = df.withColumn("_bucket", F.shiftright("_bits", 20))
+    counts = sorted((r["_bucket"], r["count"]) for r in keyed.groupBy("_bucket").count().collect())
+    n, n_test = F.lit(sum(c for _, c in counts)), F.col("n_test")
+    sizes = df.sparkSession.range(1).select(n.alias("n"), _ceil_share(n, test).alias("n_test"))
+    ends = sizes.select("n_test", (n_test + _ceil_share(F.col("n") - n_test, validation)).alias("n_both")).first()
+    before, edges, split = 0, {}, F.lit("train")
+    for bucket, count in counts:
+        for end in ends:
+            if before < end < before + count:
+                edges[bucket] = before
+        before += count
+    # a bucket that no end divides lies whole on one side of each
+    firsts = dict(zip((b for b, _ in counts), accumulate((c for _, c in counts), initial=0)))
+    for name, end in (("validation", ends["n_both"]), ("test", ends["n_test"])):
+        inside = [b for b, first in firsts.items() if first < end]
+        if inside:
+            split = F.when(F.col("_bucket") <= max(inside), name).otherwise(split)
+    whole = keyed.filter(~F.col("_bucket").isin(list(edges))).withColumn("split", split)
+    order = W.partitionBy("_bucket").orderBy("_bits", *ids)
+    offset = F.lit(0)
+    for bucket, first in edges.items():
+        offset = F.when(F.col("_bucket") == bucket, F.lit(first)).otherwise(offset)
+    pos = F.row_number().over(order) - 1 + offset
+    name = F.when(F.col("_pos") < ends["n_test"], "test").when(F.col("_pos") < ends["n_both"], "validation").otherwise("train")
+    placed = keyed.filter(F.col("_bucket").isin(list(edges))).withColumn("_pos", pos).withColumn("split", name).drop("_pos")
+    return whole.unionByName(placed).drop("_bits", "_bucket")
+
+
 def sample_n(df: DataFrame, n: int, ids: Sequence[str], seed: int | str = 42) -> DataFrame:
     """Exactly min(n, rows) seeded rows, without collecting them in one task."""
     return shuffled_index(df, seed, ids, out="_pos").filter(F.col("_pos") < n).drop("_pos")

@@ -12,7 +12,7 @@ from phonolake.operators import cleaning as C
 from phonolake.operators import lexicon as G
 from phonolake.operators import pairs as R
 from phonolake.operators import sampling as S
-from phonolake.operators.positions import ordered_index
+from phonolake.operators.positions import ordered_index, with_hash_bits
 from phonolake.session import ensure_checkpoint_dir
 
 
@@ -73,9 +73,10 @@ def build_homophone_task(
         "word_id", "word", F.array_join("phonemes", "").alias("sound")
     )
     positives = R.group_all_pairs(groups, "group_id")
-    # the split reads the pairs twice
-    pairs = C.concat_labelled_pairs(positives, R.near_spelling_pairs(sounds)).checkpoint()
-    return S.train_val_test_split(pairs, ["word1", "word2", "label"], 0.1, 0.1, seed)
+    # the split reads the pairs more than once
+    ids = ["word1", "word2", "label"]
+    pairs = with_hash_bits(C.concat_labelled_pairs(positives, R.near_spelling_pairs(sounds)), seed, ids).checkpoint()
+    return S.train_val_test_split(pairs, ids, 0.1, 0.1, seed, hashed=True)
 
 
 def build_etymology_task(

@@ -124,3 +124,19 @@ def test_average_ranks_of_crowded_and_infinite_scores(spark):
 def test_inverse_weights_keep_the_null_class(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, None)], "id long, label string")
     assert {(r["id"], r["weight"]) for r in S.inverse_frequency_weights(df).collect()} == {(1, 1.0), (2, 0.5), (3, 0.5)}
+
+
+def test_split_of_hashed_rows_equals_the_split_by_position(spark):
+    """With nulls and rows that come twice; only the buckets in which a split ends are shuffled."""
+    from phonolake.operators import positions as PO
+    from phonolake.operators import sampling as SA
+
+    for n, shares in ((1, (0.1, 0.1)), (0, (0.2, 0.1)), (700, (0.1, 0.1)), (700, (0.0, 0.5)), (700, (1.0, 0.3)), (9000, (0.2, 0.25))):
+        rows = [(f"a{i % 650}" if i % 50 else None, f"b{i % 130}", i % 2) for i in range(n)]
+        df = spark.createDataFrame(rows, "word1 string, word2 string, label int")
+        ids = ["word1", "word2", "label"]
+        want = SA.train_val_test_split(df, ids, *shares, seed=7)
+        got = SA.train_val_test_split(PO.with_hash_bits(df, 7, ids), ids, *shares, seed=7, hashed=True)
+        assert got.columns == want.columns and got.schema["split"].dataType == want.schema["split"].dataType
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
